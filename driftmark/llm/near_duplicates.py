@@ -79,13 +79,13 @@ def _sets(batches: Iterator[pa.RecordBatch], with_set: bool) -> Iterator[pa.Reco
                 keys.append(hashlib.blake2b(raw, digest_size=16).digest())
                 signatures.append(signature(own).tobytes() if len(own) else None)
                 sets.append(raw)
-            out = {"doc_id": part.column(part.schema.get_field_index("doc_id")), "n_shingles": pa.array(counts, pa.int64()), "set_key": pa.array(keys, pa.binary()), "signature": pa.array(signatures, pa.binary())}
+            out = {"doc_id": part.column(part.schema.get_field_index("doc_id")), "text_hash": part.column(part.schema.get_field_index("text_hash")), "n_shingles": pa.array(counts, pa.int64()), "set_key": pa.array(keys, pa.binary()), "signature": pa.array(signatures, pa.binary())}
             if with_set:
                 out["shingles"] = pa.array(sets, pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
 
-_SCHEMA = "doc_id long, n_shingles long, set_key binary, signature binary"
+_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_key binary, signature binary"
 
 
 def least_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> list[int]:
@@ -153,7 +153,7 @@ def _some(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
 def groups(documents: DataFrame) -> DataFrame:
     """Near-duplicate groups of ``documents`` (doc_id, text, any other columns).
 
-    Returns doc_id, n_shingles, set_key, component_id, kept, first_copy for every row.
+    Returns doc_id, text_hash, n_shingles, set_key, component_id, kept, first_copy for every row.
 
     Texts of fewer than five words are one shingle, their whole word sequence.
     Null, empty and wordless texts have no shingle, link with nothing and form
@@ -162,7 +162,7 @@ def groups(documents: DataFrame) -> DataFrame:
     rows of their own.  ``kept`` holds where doc_id is the component's smallest
     (null-safe); ``first_copy`` holds for exactly one row of each component.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # the row number is frozen by the write; signatures stay with their rows
     rows = materialise(docs.mapInArrow(lambda it: _sets(it, False), _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"))
@@ -175,7 +175,7 @@ def groups(documents: DataFrame) -> DataFrame:
     wanted = materialise(nodes.drop("signature").join(wanted, "node"), "wanted")
     again = docs.withColumnRenamed("doc_id", "id").join(_some(wanted.select("doc_id").distinct()), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").withColumnRenamed("id", "doc_id")
     full = again.mapInArrow(lambda it: _sets(it, True), _SCHEMA + ", shingles binary")
-    facts = full.drop("n_shingles").join(_some(wanted.select("node", F.col("doc_id").alias("id"), "set_key")), (F.col("doc_id").eqNullSafe(F.col("id"))) & (full["set_key"] == wanted["set_key"])).select("node", "signature", "shingles")
+    facts = full.drop("n_shingles", "text_hash").join(_some(wanted.select("node", F.col("doc_id").alias("id"), "set_key")), (F.col("doc_id").eqNullSafe(F.col("id"))) & (full["set_key"] == wanted["set_key"])).select("node", "signature", "shingles")
     facts = materialise(facts, "facts")
     found = _compare(_possible(members, facts), facts)
     nodes = classes.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
@@ -304,9 +304,9 @@ def _pairs(members: DataFrame, mine: DataFrame, once: str) -> DataFrame:
 
 
 def _result(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    with_comp = rows.select("doc_id", "n_shingles", "set_key", "row").join(nodes, "set_key", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(-1 - F.col("row")))
+    with_comp = rows.select("doc_id", "text_hash", "n_shingles", "set_key", "row").join(nodes, "set_key", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(-1 - F.col("row")))
     with_comp = materialise(with_comp, "components")
     # null ids sort last in the struct that picks a component's first row
     heads = with_comp.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("head")).select("comp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head_row"))
     out = with_comp.join(heads, "comp")
-    return out.select("doc_id", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("head_row")).alias("first_copy"))
+    return out.select("doc_id", "text_hash", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("head_row")).alias("first_copy"))
