@@ -73,15 +73,16 @@ class Block:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``most`` bytes."""
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
         n = len(self.data)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n + 1)[:n], out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * _power_table(_BASE_INVERSE, n + 1)[self.starts]
-        return mix(value + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
+        value = (sums[ends] - sums[self.starts]) * _power_table(_BASE_INVERSE, n + 1)[self.starts]
+        return mix(value + (ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
