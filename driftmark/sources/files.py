@@ -68,12 +68,17 @@ def joined(spark: SparkSession, folder: str, path: str, start: bytes, drop: int,
     parts = [(s.getPath(), s.getLen()) for s in source.listStatus(target) if s.getPath().getName().startswith("part-") and s.getLen()]
     parts.sort(key=lambda x: x[0].getName())
     system, where = _system(spark, path)
-    out = system.create(where, True)
+    system.setWriteChecksum(False)  # the file may be edited by other programs
+    try:
+        out = system.create(where, True)
+    finally:
+        system.setWriteChecksum(True)
     try:
         out.write(bytearray(start))
         for i, (part, size) in enumerate(parts):
             stream = source.open(part)
-            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, size - drop if i == len(parts) - 1 else size, False)
+            some = spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size - drop if i == len(parts) - 1 else size)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(some, out, 1 << 16, False)
             stream.close()
         out.write(bytearray(end))
     finally:
