@@ -51,7 +51,7 @@ def rows_of(frame, columns):
     def plain(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v != v:
+        if v is None or str(v) in ("nan", "<NA>", "NaT"):
             return "<null>"
         return repr(round(float(v), 9)) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
 
