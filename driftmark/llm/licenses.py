@@ -41,7 +41,7 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 #: Share of a notice's word pairs that must be found, and how far apart neighbouring diagonals may be.
-NEEDED, APART = 0.6, 3
+NEEDED, APART = 0.7, 3
 
 
 def templates(spark: SparkSession) -> DataFrame:
