@@ -11,7 +11,7 @@ __version__ = "0.1.0"
 _PUBLIC = {
     "CanonicalPolicy": "functions.canonical", "canonicalize": "functions.canonical", "canonical_json": "functions.canonical",
     "DatasetDiff": "operators.compare", "compare": "operators.compare", "Match": "operators.matching",
-    "Snapshot": "operators.snapshot", "build_snapshot": "operators.snapshot", "read_entries": "sources.readers",
+    "Snapshot": "operators.snapshot", "build_snapshot": "operators.snapshot", "read_entries": "sources.readers", "read_rows": "sources.readers",
 }
 __all__ = [*_PUBLIC, "__version__"]
 

@@ -13,6 +13,7 @@ import csv
 import io
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -28,18 +29,27 @@ from . import strict_json
 from .files import DataFile, head, input_files
 
 _MAP = pa.map_(pa.string(), pa.string())
-_ARROW = pa.schema([("src", pa.string()), ("file_rank", pa.int32()), ("pos", pa.int64()), ("raw_id", pa.string()), ("label", pa.string()), ("hash", pa.string()), ("rest", pa.string()), ("fields", _MAP), ("types", _MAP), ("leaves", _MAP), ("err", pa.string()), ("has_id", pa.bool_())])
+_ARROW = pa.schema([("src", pa.string()), ("file_rank", pa.int32()), ("pos", pa.int64()), ("raw_id", pa.string()), ("label", pa.string()), ("hash", pa.string()), ("rest", pa.string()), ("fields", _MAP), ("types", _MAP), ("leaves", _MAP), ("record", pa.string()), ("err", pa.string()), ("has_id", pa.bool_())])
 _BATCH = 1000
 
 
+@dataclass(frozen=True)
+class How:
+    """What entries are made for: the way of matching, ignored fields, and whether the record's JSON is wanted."""
+
+    match: Match
+    ignore: tuple[str, ...] = ()
+    record: bool = False
+
+
 class Rows:
     """Collects entries and hands them out as Arrow batches."""
 
-    def __init__(self, match: Match, ignore: tuple[str, ...]) -> None:
-        self.match, self.ignore, self.rows = match, ignore, []
+    def __init__(self, how: How) -> None:
+        self.how, self.rows = how, []
 
     def add(self, src: str, rank: int, pos: int, value: Any, wrong: str | None = None) -> None:
-        row = {"err": wrong} if wrong else ent.from_record(value, self.match, self.ignore, f"{src} record {pos}")
+        row = {"err": wrong} if wrong else ent.from_record(value, self.how.match, self.how.ignore, f"{src} record {pos}", self.how.record)
         self.rows.append({"src": src, "file_rank": rank, "pos": pos, "has_id": wrong is None and "id" in value, **row})
 
     def full(self) -> bool:
@@ -57,8 +67,8 @@ def _decoded(raw: bytes) -> tuple[str, str | None]:
         return "", f"not valid UTF-8 ({exc.reason})"
 
 
-def _lines(batches: Iterator[pa.RecordBatch], match: Match, ignore: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    rows = Rows(match, ignore)
+def _lines(batches: Iterator[pa.RecordBatch], how: How) -> Iterator[pa.RecordBatch]:
+    rows = Rows(how)
     for batch in batches:
         for src, rank, pos, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text, wrong = _decoded(raw)
@@ -104,8 +114,8 @@ def _csv_file(src: str, text: str) -> Iterator[tuple[int, Any, str | None]]:
         yield pos + 1, None, f"{src}: {exc}"
 
 
-def _whole(batches: Iterator[pa.RecordBatch], read: Callable, match: Match, ignore: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    rows = Rows(match, ignore)
+def _whole(batches: Iterator[pa.RecordBatch], read: Callable, how: How) -> Iterator[pa.RecordBatch]:
+    rows = Rows(how)
     for batch in batches:
         for i in range(batch.num_rows):
             src, rank = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
@@ -142,20 +152,20 @@ def numbered_lines(spark: SparkSession, uris: list[str]) -> DataFrame:
     return where.select("_path", (F.col("_row") + F.col("_add")).alias("pos"), "value")
 
 
-def _read_lines(spark: SparkSession, files: list[DataFile], match: Match, ignore: tuple[str, ...]) -> DataFrame:
+def _read_lines(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
     for f in files:
         if head(spark, f.uri, 3) == b"\xef\xbb\xbf":  # Spark would drop it
             raise InputError(f"{f.label} line 1: invalid JSON: unexpected byte order mark")
     lines = numbered_lines(spark, [f.uri for f in files]).withColumn("value", F.col("value").cast("binary"))
-    return _placed(spark, lines, files).select("src", "file_rank", "pos", "value").mapInArrow(lambda it: _lines(it, match, ignore), _OUT)
+    return _placed(spark, lines, files).select("src", "file_rank", "pos", "value").mapInArrow(lambda it: _lines(it, how), _OUT)
 
 
-def _read_whole(spark: SparkSession, files: list[DataFile], match: Match, ignore: tuple[str, ...], read: Callable) -> DataFrame:
+def _read_whole(spark: SparkSession, files: list[DataFile], how: How, read: Callable) -> DataFrame:
     raw = spark.read.format("binaryFile").load([f.uri for f in files]).select(F.col("path").alias("_path"), "content")
-    return _placed(spark, raw, files).select("src", "file_rank", "content").mapInArrow(lambda it: _whole(it, read, match, ignore), _OUT)
+    return _placed(spark, raw, files).select("src", "file_rank", "content").mapInArrow(lambda it: _whole(it, read, how), _OUT)
 
 
-def _read_parquet(spark: SparkSession, files: list[DataFile], match: Match, ignore: tuple[str, ...]) -> DataFrame:
+def _read_parquet(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
     by_schema: dict[str, list[DataFile]] = defaultdict(list)
     for f in files:
         try:
@@ -167,7 +177,7 @@ def _read_parquet(spark: SparkSession, files: list[DataFile], match: Match, igno
         data = spark.read.parquet(*[f.uri for f in some])
         named = data.select(F.col("_metadata.file_path").alias("_path"), (F.col("_metadata.row_index") + 1).alias("_pos"), *data.columns)
         placed = _placed(spark, named, some).withColumnsRenamed({"src": "_src", "file_rank": "_rank"}) if not {"src", "file_rank"} & set(data.columns) else _shielded(spark, named, some)
-        part = ent.from_columns(placed, match, ignore, "_src", "_rank", "_pos")
+        part = ent.from_columns(placed, how.match, how.ignore, "_src", "_rank", "_pos")
         parts.append(part.withColumn("has_id", F.lit("id" in data.columns)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -178,15 +188,15 @@ def _shielded(spark: SparkSession, named: DataFrame, files: list[DataFile]) -> D
     return _placed(spark, packed, files).withColumnsRenamed({"src": "_src", "file_rank": "_rank"}).select("_src", "_rank", "_pos", "_row.*")
 
 
-def _read(spark: SparkSession, files: list[DataFile], match: Match, ignore: tuple[str, ...]) -> DataFrame:
+def _read(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
     kinds: dict[str, list[DataFile]] = defaultdict(list)
     for f in files:
         kinds[f.format].append(f)
     readers: dict[str, Callable[[list[DataFile]], DataFrame]] = {
-        "lines": lambda some: _read_lines(spark, some, match, ignore),
-        "json": lambda some: _read_whole(spark, some, match, ignore, _json_file),
-        "csv": lambda some: _read_whole(spark, some, match, ignore, _csv_file),
-        "parquet": lambda some: _read_parquet(spark, some, match, ignore),
+        "lines": lambda some: _read_lines(spark, some, how),
+        "json": lambda some: _read_whole(spark, some, how, _json_file),
+        "csv": lambda some: _read_whole(spark, some, how, _csv_file),
+        "parquet": lambda some: _read_parquet(spark, some, how),
     }
     return reduce(DataFrame.unionByName, [readers[kind](some) for kind, some in kinds.items()])
 
@@ -194,7 +204,7 @@ def _read(spark: SparkSession, files: list[DataFile], match: Match, ignore: tupl
 def detect_match(spark: SparkSession, path: str) -> Match:
     """By ``id`` if the first record has such a field (before anything is ignored), else by content."""
     for f in input_files(spark, path):
-        found = _read(spark, [f], Match("content"), ()).select("pos", "has_id")
+        found = _read(spark, [f], How(Match("content"))).select("pos", "has_id")
         first = found.where("pos <= 1").first() or found.orderBy("pos").first()
         if first:
             return Match("id", ("id",)) if first["has_id"] else Match("content")
@@ -203,12 +213,19 @@ def detect_match(spark: SparkSession, path: str) -> Match:
 
 def read_entries(spark: SparkSession, path: str, match: Match, ignore: tuple[str, ...] = ()) -> DataFrame:
     """Entries of a file or directory, in no particular order (file_rank and pos hold it)."""
-    return _read(spark, input_files(spark, path), match, ignore).drop("has_id")
+    return _read(spark, input_files(spark, path), How(match, ignore)).drop("has_id")
+
+
 
 
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(source, file_rank, position, data, err) for every record; data is its canonical JSON."""
+    rows = _read(spark, input_files(spark, path), How(Match("content"), (), True))
+    return rows.select(F.col("src").alias("source"), "file_rank", F.col("pos").alias("position"), F.col("record").alias("data"), "err")
 
 
 def entries_from_json(df: DataFrame, column: str, match: Match, ignore: tuple[str, ...] = (), src: str = "src", rank: str = "file_rank", pos: str = "pos") -> DataFrame:
     """Entries of a DataFrame whose ``column`` holds a JSON object as text, decoded as strictly as JSON Lines."""
     rows = df.select(F.col(src).cast("string").alias("src"), F.col(rank).cast("int").alias("file_rank"), F.col(pos).cast("long").alias("pos"), F.col(column).cast("binary").alias("value"))
-    return rows.where("value is not null").mapInArrow(lambda it: _lines(it, match, ignore), _OUT).drop("has_id")
+    how = How(match, ignore)
+    return rows.where("value is not null").mapInArrow(lambda it: _lines(it, how), _OUT).drop("has_id")
