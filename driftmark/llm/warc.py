@@ -2,15 +2,16 @@
 
 Pages become WARC records: one response for each payload, and revisit records
 that refer to it for the pages that repeat it.  Only headers are shuffled by
-payload digest; payloads follow once, with their verdict.  Archives are
-written by Spark's text writer, whose line separator is the blank lines that
-end a WARC record, so they go to any file system that Spark writes to.  Files
+payload digest.  Archives are gzipped files written by Spark's text writer,
+whose line separator is the blank lines that end a WARC record, so they go to
+any file system that Spark writes to.  Files
 hold at most RECORDS records; they are read back whole, one file a row, and
 taken apart by the lengths in their headers.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise, new_path
+from .columns import few
 
 SMALLEST, RECORDS, DATE = 1000, 1000, "2020-01-01T00:00:00Z"
 _END = "\r\n"
@@ -26,26 +28,36 @@ _SCHEMA = "page_id long, url string, record_type string, payload_bytes long, pay
 
 
 def headers(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
-    """row, page_id, url, html, payload_bytes, payload_digest, record_type and refers_to for every row of ``pages``.
+    """page_id, url, html, payload_bytes, payload_digest, record_type and refers_to for every row of ``pages``.
 
     A null html is an empty payload.  Among rows with equal payloads of at
     least ``smallest`` bytes the one with the largest page_id (null is below
-    all others; of repeated ids the last row) is the response.
+    all others; of repeated ids one row) is the response.  Payloads stay where
+    they are while the revisits are few enough to be sent to all executors.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"), F.monotonically_increasing_id().alias("row"))
-    rows = materialise(rows, "payloads")
-    large = rows.where(F.col("payload_bytes") >= smallest).select("row", "page_id", "payload_digest")
-    first = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = large.join(first, "payload_digest").where(F.col("row") != F.col("first.row")).select("row", F.col("first.page_id").alias("refers_to"), F.lit("revisit").alias("kind"))
-    out = rows.join(revisits, "row", "left")
-    return out.withColumn("record_type", F.coalesce("kind", F.lit("response"))).drop("kind")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
+    large = rows.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    shared = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.sum("n").alias("all")).where("`all` > 1").drop("all")
+    kind = F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), "revisit").when(F.col("n") > 1, "repeated")
+    known = large.join(shared, "payload_digest").select(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_page"), "refers_to", kind.alias("record_type")).where("record_type is not null")
+    known = few(materialise(known, "revisits"))
+    marked = rows.join(known, (rows["payload_digest"] == known["_digest"]) & rows["page_id"].eqNullSafe(known["_page"]), "left").drop("_digest", "_page")
+    if known.where("record_type = 'repeated'").isEmpty():
+        return marked.withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    # rows that repeat id and payload: the first of them, once their numbers are frozen, is the response
+    again = materialise(marked.where("record_type = 'repeated'").withColumn("row", F.monotonically_increasing_id()), "repeated")
+    first = again.groupBy("payload_digest").agg(F.min("row").alias("first"))
+    again = again.join(first, "payload_digest").withColumn("record_type", F.when(F.col("row") == F.col("first"), "response").otherwise("revisit"))
+    again = again.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("refers_to"))).select(marked.columns)
+    rest = marked.where("record_type is null or record_type = 'revisit'").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
+    return rest.unionByName(again)
 
 
 def _record(record_date: str) -> Column:
     """A record's text up to the blank lines that end it."""
     clean = F.regexp_replace(F.coalesce("url", F.lit("unknown:")), "[\\x00-\\x20\\x7F]", "%20")
-    key = F.sha2(F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("row").cast("string"), "payload_digest"), 256)
+    key = F.sha2(F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.monotonically_increasing_id().cast("string"), "payload_digest"), 256)
     uuid = F.concat_ws("-", F.substring(key, 1, 8), F.substring(key, 9, 4), F.concat(F.lit("5"), F.substring(key, 14, 3)), F.concat(F.lit("8"), F.substring(key, 18, 3)), F.substring(key, 21, 12))
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END + _END))
@@ -69,15 +81,13 @@ def _record(record_date: str) -> Column:
 def write(pages: DataFrame, path: str, record_date: str = DATE, smallest: int = SMALLEST) -> None:
     """Write deduplicated archives of ``pages`` (page_id, url, html) to the folder ``path``."""
     records = headers(pages, smallest).select(_record(record_date).alias("value"))
-    records.write.option("lineSep", _END + _END).option("maxRecordsPerFile", RECORDS).text(path)
+    records.write.option("lineSep", _END + _END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
-            data, at = content.as_buffer(), 0
-            view = memoryview(data)
-            raw = data.to_pybytes()
+            raw, at = gzip.decompress(content.as_buffer()), 0
             out: dict[str, list] = {name: [] for name in ("page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload")}
             while at < len(raw):
                 stop = raw.index(b"\r\n\r\n", at)
@@ -86,13 +96,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"no WARC record at byte {at}")
                 head = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
                 length = int(head["content-length"])
-                block = view[stop + 4 : stop + 4 + length]
                 body = raw.index(b"\r\n\r\n", stop + 4) + 4
                 http = {k.lower(): v for k, _, v in (line.partition(b": ") for line in raw[stop + 4 : body - 4].split(b"\r\n"))}
                 payload = None
                 digest = head["warc-payload-digest"].partition(":")[2]
                 if head["warc-type"] == "response":
-                    payload = bytes(block[body - stop - 4 :])
+                    payload = raw[body : stop + 4 + length]
                     if hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload digest differs in record {head['warc-record-id']}")
                 out["page_id"].append(int(head["x-page-id"]) if "x-page-id" in head else None)
