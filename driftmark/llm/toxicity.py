@@ -3,18 +3,22 @@
 Two models, of toxic and of ordinary labelled texts, give each expression a
 probability: a pair of words is interpolated with its second word, a word with
 one distribution that both classes share.  That one goes by continuation
-counts, in how many contexts a word was seen in either class.  A word too rare
-to judge is backed off to its beginning (6, 5, then 4 bytes), which inflected
-and compound forms have in common.  An expression whose counts do not differ
-between the classes beyond chance has the shared counts in both and is no
-evidence.  A text's evidence is the difference of its log-likelihoods divided
-by its number of words.
-
-Counts are of training texts that hold an expression, exact copies once, and
-come from all labelled training rows.  An expression enters the model if it
-makes up SHARE of all that is counted (and occurs LEAST times), so the model
-has at most 1 / SHARE words, as many beginnings and pairs, whatever the
-corpus; that bound is why it may be sent to all executors.
+counts, in how many contexts a word was seen in either class.
+
+Expressions form chains: a pair, its second word, the word's beginnings (6, 5,
+then 4 bytes), which inflected and compound forms have in common, and nothing.
+Each has as evidence its log ratio as far as its class counts differ beyond
+chance, and for the rest what the next of the chain has, the less so the
+better it is known.  What an expression adds to the next of its chain is its
+entry; a text's evidence is the sum of the entries of all its words, beginnings
+and pairs, divided by its number of words.
+
+Counts are of training texts that hold an expression, exact copies once.  They
+come from all labelled training rows and all of them stay, as tables.  Entries
+that could not change a text's evidence by NEGLIGIBLE are left away.  Up to
+HOT others are sent to all executors.  If there are more, those that make up
+1 / HOT of all that is counted are sent (at most HOT), and the texts' other
+expressions go as rows to the table of the rest and are summed by text.
 
 Rows with crc32(doc_id) mod 5 = 0 are held out of everything.  Of the others
 the remainder 4 only sets the cutoff and how far beyond chance counts must
@@ -24,7 +28,6 @@ differ, the rest are counted.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
 from .columns import few
-from .words import ALNUM_RULE, Block, blocks, mix
+from .words import ALNUM_RULE, Block, blocks, grams, mix
 
-SHARE, LEAST, DISCOUNT = 5e-7, 4, 0.75
+DISCOUNT = 0.75
 #: Standard deviations beyond which counts may be said to differ; the tuning rows choose one, of equal ones the largest.
 CHANCES = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0)
 #: Toxic texts to be expected before a word is known well enough to be neutral.
@@ -45,230 +48,285 @@ FOLDS, TUNING = 5, 4
 #: Evidence is tallied for the cutoff in steps of this, between -CLIP and CLIP.
 STEP, CLIP = 0.002, 5.0
 HELD = 2_000_000
+#: Entries sent to all executors.
+HOT = 2_000_000
+#: Each of a word's five expressions may be left away below this, so evidence is right to 5e-7.
+NEGLIGIBLE = 1e-7
+#: No log ratio less another is beyond this.
+FARTHEST = 100.0
 
-OWN, NEUTRAL = 2, 1
 
+def fold(doc_id: Column) -> Column:
+    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS
 
-@dataclass
-class Table:
-    """Sorted keys with their log ratio, by how many standard deviations their counts differ, and whether they are well known."""
-
-    keys: np.ndarray
-    value: np.ndarray
-    apart: np.ndarray
-    known: np.ndarray
 
-    def look(self, keys: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence of each key and its state: OWN if beyond ``chance``, NEUTRAL if well known; 0 for what the table does not have."""
-        if not len(self.keys):
-            return np.zeros(len(keys)), np.zeros(len(keys), dtype=np.int8)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        own = hit & (self.apart[at] > chance)
-        return np.where(own, self.value[at], 0.0), np.where(own, OWN, np.where(hit & self.known[at], NEUTRAL, 0)).astype(np.int8)
+def _beginning(block: Block, size: int) -> np.ndarray:
+    """Hash of the first bytes of each word; of no meaning for words that are not longer."""
+    return mix(block.hashes(size) + np.uint64(size))
 
 
-def _empty() -> Table:
-    return Table(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.float32), np.zeros(0, bool))
+def _starts(block: Block) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """(size, key, key of the next shorter, where there is one) of the beginnings, shortest first, and each word's longest; 0 is none."""
+    longest = np.zeros(len(block.starts), dtype=np.uint64)
+    out = []
+    for size in reversed(BEGINNINGS):
+        key, longer = _beginning(block, size), block.ends - block.starts > size
+        out.append((size, key, longest, longer))
+        longest = np.where(longer, key, longest)
+    return out, longest
 
 
-@dataclass
-class Model:
-    words: Table
-    beginnings: Table
-    pairs: Table
+def _seconds(block: Block) -> np.ndarray:
+    """Places of the words that have one before them in their text."""
+    second = np.ones(len(block.starts), dtype=bool)
+    second[block.first[:-1][block.counts() > 0]] = False
+    return np.flatnonzero(second)
 
 
-def fold(doc_id: Column) -> Column:
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS
+def _pair_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Key of the pair that ends at each of the places."""
+    return grams(hashes, 2)[at - 1] if len(at) else np.zeros(0, dtype=np.uint64)
 
 
-def _tally(keys: list[np.ndarray], marks: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, m, w = np.concatenate(keys), np.concatenate(marks), np.concatenate(weights)
-    order = np.lexsort((m, k))
-    k, m, w = k[order], m[order], w[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))) if len(k) else np.zeros(0, bool)
+def _tally(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(size, key, other, toxic, n) columns summed by key and class."""
+    size, key, other, toxic, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((toxic, other, key))
+    size, key, other, toxic, n = size[order], key[order], other[order], toxic[order], n[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (toxic[1:] != toxic[:-1])
     at = np.flatnonzero(new)
-    return k[at], m[at], np.add.reduceat(w, at) if len(at) else w
+    return size[at], key[at], other[at], toxic[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _grouped(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(key, toxic, n) rows for streams of keys and class marks, summed before they leave the task."""
-    keys, marks, weights, size = [], [], [], 0
+def _grouped(stream: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """(size, key, other, toxic, n) rows summed before they leave the task."""
+    parts, held = [], 0
 
     def out() -> pa.RecordBatch:
-        k, m, n = _tally(keys, marks, weights)
-        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(m.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "toxic", "n"])
-
-    for k, m in pairs:
-        x = _tally([k], [m], [np.ones(len(k), dtype=np.int64)])
-        keys.append(x[0])
-        marks.append(x[1])
-        weights.append(x[2])
-        size += len(x[0])
-        if size > HELD:
-            k, m, n = _tally(keys, marks, weights)
-            keys, marks, weights, size = [k], [m], [n], len(k)
-            if size > HELD:
+        size, key, other, toxic, n = parts[0]
+        return pa.RecordBatch.from_arrays([pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(toxic.astype(np.int32)), pa.array(n)], ["size", "key", "other", "toxic", "n"])
+
+    for x in stream:
+        parts.append(_tally([x]))
+        held += len(parts[-1][1])
+        if held > HELD:
+            parts = [_tally(parts)]
+            held = len(parts[0][1])
+            if held > HELD // 2:
                 yield out()
-                keys, marks, weights, size = [], [], [], 0
-    if size:
+                parts, held = [], 0
+    if held:
+        parts = [_tally(parts)]
         yield out()
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray]]:
-    for batch in batches:
-        for part, block in blocks(batch, "text", ALNUM_RULE):
-            yield block, np.asarray(part.column(part.schema.get_field_index("toxic")), dtype=np.int32)
+_COUNTED = "size int, key long, other long, toxic int, n long"
 
 
-def _once(keys: np.ndarray, texts: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _once(size: int, keys: np.ndarray, others: np.ndarray, texts: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
     """Each key once for each text that has it, with the text's class."""
     order = np.lexsort((keys, texts))
-    k, t = keys[order], texts[order]
+    k, o, t = keys[order], others[order], texts[order]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-    return k[new], marks[t[new]]
+    n = int(new.sum())
+    return np.full(n, size), k[new], o[new], marks[t[new]], np.ones(n, dtype=np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray]]:
+    for batch in batches:
+        for part, block in blocks(batch, "text", ALNUM_RULE):
+            yield block, np.asarray(part.column(part.schema.get_field_index("toxic")), dtype=np.int32)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Counts of whole words (no sizes), or of the first bytes of words longer than a size."""
-    def stream() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (size 0) and beginnings; ``other`` is the next of the chain."""
+    def stream() -> Iterator[tuple[np.ndarray, ...]]:
         for block, marks in _marked(batches):
-            if not sizes:
-                yield _once(block.hashes(), block.text_of_word(), marks)
-            for size in sizes:
-                longer = block.ends - block.starts > size
-                yield _once(_beginning(block, size)[longer], block.text_of_word()[longer], marks)
+            texts = block.text_of_word()
+            starts, longest = _starts(block)
+            yield _once(0, block.hashes(), longest, texts, marks)
+            for size, key, shorter, longer in starts:
+                yield _once(size, key[longer], shorter[longer], texts[longer], marks)
 
     return _grouped(stream())
 
 
-def _beginning(block: Block, size: int) -> np.ndarray:
-    """Hash of the first bytes of each word; of no meaning for words that are not longer."""
-    return mix(block.hashes(size) + np.uint64(size))
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of pairs: ``key`` is the first word and ``other`` the second."""
+    def stream() -> Iterator[tuple[np.ndarray, ...]]:
+        for block, marks in _marked(batches):
+            hashes, texts, at = block.hashes(), block.text_of_word(), _seconds(block)
+            key, text = _pair_keys(hashes, at), texts[at]
+            order = np.lexsort((key, text))
+            key, text = key[order], text[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            kept = at[order][new]
+            yield np.zeros(len(kept), dtype=np.int64), hashes[kept - 1], hashes[kept], marks[texts[kept]], np.ones(len(kept), dtype=np.int64)
 
+    return _grouped(stream())
 
-def _numbers(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Place of each hash in the sorted vocabulary, or -1."""
-    if not len(words):
-        return np.full(len(hashes), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, -1)
 
+def _weight(apart: Column, chance: float) -> Column:
+    """The part of a log ratio that is beyond chance."""
+    return (apart > chance).cast("double")
 
-def _pair_keys(block: Block, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each pair (before, word) of vocabulary words, and where there is one."""
-    ids = _numbers(hashes, words)
-    before = np.concatenate(([-1], ids[:-1])) if len(ids) else ids
-    before[block.first[:-1][block.counts() > 0]] = -1
-    return (before * max(1, len(words)) + ids).astype(np.uint64), (before >= 0) & (ids >= 0)
 
+def _apart(rate: float) -> Column:
+    """By how many standard deviations n0 and n1 differ; ``rate`` is the toxic share of all counts."""
+    both = F.col("n0") + F.col("n1")
+    return F.abs(F.col("n1") - both * rate) / F.sqrt(both * (rate * (1 - rate)) + 0.25)
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
-    def stream() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for block, marks in _marked(batches):
-            keys, ok = _pair_keys(block, block.hashes(), words)
-            yield _once(keys[ok], block.text_of_word()[ok], marks)
 
-    return _grouped(stream())
+def _known(rate: float) -> Column:
+    """1 for expressions that need nothing of the next of their chain."""
+    return ((F.col("n0") + F.col("n1")) * rate >= ENOUGH).cast("double")
 
 
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    table = df.toArrow()
-    return {name: table.column(name).to_numpy() for name in table.column_names}
+def _chained(counts: DataFrame, next_: DataFrame | None, ratio: Column, rate: float) -> DataFrame:
+    """key, n, b (evidence for each of CHANCES) and d (what it adds to the next of its chain) of ``counts``."""
+    none = F.array(*[F.lit(0.0)] * len(CHANCES))
+    rows = counts.withColumn("ratio", ratio).withColumn("apart", _apart(rate)).withColumn("known", _known(rate))
+    rows = rows.withColumn("under", none) if next_ is None else rows.join(next_.select(F.col("key").alias("other"), F.col("b").alias("under")), "other", "left").withColumn("under", F.coalesce("under", none))
+    b = [_weight(F.col("apart"), c) * F.col("ratio") + (1 - _weight(F.col("apart"), c)) * (1 - F.col("known")) * F.col("under")[i] for i, c in enumerate(CHANCES)]
+    rows = rows.withColumn("b", F.array(*b))
+    return rows.select("key", (F.col("n0") + F.col("n1")).alias("n"), "n0", "n1", "b", F.zip_with("b", "under", lambda x, y: x - y).alias("d"))
 
 
-def _apart(n: np.ndarray, rate: float) -> np.ndarray:
-    """By how many standard deviations class counts (2 rows) differ; ``rate`` is the toxic share of all counts."""
-    both = n[0] + n[1]
-    return (np.abs(n[1] - both * rate) / np.sqrt(both * rate * (1 - rate) + 0.25)).astype(np.float32)
+def _alone(n: str, total: float, kinds: float, shared: Column) -> Column:
+    """Probability in a class, interpolated with the shared distribution."""
+    return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * kinds / total * shared
 
 
-def _kept(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys and class counts of the frequent rows, and each class's total and number of kinds."""
-    sums = counts.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
-    total, kinds = (np.array([float(x or 0) for x in part]) for part in (sums[:2], sums[2:]))
-    got = _columns(counts.where(F.col("n0") + F.col("n1") >= max(LEAST, SHARE * total.sum())))  # at most 1 / SHARE rows
-    keys = got["key"].astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([got["n0"][order], got["n1"][order]]).astype(np.float64), total, kinds
-
-
-def _alone(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Class probabilities (2 rows), interpolated with the shared distribution."""
-    return np.stack([np.maximum(n[c] - DISCOUNT, 0) / total[c] + DISCOUNT * kinds[c] / total[c] * shared for c in (0, 1)])
-
-
-def _table(keys: np.ndarray, n: np.ndarray, p: np.ndarray, rate: float) -> Table:
-    return Table(keys, np.log(p[1] / p[0]), _apart(n, rate), (n[0] + n[1]) * rate >= ENOUGH)
-
-
-def learn(documents: DataFrame, marks: DataFrame) -> Model:
-    """The model from the texts of ``documents`` that ``marks`` (doc_id, toxic 0/1) names."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(marks), "doc_id")
-    first = texts.groupBy(F.xxhash64("text").alias("hash"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    texts = texts.join(few(materialise(first, "first_copies")), "doc_id", "left_semi").select("text", F.col("toxic").cast("int").alias("toxic"))
-    by_class = (F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    summed = lambda f: texts.mapInArrow(f, "key long, toxic int, n long").groupBy("key").agg(*by_class)
-    words, n, total, kinds = _kept(materialise(summed(lambda it: _counts(it, ())), "words"))
-    v = len(words)
-    if not v or min(total) == 0:
-        return Model(_empty(), _empty(), _empty())
-    rate = total[1] / total.sum()
-    sent = documents.sparkSession.sparkContext.broadcast(words)
-    pairs = materialise(summed(lambda it: _pair_counts(it, sent.value)), "bigrams")
-    seen = _columns(pairs.groupBy((F.col("key") % v).alias("word")).agg(F.count("*").alias("contexts")))  # a row for each word of the vocabulary at most
-    after = _columns(pairs.groupBy(F.expr(f"key div {v}").alias("word")).agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")))
-    shared = np.full(v, 0.5)
-    shared[seen["word"]] += seen["contexts"]
-    p = _alone(n, total, kinds, shared / shared.sum())
-    keys, m, _, _ = _kept(pairs)
-    followers = np.zeros((2, v))
-    for c in (0, 1):
-        followers[c][after["word"]] = after[f"k{c}"]
-    before, word = (keys // np.uint64(v)).astype(np.int64), (keys % np.uint64(v)).astype(np.int64)
-    room = np.maximum(n[:, before], 1)
-    together = np.minimum(np.maximum(m - DISCOUNT, 0) / room, 1) + np.clip(DISCOUNT * followers[:, before] / room, 1e-3, 1) * p[:, word]
-    pair_table = _table(keys, m, together, rate)
-    own = pair_table.apart > min(CHANCES)
-    k, b, whole, kin = _kept(materialise(summed(lambda it: _counts(it, BEGINNINGS)), "beginnings"))
-    starts = _table(k, b, _alone(b, np.maximum(whole, 1), kin, b.sum(axis=0) / max(1.0, b.sum())), rate)
-    return Model(_table(words, n, p, rate), starts, Table(keys[own], pair_table.value[own], pair_table.apart[own], pair_table.known[own]))
-
-
-def evidence(block: Block, model: Model, chance: float) -> np.ndarray:
-    """Toxic less ordinary log-likelihood of each text, divided by its number of words; 0 for a text without words."""
-    if not len(model.words.keys):
-        return np.zeros(len(block))
-    hashes = block.hashes()
-    value, state = model.words.look(hashes, chance)
-    for size in BEGINNINGS:
-        at = np.flatnonzero((state == 0) & (block.ends - block.starts > size))
-        value[at], state[at] = model.beginnings.look(_beginning(block, size)[at], chance)
-    pair, ok = _pair_keys(block, hashes, model.words.keys)
-    at = np.flatnonzero(ok)
-    own, known = model.pairs.look(pair[at], chance)
-    value[at[known == OWN]] = own[known == OWN]
-    sums = np.concatenate(([0.0], np.cumsum(value)))
-    return (sums[block.first[1:]] - sums[block.first[:-1]]) / np.maximum(block.counts(), 1)
-
-
-def _evidence(batches: Iterator[pa.RecordBatch], model: Model, chance: float) -> Iterator[pa.RecordBatch]:
+def _totals(counts: DataFrame) -> tuple[list[float], list[float]]:
+    """Of each class the sum of the counts and the number of kinds."""
+    got = counts.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+    return [float(x or 0) for x in got[:2]], [float(x or 0) for x in got[2:]]
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n and d of pairs (before, word, n, d)."""
+    for batch in batches:
+        words = np.stack([np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1)], axis=1).ravel()
+        keys = grams(words, 2)[::2] if len(words) else words
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2), batch.column(3)], ["key", "n", "d"])
+
+
+class Model:
+    """All counts of the texts of ``documents`` that ``marks`` (doc_id, toxic 0/1) names, as tables."""
+
+    def __init__(self, documents: DataFrame, marks: DataFrame) -> None:
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(marks), "doc_id")
+        first = texts.groupBy(F.xxhash64("text").alias("hash"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        texts = texts.join(few(materialise(first, "first_copies")), "doc_id", "left_semi").select("text", F.col("toxic").cast("int").alias("toxic"))
+        by_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+        self.counts = materialise(texts.mapInArrow(_word_counts, _COUNTED).groupBy("key").agg(F.first("size").alias("size"), F.first("other").alias("other"), *by_class), "words")
+        counted = texts.mapInArrow(_pair_counts, _COUNTED).select(F.col("key").alias("before"), F.col("other").alias("word"), "toxic", "n")
+        self.pairs = materialise(counted.groupBy("before", "word").agg(*by_class), "bigrams")
+        self.total, self.kinds = _totals(self.counts.where("size = 0"))
+        self.rate = self.total[1] / max(1.0, sum(self.total))
+
+    def words(self) -> DataFrame:
+        """key, size, n, b, d, n0, n1, p0, p1 of the words (size 0) and beginnings; p0, p1 are null for beginnings."""
+        starts = self.counts.where("size > 0")
+        whole, kinds = _totals(starts)
+        ratio = lambda whole, kinds, shared: F.log(_alone("n1", whole[1], kinds[1], shared) / _alone("n0", whole[0], kinds[0], shared))
+        pooled = (F.col("n0") + F.col("n1")) / max(1.0, sum(whole))
+        levels, under = [], None
+        for size in reversed(BEGINNINGS):
+            under = _chained(starts.where(F.col("size") == size), under, ratio([max(1.0, x) for x in whole], [max(1.0, x) for x in kinds], pooled), self.rate)
+            levels.append(under)
+        longest = levels[0].unionByName(levels[1]).unionByName(levels[2])
+        contexts = self.pairs.groupBy(F.col("word").alias("key")).agg(F.count("*").alias("contexts"))
+        found = self.counts.where("size = 0").join(contexts, "key", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)) + 0.5)
+        found = materialise(found, "contexts")
+        shared = F.col("contexts") / float(found.agg(F.sum("contexts")).first()[0])
+        own = _chained(found, longest, ratio(self.total, self.kinds, shared), self.rate)
+        p = found.select("key", *[_alone(f"n{c}", self.total[c], self.kinds[c], shared).alias(f"p{c}") for c in (0, 1)])
+        return materialise(own.join(p, "key").unionByName(longest, allowMissingColumns=True), "evidence")
+
+    def pair_entries(self, words: DataFrame, chosen: int) -> DataFrame:
+        """key, n and d (one number) of the pairs whose entries are not negligible."""
+        chance = CHANCES[chosen]
+        words = words.where("p0 is not null")
+        followers = self.pairs.groupBy("before").agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
+        rows = self.pairs.withColumn("weight", _weight(_apart(self.rate), chance)).where(F.col("weight") * FARTHEST >= NEGLIGIBLE)
+        rows = materialise(rows, "telling")
+        rooms = followers.join(words.select(F.col("key").alias("before"), F.col("n0").alias("r0"), F.col("n1").alias("r1")), "before")
+        rows = rows.join(rooms, "before").join(words.select(F.col("key").alias("word"), "p0", "p1", F.col("b")[chosen].alias("under")), "word")
+
+        def together(c: int) -> Column:
+            room = F.greatest(F.col(f"r{c}"), F.lit(1))
+            return F.least(F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / room, F.lit(1.0)) + F.greatest(F.lit(1e-3), F.least(F.lit(1.0), DISCOUNT * F.col(f"k{c}") / room)) * F.col(f"p{c}")
+
+        d = F.col("weight") * (F.log(together(1) / together(0)) - F.col("under"))
+        return rows.select("before", "word", (F.col("n0") + F.col("n1")).alias("n"), d.alias("d")).mapInArrow(_with_keys, "key long, n long, d double").where(F.abs("d") >= NEGLIGIBLE)
+
+
+def _expressions(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of all expressions of a block and the texts they are in, kind by kind."""
+    hashes, texts, at = block.hashes(), block.text_of_word(), _seconds(block)
+    yield hashes, texts
+    for _, key, _, longer in _starts(block)[0]:
+        yield key[longer], texts[longer]
+    yield _pair_keys(hashes, at), texts[at]
+
+
+def _summed(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray, rest: bool) -> Iterator[pa.RecordBatch]:
+    """A row of sums for each text and, with ``rest``, one of (row, key, times) for each of its expressions that ``keys`` has not."""
+    names = ["row", "doc_id", "words", "sums", "key", "times"]
     for batch in batches:
         for part, block in blocks(batch, "text", ALNUM_RULE):
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(evidence(block, model, chance))], ["doc_id", "evidence"])
+            sums = np.zeros((len(block), values.shape[1]))
+            others: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for key, text in _expressions(block):
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                for j in range(values.shape[1]):
+                    sums[:, j] += np.bincount(text[hit], values[at[hit], j], minlength=len(block))
+                if rest:
+                    k, t = key[~hit], text[~hit]
+                    order = np.lexsort((k, t))
+                    k, t = k[order], t[order]
+                    new = np.ones(len(k), dtype=bool)
+                    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+                    where = np.flatnonzero(new)
+                    others.append((t[where], k[where], np.diff(np.append(where, len(k)))))
+            rows = part.column(part.schema.get_field_index("row"))
+            n = len(block)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()), pa.array(sums.ravel()))
+            yield pa.RecordBatch.from_arrays([rows, part.column(part.schema.get_field_index("doc_id")), pa.array(block.counts().astype(np.int64)), flat, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+            for t, k, times in others:
+                n = len(k)
+                yield pa.RecordBatch.from_arrays([rows.take(pa.array(t)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float64())), pa.array(k.view(np.int64)), pa.array(times.astype(np.int64))], names)
+
+
+def evidence(texts: DataFrame, entries: DataFrame, width: int) -> DataFrame:
+    """doc_id and ``sums`` (``width`` numbers, by word) for every row of ``texts`` (doc_id, text), from entries (key, n, d array)."""
+    entries = materialise(entries, "entries")
+    size, whole = entries.agg(F.count("*"), F.sum("n")).first()
+    rest = size > HOT
+    sent = entries.where(F.col("n") >= whole / HOT) if rest else entries  # at most HOT rows
+    table = sent.select("key", *[F.col("d")[j].alias(f"d{j}") for j in range(width)]).toArrow()
+    keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    values = np.stack([table.column(f"d{j}").to_numpy().astype(np.float64) for j in range(width)], axis=1)[order]
+    both = texts.sparkSession.sparkContext.broadcast((keys[order], values))
+    out = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _summed(it, *both.value, rest), "row long, doc_id long, words long, sums array<double>, key long, times long")
+    if rest:
+        out = materialise(out, "expressions")
+        left = entries.where(F.col("n") < whole / HOT).select("key", "d")
+        added = out.where("key is not null").select("row", "key", "times").join(left, "key").groupBy("row").agg(F.array(*[F.sum(F.col("times") * F.col("d")[j]) for j in range(width)]).alias("added"))
+        out = out.where("key is null").join(added, "row", "left").withColumn("sums", F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda x, y: x + y)))
+    return out.select("doc_id", F.transform("sums", lambda x: x / F.greatest(F.col("words"), F.lit(1))).alias("sums"))
 
 
-def _trials(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """(chance, bin, toxic, n) of the tuning texts (text, toxic), summed by task."""
-    counts: dict[tuple[float, int, int], int] = {}
-    for block, marks in _marked(batches):
-        for chance in CHANCES:
-            bins = np.floor(np.clip(evidence(block, model, chance), -CLIP, CLIP) / STEP).astype(int)
-            for b, c in zip(bins.tolist(), marks.tolist(), strict=True):
-                counts[chance, b, c] = counts.get((chance, b, c), 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.float64()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["chance", "bin", "toxic", "n"])
+def _tallies(rows: DataFrame, value: Column) -> DataFrame:
+    """(bin, toxic, n) of rows (toxic)."""
+    clipped = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), value))
+    return rows.groupBy(F.floor(clipped / STEP).cast("int").alias("bin"), "toxic").agg(F.count("*").alias("n"))
 
 
 def cutoff(tallies: list[tuple[int, int, int]]) -> tuple[float, float, float]:
@@ -299,17 +357,23 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     a doc_id are scored alone.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
-    marks = marks.where("fold <> 0")
-    model = learn(documents, marks.where(F.col("fold") != TUNING).drop("fold"))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    marks = materialise(marks.where("fold <> 0"), "marks")
+    model = Model(documents, marks.where(F.col("fold") != TUNING).drop("fold"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tuning = texts.join(few(marks.where(F.col("fold") == TUNING).select("doc_id", "toxic")), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    tallies = tuning.mapInArrow(lambda it: _trials(it, sent.value), "chance double, bin int, toxic int, n long").groupBy("chance", "bin", "toxic").agg(F.sum("n").alias("n"))
-    rows = tallies.collect()  # at most 2 * CLIP / STEP bins of two classes for each of CHANCES
-    trials = {chance: cutoff([(r["bin"], r["toxic"], r["n"]) for r in rows if r["chance"] == chance]) for chance in CHANCES}
-    chance = max(CHANCES, key=lambda c: (trials[c][2], c))
-    at, slope, _ = trials[chance]
-    out = texts.mapInArrow(lambda it: _evidence(it, sent.value, chance), "doc_id long, evidence double")
+    held_out = (F.coalesce(fold(F.col("doc_id")), F.lit(0)) == 0).alias("held_out")
+    if min(model.total) == 0:
+        return texts.select("doc_id", held_out, F.lit(0.0).alias("evidence"), (1 / (1 + F.exp(F.lit(CLIP)))).alias("score"), F.lit(0).alias("predicted"))
+    tuning = few(marks.where(F.col("fold") == TUNING).select("doc_id", "toxic"))
+    words = model.words()
+    telling = words.where(F.exists("d", lambda x: F.abs(x) >= NEGLIGIBLE)).select("key", "n", "d")
+    # how far beyond chance is chosen by words and beginnings, the cutoff by all
+    tried = materialise(evidence(texts.join(tuning.select("doc_id"), "doc_id"), telling, len(CHANCES)).join(tuning, "doc_id"), "tried")
+    trials = [cutoff([tuple(r) for r in _tallies(tried, F.col("sums")[j]).collect()])[2] for j in range(len(CHANCES))]  # at most 2 * CLIP / STEP bins of two classes
+    chosen = max(range(len(CHANCES)), key=lambda j: (trials[j], j))
+    entries = telling.select("key", "n", F.array(F.col("d")[chosen]).alias("d")).where(F.abs(F.col("d")[0]) >= NEGLIGIBLE)
+    entries = entries.unionByName(model.pair_entries(words, chosen).select("key", "n", F.array("d").alias("d")))
+    out = materialise(evidence(texts, entries, 1).select("doc_id", F.col("sums")[0].alias("evidence")), "toxicity")
+    at, slope, _ = cutoff([tuple(r) for r in _tallies(out.join(tuning, "doc_id"), F.col("evidence")).collect()])
     logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (F.col("evidence") - at) * slope))
     value = 1 / (1 + F.exp(-logit))
-    return out.select("doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(0)) == 0).alias("held_out"), "evidence", value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out, "evidence", value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))

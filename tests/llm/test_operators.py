@@ -429,6 +429,29 @@ def test_toxicity(spark, none):
     assert {r["predicted"] for r in toxicity.score(spark.createDataFrame(rows[:50], "doc_id long, text string"), empty).collect()} == {0}
 
 
+def toxic_texts(spark):
+    """Texts of which one in eight is toxic, a word in three toxic training texts, and one in 50 training texts, 30 of them toxic."""
+    rng = random.Random(5)
+    counted = [i for i in range(4000) if binascii.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    bad, good = ([i for i in counted if (i % 8 == 0) == x] for x in (True, False))
+    extra = dict.fromkeys(bad[:3], " seldom") | dict.fromkeys(bad[10:40] + good[:20], " mixed")
+    text = lambda i: " ".join(f"v{int(rng.paretovariate(0.7)) % 3000}" for _ in range(40)) + (" nasty nasty" if i % 8 == 0 else "") + extra.get(i, "")
+    rows = [(i, text(i)) for i in range(4000)] + [(9001, "seldom"), (9002, "mixed"), (9003, "unheard")]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(4000)], "doc_id long, quality int, toxic int")
+
+
+def test_rare_expressions_have_counts(spark, monkeypatch):
+    documents, labels = toxic_texts(spark)
+    whole = {r["doc_id"]: r for r in toxicity.score(documents, labels).collect()}
+    model = toxicity.Model(documents, labels.select("doc_id", "toxic"))
+    rare = model.counts.where("size = 0 and n0 + n1 = 1").count()
+    assert rare > 0 and model.pairs.where("n0 + n1 = 1").count() > 0
+    monkeypatch.setattr(toxicity, "HOT", 20)  # most entries go by a shuffle, with the same results
+    shuffled = {r["doc_id"]: r for r in toxicity.score(documents, labels).collect()}
+    assert len(shuffled) == len(whole) == 4003
+    assert all(abs(shuffled[i]["evidence"] - whole[i]["evidence"]) < 1e-9 and shuffled[i]["predicted"] == whole[i]["predicted"] for i in whole)
+
+
 # all
 
 
