@@ -7,9 +7,9 @@ counts, in how many contexts a word was seen in either class.
 
 Expressions form chains: a pair, its second word, the word's beginnings (6, 5,
 then 4 bytes), which inflected and compound forms have in common, and nothing.
-Each has as evidence its log ratio as far as its class counts differ beyond
-chance, and for the rest what the next of the chain has, the less so the
-better it is known.  What an expression adds to the next of its chain is its
+Each has as evidence its log ratio by a weight that grows with how far its
+class counts differ, never cut to 0, and for the rest what the next of the
+chain has, the less so the better it is known.  What an expression adds to the next of its chain is its
 entry; a text's evidence is the sum of the entries of all its words, beginnings
 and pairs, divided by its number of words.
 
@@ -39,10 +39,12 @@ from .columns import few
 from .words import ALNUM_RULE, Block, blocks, grams, mix
 
 DISCOUNT = 0.75
-#: Standard deviations beyond which counts may be said to differ; the tuning rows choose one, of equal ones the largest.
+#: Standard deviations by which counts must differ for half of a log ratio; the tuning rows choose one, of equal ones the largest.
 CHANCES = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0)
-#: Toxic texts to be expected before a word is known well enough to be neutral.
+#: Toxic texts to be expected before a word is half known well enough to be neutral.
 ENOUGH = 5.0
+#: Power with which both weights go from 0 to 1.
+SHARPNESS = 8.0
 BEGINNINGS = (6, 5, 4)
 FOLDS, TUNING = 5, 4
 #: Evidence is tallied for the cutoff in steps of this, between -CLIP and CLIP.
@@ -170,8 +172,8 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weight(apart: Column, chance: float) -> Column:
-    """The part of a log ratio that is beyond chance."""
-    return (apart > chance).cast("double")
+    """The part of a log ratio that counts: from 0 for no difference through 1/2 at ``chance`` to 1, without a step."""
+    return 1 / (1 + F.pow(chance / F.greatest(apart, F.lit(1e-9)), F.lit(SHARPNESS)))
 
 
 def _apart(rate: float) -> Column:
@@ -181,8 +183,8 @@ def _apart(rate: float) -> Column:
 
 
 def _known(rate: float) -> Column:
-    """1 for expressions that need nothing of the next of their chain."""
-    return ((F.col("n0") + F.col("n1")) * rate >= ENOUGH).cast("double")
+    """From 0 through 1/2 at ENOUGH to 1 for expressions that need nothing of the next of their chain."""
+    return 1 / (1 + F.pow(ENOUGH / ((F.col("n0") + F.col("n1")) * rate), F.lit(SHARPNESS)))
 
 
 def _chained(counts: DataFrame, next_: DataFrame | None, ratio: Column, rate: float) -> DataFrame:

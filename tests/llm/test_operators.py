@@ -452,6 +452,12 @@ def test_rare_expressions_have_counts(spark, monkeypatch):
     assert all(abs(shuffled[i]["evidence"] - whole[i]["evidence"]) < 1e-9 and shuffled[i]["predicted"] == whole[i]["predicted"] for i in whole)
 
 
+def test_little_and_mixed_evidence_counts(spark):
+    documents, labels = toxic_texts(spark)
+    found = {r["doc_id"]: r["evidence"] for r in toxicity.score(documents, labels).where("doc_id > 9000").collect()}
+    assert found[9002] > found[9001] > 0 and found[9003] == 0
+
+
 # all
 
 
