@@ -5,13 +5,17 @@ value is a protected entity.  Over the whole corpus the words that stand near
 an entity are counted, and all words are.  With c(e, t) occurrences of t within
 WINDOW words of e, c(e) words near e, c(t) occurrences of t and T words in
 all, a word tells log2(c(e, t) T / (c(e) c(t))) of the log2(T / c(e)) bits
-that name the entity.  Where that share reaches GENERALISE (REMOVE), in at
-least SUPPORT documents, the occurrences near the entity are generalised to
-their shape (removed).
-
-Texts are read once.  Entities, nearby words and word counts leave that pass
-as rows; counts are combined in each task first, and a frequent entity or word
-is only ever summed.
+that name the entity; the same is worked out with the entity's documents in
+place of the WINDOW for words that stand near it once.  Where a share reaches GENERALISE (REMOVE), the word
+is told of the entity, if it stands near it in at least SUPPORT documents, or
+in all documents of an entity that has fewer.  In each document that holds the
+entity all occurrences of a told word, near it or not, are generalised to their
+shape (removed).  Documents without the value stay as they are.
+
+Texts are read once to count: entities, nearby words and word counts leave that
+pass as rows; counts are combined in each task first, and a frequent entity or
+word is only ever summed.  Texts that hold an entity of which words are told
+are read again, and their words are joined to the told ones.
 """
 
 from __future__ import annotations
@@ -112,16 +116,16 @@ class _Counts:
         return _batch(len(keys), term=pa.array(keys.astype(np.int64)), times=pa.array(times))
 
 
-_FIELDS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base": pa.string(), "near": pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])), "term": pa.int64(), "times": pa.int64()}
-_SCHEMA = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,term:long,first:long,last:long>>, term long, times long"
+_FIELDS = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_email": pa.int64(), "n_ip": pa.int64(), "n_card": pa.int64(), "n_phone": pa.int64(), "base": pa.string(), "words": pa.int64(), "entities": pa.list_(pa.int64()), "near": pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])), "term": pa.int64(), "times": pa.int64()}
+_SCHEMA = "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, words long, entities array<long>, near array<struct<entity:long,term:long,first:long,last:long>>, term long, times long"
 
 
 def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in _FIELDS.items()], list(_FIELDS))
 
 
-def _near(block: Block, i: int, text: str, spans: list[tuple[str, int, int]], hashes: np.ndarray) -> list[dict[str, int]]:
-    """Words outside all spans, within WINDOW words of each span of text i."""
+def _outside(block: Block, i: int, text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Starts and ends of the words of text i, which are inside spans, and (entity, first word, word after) of each span."""
     a, b = int(block.first[i]), int(block.first[i + 1])
     begin = int(block.offsets[i])
     starts, ends = block.starts[a:b] - begin, block.ends[a:b] - begin
@@ -136,12 +140,37 @@ def _near(block: Block, i: int, text: str, spans: list[tuple[str, int, int]], ha
         inside[lo:hi] = True
         name = hashlib.blake2b(f"{kind}:{text[s:e].lower()}".encode(), digest_size=8).digest()
         places.append((int.from_bytes(name, "little", signed=True), lo, hi))
+    return starts, ends, inside, places
+
+
+def _near(block: Block, i: int, text: str, spans: list[tuple[str, int, int]], hashes: np.ndarray) -> tuple[list[int], list[dict[str, int]]]:
+    """Entities of text i, and words outside all spans, within WINDOW words of each span."""
+    a, b = int(block.first[i]), int(block.first[i + 1])
+    starts, ends, inside, places = _outside(block, i, text, spans)
     out: dict[tuple[int, int], dict[str, int]] = {}
     for entity, lo, hi in places:
         for k in (*range(max(0, lo - WINDOW), lo), *range(hi, min(b - a, hi + WINDOW))):
             if not inside[k]:
                 out[entity, k] = {"entity": entity, "term": int(hashes[a + k].astype(np.int64)), "first": int(starts[k]), "last": int(ends[k])}
-    return list(out.values())
+    return sorted({entity for entity, _, _ in places}), list(out.values())
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, term, first, last, entities) of all words outside spans."""
+    for batch in batches:
+        for part, block in blocks(batch, "text", ALNUM_RULE):
+            hashes = block.hashes().view(np.int64)
+            names = ["doc_id", "text_hash", "term", "first", "last"]
+            of, terms, firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, text in enumerate(part.column(part.schema.get_field_index("text")).to_pylist()):
+                starts, ends, inside, _ = _outside(block, i, text or "", find(text or ""))
+                kept = np.flatnonzero(~inside)
+                of.append(np.full(len(kept), i))
+                terms.append(hashes[int(block.first[i]) + kept])
+                firsts.append(starts[kept])
+                lasts.append(ends[kept])
+            rows = pa.array(np.concatenate(of))
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(x)).take(rows) for x in names[:2]), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (terms, firsts, lasts)), part.column(part.schema.get_field_index("entities")).take(rows)], [*names, "entities"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +179,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, block in blocks(batch, "text", ALNUM_RULE):
             hashes = block.hashes()
             counts.add(hashes)
-            base, near, tally = [], [], {k: [] for k in KINDS}
+            base, held, near, tally = [], [], [], {k: [] for k in KINDS}
             for i, text in enumerate(part.column(part.schema.get_field_index("text")).to_pylist()):
                 spans = find(text) if text else []
                 base.append(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
-                near.append(_near(block, i, text, spans, hashes) if spans else [])
+                entities, words = _near(block, i, text, spans, hashes) if spans else ([], [])
+                held.append(entities)
+                near.append(words)
                 for k in KINDS:
                     tally[k].append(sum(x[0] == k for x in spans))
             yield _batch(
-                len(block), doc_id=part.column(part.schema.get_field_index("doc_id")), text_hash=part.column(part.schema.get_field_index("text_hash")), base=pa.array(base), near=pa.array(near, _FIELDS["near"]), **{f"n_{k}": pa.array(v, pa.int64()) for k, v in tally.items()}
+                len(block), doc_id=part.column(part.schema.get_field_index("doc_id")), text_hash=part.column(part.schema.get_field_index("text_hash")), base=pa.array(base), words=pa.array(block.counts().astype(np.int64)), entities=pa.array(held, _FIELDS["entities"]), near=pa.array(near, _FIELDS["near"]), **{f"n_{k}": pa.array(v, pa.int64()) for k, v in tally.items()}
             )
             if counts.size > HELD:
                 yield counts.flush()
@@ -183,14 +214,30 @@ def scan(documents: DataFrame) -> DataFrame:
     mass = pairs.groupBy("entity").agg(F.sum("both").alias("near"))
     counts = found.where("term is not null").select("term", "times")
     total = float(counts.agg(F.sum("times")).first()[0] or 1)
-    known = pairs.where(F.col("docs") >= SUPPORT)
+    held = rows.where("size(entities) > 0").select("row", "doc_id", "text_hash", "words", F.explode("entities").alias("entity"))
+    scarce = held.groupBy("entity").agg(F.count("*").alias("all_docs"), F.sum("words").cast("double").alias("words"))
+    known = materialise(pairs.join(scarce, "entity").where(F.col("docs") >= F.least(F.lit(SUPPORT), "all_docs")).drop("all_docs"), "known")
     times = counts.join(few(known.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("times").alias("times"))
-    told = known.join(times, "term").join(mass, "entity").withColumn("share", F.log2(F.col("both") * total / (F.col("near") * F.col("times"))) / F.log2(total / F.col("near")))
+    share = lambda both, mass: F.log2(F.col(both) * total / (F.col(mass) * F.col("times"))) / F.log2(total / F.col(mass))
+    known = known.join(times, "term").join(mass, "entity").withColumn("share", share("both", "near"))
+    # beside the window the whole document counts; an entity's documents must have room for enough of the word's occurrences
+    known = known.where((F.col("share") >= GENERALISE) | (F.col("times") * F.pow(F.col("words") / total, 1 - GENERALISE) <= F.col("words")))
+    known = materialise(known.select("entity", "term", "times", "words", "share"), "candidates")
+    # texts with such an entity are read again; equal rows have equal places, so each is read once
+    held = materialise(held.join(few(known.select("entity").distinct()), "entity", "left_semi"), "held")
+    again = few(held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("entity").alias("entities")))
+    texts = docs.join(again, docs["doc_id"].eqNullSafe(again["_id"]) & (docs["text_hash"] == again["_hash"])).drop("_id", "_hash").dropDuplicates(["doc_id", "text_hash"])
+    places = texts.mapInArrow(_places, "doc_id long, text_hash long, term long, first long, last long, entities array<long>")
+    places = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "term", "first", "last", F.explode("entities").alias("entity"))
+    places = materialise(places.join(few(known.select("entity", "term")), ["entity", "term"]), "places").withColumnRenamed("entity", "_entity")
+    placed = held.join(places, (held["entity"] == places["_entity"]) & (held["text_hash"] == places["_hash"]) & held["doc_id"].eqNullSafe(places["_id"])).select("row", "entity", "term", "first", "last")
+    placed = materialise(placed, "placed")
+    told = known.join(placed.groupBy("entity", "term").agg(F.count("*").alias("inside")), ["entity", "term"]).withColumn("share", F.greatest("share", share("inside", "words")))
     told = told.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    # a word near two entities is removed if either asks for it
-    marked = near.join(told, ["entity", "term"]).groupBy("row", "first", "last").agg(F.max("action").alias("action"))
+    # a word told of two entities is removed if either asks for it
+    marked = placed.join(told, ["entity", "term"]).groupBy("row", "first", "last").agg(F.max("action").alias("action"))
     marked = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last", "action"))).alias("terms"))
-    out = rows.drop("near").join(marked, "row", "left")
+    out = rows.drop("near", "entities", "words").join(marked, "row", "left")
     listed = F.transform(F.coalesce("terms", F.array().cast("array<struct<first:long,last:long,action:string>>")), lambda t: F.concat_ws(":", F.lit("term"), t["first"].cast("string"), t["last"].cast("string")))
     spans = F.array_join(F.filter(F.concat(F.array("base"), listed), lambda x: x != ""), ",")
     return out.withColumn("spans", spans).drop("row")

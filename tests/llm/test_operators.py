@@ -334,6 +334,24 @@ def test_mixing(spark, both, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_told_words_are_marked_all_over_and_for_rare_values(spark):
+    rng = random.Random(6)
+    noise = lambda n: " ".join(f"n{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, f"{noise(20)} Zaphod writes to z@beeblebrox.org {noise(30)} {'Zaphod' if i % 2 else 'n1'} {noise(20)}") for i in range(20)]
+    rows += [(200, f"{noise(20)} Trillian writes to t@heart.org {noise(30)} Trillian {noise(5)}"), (201, f"Zaphod {noise(40)}"), (None, f"{noise(20)} Marvin has m@heart.org {noise(30)} Marvin")]
+    rows += [rows[1]] + [(300 + i, noise(60)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = personal_data.scan(df)
+    assert found.count() == len(rows)
+    clean = collections.defaultdict(list)
+    for r in personal_data.sanitise(df, found).collect():
+        clean[r["doc_id"]].append(r["text"])
+    assert all("Zaphod" not in t for i in range(20) for t in clean[i]) and len(clean[1]) == 2
+    assert "Trillian" not in clean[200][0] and "Marvin" not in clean[None][0]
+    assert clean[201] == [dict(rows)[201]]
+
+
+
 # sharding
 
 
