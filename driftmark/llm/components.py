@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating star contractions.
 
 Each pass lets every node point its larger neighbours at the smallest node it
-knows.  Only minima are aggregated, so a node with very many links is combined
-before the shuffle and no neighbour list is ever gathered.
+knows, until only stars around smallest nodes are left.  Only minima and counts
+are aggregated, so a node with very many links is combined before the shuffle
+and no neighbour list is ever gathered.
 """
 
 from __future__ import annotations
@@ -27,6 +28,12 @@ def _star(pairs: DataFrame, both_ways: bool) -> DataFrame:
     return moved.where("a > b").distinct()
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each larger node has one link, to a node that has none itself; then all are linked to their component's smallest."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 or ups = 1 and n > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``links`` (a long, b long); comp is the smallest node reachable.
 
@@ -34,12 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     pairs = materialise(pairs, "links")
-    size = None
-    while True:
+    while not _stars(pairs):
         pairs = materialise(_star(_star(pairs, True), False), "stars")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == size:
-            break
-        size = now
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)

@@ -9,11 +9,13 @@
    on a band are candidates (a pair at similarity 0.75 is missed with
    probability (1 - 0.75**4)**32, about 5e-6).
 4. Candidates with too many shingles of their own to reach the threshold with
-   any other leave.  Each bucket's members are first compared with one pivot.
-   What is then not yet known to be in one group is compared pair by pair
-   where few pairs remain, and in bounded blocks where many do: a task takes
-   two chunks of members and returns a spanning forest of their links, so no
-   group is listed as pairs and no possible link is dropped.
+   any other leave.  Each bucket's members are first compared with one pivot,
+   those of crowded buckets with some more.  A bucket of which a few members
+   are then outside its largest group is compared pair by pair, another in
+   bounded blocks: a task takes two chunks of the bucket's members and returns
+   a spanning forest of their links, so no group is listed as pairs and no
+   possible link is dropped.  Members that are in one group already, or that
+   met in another bucket's blocks, are not compared again.
 5. A pair's signatures are compared 16 values at a time; the pair is pruned as
    soon as the posterior probability that its similarity reaches the threshold
    falls below ``MISS``.  Survivors are verified on their full sets.
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
+from .columns import few
 from .components import components
 from .words import BLANK_RULE, blocks, grams, mix
 
@@ -42,12 +45,14 @@ SIGNATURE = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 PERCENT = 75
-#: A bucket whose remaining pairs are at most so many times its members is compared pair by pair, another in blocks.
-FEW = 2
-#: Members of a chunk of a block.
-CHUNK = 1024
-#: Up to so many ids are sent to all executors (8 MB); beyond, the same join shuffles.
-BROADCAST_IDS = 1_000_000
+#: A bucket with at most so many members outside its largest group is compared pair by pair, another in blocks.
+FEW = 4
+#: Second pivots of a crowded bucket.
+PIVOTS = 8
+#: Members of a bucket that are joined in one task.
+CROWD = 4096
+#: Units of a chunk of a block: shingles, and UNIT more for each member (8 MB of shingles, at most about 2,000 members).
+CHUNK, UNIT = 1_000_000, 500
 
 _MULTIPLY = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
@@ -145,9 +150,9 @@ def _links(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return _both(kept, facts, "shingles").mapInArrow(_verified, "a long, b long")
 
 
-def _some(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """``ids``, marked for broadcast if they are few enough to be sent everywhere."""
-    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` written, and marked for broadcast if they are few enough to be sent everywhere."""
+    return few(materialise(rows, "few"))
 
 
 def groups(documents: DataFrame) -> DataFrame:
@@ -167,15 +172,16 @@ def groups(documents: DataFrame) -> DataFrame:
     rows = materialise(docs.mapInArrow(lambda it: _sets(it, False), _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"))
     classes = materialise(classes, "classes")
-    nodes = rows.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "set_key", "signature")
+    nodes = rows.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "set_key", "signature")
     bands = nodes.select("node", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS})))")).alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = materialise(bands.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    wanted = materialise(nodes.drop("signature").join(wanted, "node"), "wanted")
-    again = docs.withColumnRenamed("doc_id", "id").join(_some(wanted.select("doc_id").distinct()), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").withColumnRenamed("id", "doc_id")
+    wanted = materialise(nodes.drop("signature").join(members.select("node").distinct(), "node"), "wanted")
+    places = few(wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    # one text of each class is read again, however many rows repeat it
+    again = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"]) & (docs["text_hash"] == places["_hash"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
     full = again.mapInArrow(lambda it: _sets(it, True), _SCHEMA + ", shingles binary")
-    facts = full.drop("n_shingles", "text_hash").join(_some(wanted.select("node", F.col("doc_id").alias("id"), "set_key")), (F.col("doc_id").eqNullSafe(F.col("id"))) & (full["set_key"] == wanted["set_key"])).select("node", "signature", "shingles")
+    facts = full.join(few(wanted.select("node", "set_key")), "set_key").select("node", "signature", "shingles")
     facts = materialise(facts, "facts")
     found = _compare(_possible(members, facts), facts)
     nodes = classes.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
@@ -202,8 +208,8 @@ def _possible(members: DataFrame, facts: DataFrame) -> DataFrame:
     bounds = held.join(common, "shingle").groupBy("node").agg(F.count("*").alias("c"))
     bounds = bounds.join(facts.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node").where(f"100 * c >= {PERCENT} * n")
     left = materialise(members.join(bounds, "node"), "bounded")
-    least = left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("count")).where("count > 1")
-    return materialise(left.join(least, "bucket").where(_within("n", "least", "c")).select("node", "bucket", "n", "c"), "possible")
+    least = left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("k")).where("k > 1")
+    return materialise(left.join(_few(least), "bucket").where(_within("n", "least", "c")).select("node", "bucket", "n", "c", "k"), "possible")
 
 
 def _within(n: str, m: str, c: str) -> str:
@@ -224,7 +230,8 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     right = pdf if one else pdf[pdf["chunk"] == pdf["cj"]]
     if not len(left) or not len(right):
         return none
-    alive = np.ones((len(left), len(right)), dtype=bool)
+    # a null `seen` is NaN here and equals nothing
+    alive = np.logical_and(*(left[x].to_numpy()[:, None] != right[x].to_numpy()[None, :] for x in ("comp", "seen")))
     if one:
         alive = np.triu(alive, 1)
     equal = np.zeros(alive.shape, dtype=np.int16)
@@ -266,41 +273,92 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]) if out else none
 
 
-def _dense_links(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """Links among the members of crowded buckets, block by block.
+def _live(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (bucket, node, n, c) of buckets that hold more than one component, with comp, k (the bucket's members), big (its largest component) and few.
 
-    Buckets that share members form a block.  Its members are dealt into
-    chunks of about CHUNK, and each pair of chunks is one bounded task.
+    ``few`` says that so few members are outside the largest component that
+    comparing each of them with all of the bucket takes at most FEW pairs a member.
     """
-    low = members.groupBy("bucket").agg(F.min("node").alias("b"))
-    blocks_ = components(members.join(low, "bucket").select(F.col("node").alias("a"), "b"))
-    sizes = blocks_.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = blocks_.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(facts, "node")
-    pairs = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select("node", "signature", "shingles", "chunk", "comp", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"))
-    return pairs.groupBy("comp", "ci", "cj").applyInPandas(_forest, "a long, b long")
+    members = members.join(_few(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    stats = parts.groupBy("bucket").agg(F.sum("k").alias("k"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
+    stats = stats.select("bucket", "k", F.col("most.comp").alias("big"), (F.col("k") - F.col("most.k") <= FEW).alias("few"))
+    return materialise(members.select("bucket", "node", "n", "c", "comp").join(_few(stats), "bucket"), "live")
+
+
+def _met(members: DataFrame, mine: DataFrame, once: str) -> DataFrame:
+    """Distinct pairs (a, b) of members (with k) and the chosen nodes ``mine`` (bucket, p, pn, pc, k, ...) of their buckets.
+
+    A crowded bucket is dealt in parts of about CROWD members and the chosen
+    nodes are sent to each, so no bucket is joined in one task.
+    """
+    parts = F.ceil(F.col("k") / CROWD).cast("int")
+    left = members.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("k")
+    right = _few(mine.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("k"))
+    on = (left["bucket"] == right["bucket"]) & (left["part"] == right["part"]) & F.expr(once) & F.expr(_within("n", "pn", "least(c, pc)"))
+    return left.join(right, on).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+
+def _blocks(members: DataFrame, facts: DataFrame, settled: str) -> DataFrame:
+    """Links among members (bucket, node, n, comp, seen) of crowded buckets; pairs with equal ``settled`` need no comparison.
+
+    Within its bucket each settled class of more than CHUNK units is dealt in
+    chunks of its own, smaller ones share chunks; a unit is a shingle, and a
+    member has UNIT more.  A pair of chunks is one task of bounded memory,
+    and pairs of chunks of one class are left out.
+    """
+    weight = F.sum(F.col("n") + UNIT)
+    parts = members.groupBy("bucket", settled).agg(weight.alias("w"))
+    large = parts.where(F.col("w") > CHUNK).select("bucket", settled, F.ceil(F.col("w") / CHUNK).alias("own"))
+    bins = parts.where(F.col("w") <= CHUNK).groupBy("bucket").agg(F.ceil(F.sum("w") / CHUNK).alias("bins"))
+    dealt = members.join(_few(large), ["bucket", settled], "left").join(_few(bins), "bucket", "left")
+    chunk = F.when(F.col("own").isNotNull(), F.xxhash64(settled, F.pmod(F.xxhash64("node"), F.col("own")))).otherwise(F.pmod(F.xxhash64(settled), F.col("bins")))
+    dealt = materialise(dealt.withColumn("chunk", chunk).withColumn("class", F.when(F.col("own").isNotNull(), F.col(settled))).drop("own", "bins", "n"), "chunks")
+    chunks = dealt.select("bucket", "chunk", "class").distinct()
+    other = chunks.select("bucket", F.col("chunk").alias("cj"), F.col("class").alias("other"))
+    pairs = chunks.join(other, "bucket").where("chunk <= cj and (class is null or other is null or class <> other)").select("bucket", F.col("chunk").alias("ci"), "cj")
+    sides = pairs.select("bucket", F.col("ci").alias("chunk"), "ci", "cj").unionByName(pairs.where("ci <> cj").select("bucket", F.col("cj").alias("chunk"), "ci", "cj"))
+    return dealt.join(sides, ["bucket", "chunk"]).join(facts, "node").groupBy("bucket", "ci", "cj").applyInPandas(_forest, "a long, b long")
+
+
+def _crowded_links(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """All links of crowded buckets, in two waves: the largest bucket of each node, then what they left."""
+    members = members.select("bucket", "node", "n", "comp", "k")
+    first = members.groupBy("node").agg(F.max(F.struct("k", "bucket")).alias("most")).select(F.col("most.bucket").alias("bucket")).distinct()
+    first = materialise(first, "waves")
+    wave = members.join(_few(first), "bucket", "left_semi").withColumn("seen", F.lit(None).cast("long"))
+    links = materialise(_blocks(wave, facts, "comp"), "crowd")
+    # two nodes that were in one bucket of the first wave have been compared
+    seen = wave.groupBy("node").agg(F.min("bucket").alias("seen"))
+    now = components(links.unionByName(members.select(F.col("node").alias("a"), F.col("comp").alias("b")).distinct()))
+    rest = members.drop("comp").join(_few(first), "bucket", "left_anti").join(seen, "node").join(now, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = rest.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("comps"), (F.min("seen") < F.max("seen")).alias("seens")).where("comps and seens").select("bucket")
+    rest = materialise(rest.join(_few(open_), "bucket", "left_semi"), "rest")
+    return links if rest.isEmpty() else links.unionByName(_blocks(rest, facts, "seen"))
 
 
 def _compare(members: DataFrame, facts: DataFrame) -> DataFrame:
     """(node, comp) of all nodes that have a verified link; see step 4 above."""
     # the member with the fewest shingles of its own is the likeliest to link with many
-    best = members.groupBy("bucket").agg(F.max(F.struct(F.col("c") / F.col("n"), (-F.col("node")).alias("minus"), "n", "c")).alias("best"))
-    mine = best.select("bucket", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("pn"), F.col("best.c").alias("pc"))
-    found = materialise(components(_links(_pairs(members, mine, "node <> p"), facts)), "found")
-    members = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    stats = parts.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("comps")).where("comps > 1")
-    stats = stats.select("bucket", (F.col("k") * F.col("k") - F.col("same") <= 2 * FEW * F.col("k")).alias("few"))
-    live = materialise(members.join(stats, "bucket"), "live")
+    best = members.groupBy("bucket").agg(F.max(F.struct(F.col("c") / F.col("n"), (-F.col("node")).alias("minus"), "n", "c")).alias("best"), F.count("*").alias("k"))
+    mine = best.select("bucket", (-F.col("best.minus")).alias("p"), F.col("best.n").alias("pn"), F.col("best.c").alias("pc"), "k")
+    found = materialise(components(_links(_met(members, mine, "node <> p"), facts)), "found")
+    old = lambda: found.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    live = _live(members, found)
+    crowded = live.where("not few")
+    if not crowded.isEmpty():
+        picked = crowded.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "c", "comp", "k")).alias("one"))
+        mine = picked.select("bucket", F.col("one.node").alias("p"), F.col("one.n").alias("pn"), F.col("one.c").alias("pc"), F.col("one.comp").alias("other"), F.col("one.k").alias("k"))
+        found = materialise(components(_links(_met(crowded, mine, "comp <> other"), facts).unionByName(old())), "found")
+        live = _live(members, found)
+        crowded = live.where("not few")
     few = live.where("few")
-    mine = few.select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("comp").alias("other"))
-    links = _links(_pairs(few, mine, "node < p and comp <> other"), facts)
-    links = links.unionByName(_dense_links(live.where("not few"), facts))
-    return materialise(components(links.unionByName(found.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "found")
-
-
-def _pairs(members: DataFrame, mine: DataFrame, once: str) -> DataFrame:
-    on = (members["bucket"] == mine["bucket"]) & F.expr(once) & F.expr(_within("n", "pn", "least(c, pc)"))
-    return members.join(mine, on).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    mine = few.where("comp <> big").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("comp").alias("other"), "k")
+    links = _links(_met(few, mine, "comp <> other and (comp = big or node < p)"), facts)
+    if not crowded.isEmpty():
+        links = links.unionByName(_crowded_links(crowded, facts))
+    links = materialise(links, "late_links")
+    return found if links.isEmpty() else materialise(components(links.unionByName(old())), "found")
 
 
 def _result(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -137,17 +137,61 @@ def test_near_duplicates(spark, tiny):
     assert {r["doc_id"]: r["n_shingles"] for r in found} == {i: len(shingles(t)) for i, t in rows}
 
 
-def test_crowds_in_small_blocks(spark, monkeypatch):
-    """Many chunks give the same components as one."""
+@pytest.mark.parametrize("spread", [1 / 6, 1 / 2])
+def test_crowds_in_small_blocks(spark, monkeypatch, spread):
+    """Many chunks, in both waves, give the same components as one."""
     rng = random.Random(6)
     base = [f"b{i}" for i in range(60)]
-    rows = [(i, edited(base, rng.random() / 6, rng)) for i in range(120)]
-    monkeypatch.setattr(near_duplicates, "CHUNK", 20)
+    rows = [(i, edited(base, rng.random() * spread, rng)) for i in range(120)]
+    # a chain: each text shares half of its words with the next
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(20 * i, 20 * i + 80))) for i in range(60)]
+    monkeypatch.setattr(near_duplicates, "CHUNK", 4000)
     monkeypatch.setattr(near_duplicates, "FEW", 0)
+    monkeypatch.setattr(near_duplicates, "PIVOTS", 1)
+    monkeypatch.setattr(near_duplicates, "CROWD", 7)
     found = near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows)
 
 
+def test_blocks_find_every_link(spark, tiny):
+    """Both waves of blocks over made-up buckets against all pairs, and no member is sent more often than its buckets have chunks."""
+    sets = {i: frozenset((3 * i + j) % 500 for j in range(40)) for i in range(90)}  # each is near the next alone
+    facts = []
+    for i, own in sets.items():
+        x = near_duplicates.np.sort(near_duplicates.mix(near_duplicates.np.array(sorted(own), dtype="uint64")))
+        facts.append((i, bytearray(near_duplicates.signature(x).tobytes()), bytearray(x.tobytes())))
+    facts = spark.createDataFrame(facts, "node long, signature binary, shingles binary")
+    # buckets of 30 that chain through shared members
+    rows = [(b, i, 40, i, 30) for b in range(7) for i in range(10 * b, 10 * b + 30)]
+    members = spark.createDataFrame(rows, "bucket long, node long, n long, comp long, k long")
+    links = near_duplicates._crowded_links(members, facts).collect()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    got = {}
+    for r in links:
+        assert 100 * len(sets[r["a"]] & sets[r["b"]]) >= 75 * len(sets[r["a"]] | sets[r["b"]])
+        root[find(r["a"])] = find(r["b"])
+    got = {i: find(i) for i in sets}
+    for b in range(7):
+        for x, y in itertools.combinations(range(10 * b, 10 * b + 30), 2):
+            if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                assert got[x] == got[y]
+    assert links
+
+
+def test_many_rows_of_one_node(spark):
+    """Thousands of copies of two near texts without an id are one group, in bounded time."""
+    base = " ".join(f"w{i}" for i in range(100))
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, base).otherwise(base + " end").alias("text"))
+    out = near_duplicates.groups(df).groupBy("component_id", "kept").agg(F.count("*").alias("n"), F.count_if("first_copy").alias("first")).collect()
+    assert [tuple(r) for r in out] == [(None, True, 5000, 1)]
+
+
 def test_near_duplicates_of_awkward_rows(docs, none):
     out = near_duplicates.groups(docs).collect()
     assert len(out) == docs.count() and near_duplicates.groups(none).count() == 0
