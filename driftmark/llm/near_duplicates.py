@@ -170,7 +170,7 @@ def groups(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     # the row number is frozen by the write; signatures stay with their rows
     rows = materialise(docs.mapInArrow(lambda it: _sets(it, False), _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"))
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.count("*").alias("rows"))
     classes = materialise(classes, "classes")
     nodes = rows.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "set_key", "signature")
     bands = nodes.select("node", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {4 * ROWS} + 1, {4 * ROWS})))")).alias("bucket"))
@@ -184,7 +184,8 @@ def groups(documents: DataFrame) -> DataFrame:
     facts = full.join(few(wanted.select("node", "set_key")), "set_key").select("node", "signature", "shingles")
     facts = materialise(facts, "facts")
     found = _compare(_possible(members, facts), facts)
-    nodes = classes.join(found, "node", "left").select("set_key", F.coalesce("comp", "node").alias("comp"))
+    # a class of one row without a link needs no look-up
+    nodes = classes.join(found, "node", "left").where("`rows` > 1 or comp is not null").select("set_key", F.coalesce("comp", "node").alias("comp"))
     return _result(rows, nodes)
 
 
@@ -362,9 +363,13 @@ def _compare(members: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _result(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    with_comp = rows.select("doc_id", "text_hash", "n_shingles", "set_key", "row").join(nodes, "set_key", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(-1 - F.col("row")))
-    with_comp = materialise(with_comp, "components")
+    rows = rows.select("doc_id", "text_hash", "n_shingles", "set_key", "row").join(_few(nodes), "set_key", "left")
+    comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "row")).otherwise(-1 - F.col("row"))
+    with_comp = materialise(rows.withColumn("comp", comp), "components")
     # null ids sort last in the struct that picks a component's first row
-    heads = with_comp.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("head")).select("comp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head_row"))
-    out = with_comp.join(heads, "comp")
-    return out.select("doc_id", "text_hash", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("row") == F.col("head_row")).alias("first_copy"))
+    heads = with_comp.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("head"), F.count("*").alias("n")).where("n > 1")
+    out = with_comp.join(_few(heads.select("comp", "head")), "comp", "left")
+    alone = F.col("head").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    out = out.withColumn("component_id", component).withColumn("first_copy", alone | (F.col("row") == F.col("head.row")))
+    return out.select("doc_id", "text_hash", "n_shingles", "set_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first_copy")
