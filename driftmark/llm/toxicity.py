@@ -1,28 +1,28 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
-
-Two models, of toxic and of ordinary labelled texts, give each expression a
-probability: a pair of words is interpolated with its second word, a word with
-one distribution that both classes share.  That one goes by continuation
-counts, in how many contexts a word was seen in either class.
-
-Expressions form chains: a pair, its second word, the word's beginnings (6, 5,
-then 4 bytes), which inflected and compound forms have in common, and nothing.
-Each has as evidence its log ratio by a weight that grows with how far its
-class counts differ, never cut to 0, and for the rest what the next of the
-chain has, the less so the better it is known.  What an expression adds to the next of its chain is its
-entry; a text's evidence is the sum of the entries of all its words, beginnings
-and pairs, divided by its number of words.
-
-Counts are of training texts that hold an expression, exact copies once.  They
-come from all labelled training rows and all of them stay, as tables.  Entries
-that could not change a text's evidence by NEGLIGIBLE are left away.  Up to
-HOT others are sent to all executors.  If there are more, those that make up
-1 / HOT of all that is counted are sent (at most HOT), and the texts' other
-expressions go as rows to the table of the rest and are summed by text.
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Two models, of toxic and of ordinary labelled texts, spell words character by
+character: each gives the next character, or the end of the word, after up to
+ORDER - 1 characters of the word.  The highest order has counts and discounts
+of the class; an expression that a class has rarely or never seen backs off to
+lower orders that both classes share, by continuation counts: in how many
+contexts of either class it was seen.  So rare and unknown words are judged by
+the parts that they share with known ones, and where neither class knows more,
+both models agree and the evidence is 0.
+
+A word's evidence is the log-likelihood of its spelling in the toxic model less
+that in the ordinary one.  The evidence of a run of words is divided by its
+length, and a text has the greatest evidence of all its runs of one length
+(0 is the whole text); a shorter text counts as if neutral words were added.
+The length is chosen by tuning rows.
+
+Counts come from all labelled training rows, exact copies once, and are kept
+whole, as tables.  Log ratios are worked out by joins of these tables.  Up to
+HOT of them are sent to all executors.  Where there are more, those that make
+up at least 1 / HOT of all that is counted are sent (so at most HOT), and the
+texts' other expressions go as rows to the table of the rest.
 
 Rows with crc32(doc_id) mod 5 = 0 are held out of everything.  Of the others
-the remainder 4 only sets the cutoff and how far beyond chance counts must
-differ, the rest are counted.
+the remainder 4 only sets the length and the cutoff, the rest are counted.
 """
 
 from __future__ import annotations
@@ -36,293 +36,253 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
 from .columns import few
-from .words import ALNUM_RULE, Block, blocks, grams, mix
-
-DISCOUNT = 0.75
-#: Standard deviations by which counts must differ for half of a log ratio; the tuning rows choose one, of equal ones the largest.
-CHANCES = (3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 12.0)
-#: Toxic texts to be expected before a word is half known well enough to be neutral.
-ENOUGH = 5.0
-#: Power with which both weights go from 0 to 1.
-SHARPNESS = 8.0
-BEGINNINGS = (6, 5, 4)
+from .words import ALNUM_RULE, Block, blocks, mix
+
+#: Characters of an expression, the last one included; the usual discount.
+ORDER, DISCOUNT = 5, 0.75
+#: Lengths of runs, in words; the tuning rows choose one, of equal ones the longest.
+LENGTHS = (1, 2, 4, 8, 16, 32, 64, 0)
 FOLDS, TUNING = 5, 4
 #: Evidence is tallied for the cutoff in steps of this, between -CLIP and CLIP.
-STEP, CLIP = 0.002, 5.0
-HELD = 2_000_000
-#: Entries sent to all executors.
+STEP, CLIP = 0.01, 60.0
+#: Log ratios sent to all executors.
 HOT = 2_000_000
-#: Each of a word's five expressions may be left away below this, so evidence is right to 5e-7.
-NEGLIGIBLE = 1e-7
-#: No log ratio less another is beyond this.
-FARTHEST = 100.0
+#: The marks of a word's begin and end, which no word holds.
+BEGIN, END = 0x5E, 0x24
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS
 
 
-def _beginning(block: Block, size: int) -> np.ndarray:
-    """Hash of the first bytes of each word; of no meaning for words that are not longer."""
-    return mix(block.hashes(size) + np.uint64(size))
-
-
-def _starts(block: Block) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """(size, key, key of the next shorter, where there is one) of the beginnings, shortest first, and each word's longest; 0 is none."""
-    longest = np.zeros(len(block.starts), dtype=np.uint64)
-    out = []
-    for size in reversed(BEGINNINGS):
-        key, longer = _beginning(block, size), block.ends - block.starts > size
-        out.append((size, key, longest, longer))
-        longest = np.where(longer, key, longest)
-    return out, longest
-
-
-def _seconds(block: Block) -> np.ndarray:
-    """Places of the words that have one before them in their text."""
-    second = np.ones(len(block.starts), dtype=bool)
-    second[block.first[:-1][block.counts() > 0]] = False
-    return np.flatnonzero(second)
-
-
-def _pair_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Key of the pair that ends at each of the places."""
-    return grams(hashes, 2)[at - 1] if len(at) else np.zeros(0, dtype=np.uint64)
-
-
-def _tally(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(size, key, other, toxic, n) columns summed by key and class."""
-    size, key, other, toxic, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((toxic, other, key))
-    size, key, other, toxic, n = size[order], key[order], other[order], toxic[order], n[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (toxic[1:] != toxic[:-1])
-    at = np.flatnonzero(new)
-    return size[at], key[at], other[at], toxic[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def _grouped(stream: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """(size, key, other, toxic, n) rows summed before they leave the task."""
-    parts, held = [], 0
-
-    def out() -> pa.RecordBatch:
-        size, key, other, toxic, n = parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(toxic.astype(np.int32)), pa.array(n)], ["size", "key", "other", "toxic", "n"])
-
-    for x in stream:
-        parts.append(_tally([x]))
-        held += len(parts[-1][1])
-        if held > HELD:
-            parts = [_tally(parts)]
-            held = len(parts[0][1])
-            if held > HELD // 2:
-                yield out()
-                parts, held = [], 0
-    if held:
-        parts = [_tally(parts)]
-        yield out()
-
-
-_COUNTED = "size int, key long, other long, toxic int, n long"
-
-
-def _once(size: int, keys: np.ndarray, others: np.ndarray, texts: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each key once for each text that has it, with the text's class."""
-    order = np.lexsort((keys, texts))
-    k, o, t = keys[order], others[order], texts[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-    n = int(new.sum())
-    return np.full(n, size), k[new], o[new], marks[t[new]], np.ones(n, dtype=np.int64)
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray]]:
+def _characters(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of each character of a block in one number, and the place of each byte's character."""
+    data = block.data
+    first = (data & 0xC0) != 0x80
+    at = np.flatnonzero(first)
+    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
+    more = np.concatenate([~first, np.zeros(3, dtype=bool)])
+    code, inside = wide[at], np.ones(len(at), dtype=bool)
+    for j in (1, 2, 3):
+        inside &= more[at + j]
+        code = np.where(inside, (code << np.uint32(8)) | wide[at + j], code)
+    return code, np.cumsum(first) - 1
+
+
+class Spelt:
+    """The distinct words of a block, spelt: ``codes`` with marks, and for each place to predict the word (``of``) and the number of characters (``size``)."""
+
+    def __init__(self, block: Block) -> None:
+        _, first, self.word = np.unique(block.hashes(), return_index=True, return_inverse=True)
+        codes, place = _characters(block)
+        begin = place[block.starts[first]] if len(first) else np.zeros(0, np.int64)
+        length = place[block.ends[first] - 1] + 1 - begin if len(first) else begin
+        self.words = len(first)
+        ends = np.cumsum(length + 2)
+        starts = ends - length - 2
+        of = np.repeat(np.arange(self.words), length + 2)
+        inner = np.arange(int(ends[-1]) if self.words else 0) - np.repeat(starts, length + 2)
+        source = np.repeat(begin, length + 2) + inner - 1
+        out = np.where(inner == 0, BEGIN, END).astype(np.uint32)
+        middle = (inner > 0) & (inner <= np.repeat(length, length + 2))
+        out[middle] = codes[source[middle]]
+        self.codes = out
+        self.at = np.flatnonzero(inner > 0)
+        self.of = of[self.at]
+        self.size = np.minimum(inner[self.at] + 1, ORDER)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each place's expression and of its context (all but the last character)."""
+        whole, context = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
+        power = np.uint64(1)
+        for j in range(ORDER):
+            some = self.size > j
+            code = self.codes[np.maximum(self.at - j, 0)].astype(np.uint64) + np.uint64(1)
+            whole[some] += code[some] * power
+            if j:
+                context[some] += code[some] * last
+            last, power = power, power * _BASE
+        return mix(whole), mix(context ^ _CONTEXT)
+
+    def expressions(self, some: np.ndarray) -> pa.Array:
+        """The characters of the expressions at some places, four bytes each."""
+        size = self.size[some]
+        back = size[:, None] - 1 - np.arange(ORDER)[None, :]
+        chars = self.codes[np.maximum(self.at[some][:, None] - np.maximum(back, 0), 0)]
+        data = np.ascontiguousarray(chars[back >= 0].astype(">u4"))
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n0, n1) of the texts of each block."""
     for batch in batches:
         for part, block in blocks(batch, "text", ALNUM_RULE):
-            yield block, np.asarray(part.column(part.schema.get_field_index("toxic")), dtype=np.int32)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (size 0) and beginnings; ``other`` is the next of the chain."""
-    def stream() -> Iterator[tuple[np.ndarray, ...]]:
-        for block, marks in _marked(batches):
-            texts = block.text_of_word()
-            starts, longest = _starts(block)
-            yield _once(0, block.hashes(), longest, texts, marks)
-            for size, key, shorter, longer in starts:
-                yield _once(size, key[longer], shorter[longer], texts[longer], marks)
-
-    return _grouped(stream())
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs: ``key`` is the first word and ``other`` the second."""
-    def stream() -> Iterator[tuple[np.ndarray, ...]]:
-        for block, marks in _marked(batches):
-            hashes, texts, at = block.hashes(), block.text_of_word(), _seconds(block)
-            key, text = _pair_keys(hashes, at), texts[at]
-            order = np.lexsort((key, text))
-            key, text = key[order], text[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            kept = at[order][new]
-            yield np.zeros(len(kept), dtype=np.int64), hashes[kept - 1], hashes[kept], marks[texts[kept]], np.ones(len(kept), dtype=np.int64)
-
-    return _grouped(stream())
-
-
-def _weight(apart: Column, chance: float) -> Column:
-    """The part of a log ratio that counts: from 0 for no difference through 1/2 at ``chance`` to 1, without a step."""
-    return 1 / (1 + F.pow(chance / F.greatest(apart, F.lit(1e-9)), F.lit(SHARPNESS)))
-
-
-def _apart(rate: float) -> Column:
-    """By how many standard deviations n0 and n1 differ; ``rate`` is the toxic share of all counts."""
-    both = F.col("n0") + F.col("n1")
-    return F.abs(F.col("n1") - both * rate) / F.sqrt(both * (rate * (1 - rate)) + 0.25)
-
-
-def _known(rate: float) -> Column:
-    """From 0 through 1/2 at ENOUGH to 1 for expressions that need nothing of the next of their chain."""
-    return 1 / (1 + F.pow(ENOUGH / ((F.col("n0") + F.col("n1")) * rate), F.lit(SHARPNESS)))
-
-
-def _chained(counts: DataFrame, next_: DataFrame | None, ratio: Column, rate: float) -> DataFrame:
-    """key, n, b (evidence for each of CHANCES) and d (what it adds to the next of its chain) of ``counts``."""
-    none = F.array(*[F.lit(0.0)] * len(CHANCES))
-    rows = counts.withColumn("ratio", ratio).withColumn("apart", _apart(rate)).withColumn("known", _known(rate))
-    rows = rows.withColumn("under", none) if next_ is None else rows.join(next_.select(F.col("key").alias("other"), F.col("b").alias("under")), "other", "left").withColumn("under", F.coalesce("under", none))
-    b = [_weight(F.col("apart"), c) * F.col("ratio") + (1 - _weight(F.col("apart"), c)) * (1 - F.col("known")) * F.col("under")[i] for i, c in enumerate(CHANCES)]
-    rows = rows.withColumn("b", F.array(*b))
-    return rows.select("key", (F.col("n0") + F.col("n1")).alias("n"), "n0", "n1", "b", F.zip_with("b", "under", lambda x, y: x - y).alias("d"))
-
-
-def _alone(n: str, total: float, kinds: float, shared: Column) -> Column:
-    """Probability in a class, interpolated with the shared distribution."""
-    return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * kinds / total * shared
-
-
-def _totals(counts: DataFrame) -> tuple[list[float], list[float]]:
-    """Of each class the sum of the counts and the number of kinds."""
-    got = counts.agg(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
-    return [float(x or 0) for x in got[:2]], [float(x or 0) for x in got[2:]]
-
-
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, n and d of pairs (before, word, n, d)."""
+            spelt = Spelt(block)
+            toxic = np.asarray(part.column(part.schema.get_field_index("toxic")), dtype=np.int64)[block.text_of_word()]
+            _, first, same = np.unique(spelt.keys()[0], return_index=True, return_inverse=True)
+            n = []
+            for c in (0, 1):
+                times = np.bincount(spelt.word[toxic == c], minlength=spelt.words)
+                n.append(pa.array(np.bincount(same, times[spelt.of], minlength=len(first)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([spelt.expressions(first), *n], ["gram", "n0", "n1"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n and value of rows (gram, context, n, value); contexts have keys of their own."""
     for batch in batches:
-        words = np.stack([np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1)], axis=1).ravel()
-        keys = grams(words, 2)[::2] if len(words) else words
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2), batch.column(3)], ["key", "n", "d"])
+        grams = batch.column(0)
+        offsets = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1].astype(np.int64) // 4
+        codes = np.frombuffer(grams.buffers()[2], ">u4").astype(np.uint64) if grams.buffers()[2] is not None else np.zeros(0, np.uint64)
+        size, ends, keys, power = np.diff(offsets), offsets[1:] - 1, np.zeros(len(grams), np.uint64), np.uint64(1)
+        for j in range(ORDER):
+            some = size > j
+            keys[some] += (codes[ends[some] - j] + np.uint64(1)) * power
+            power = power * _BASE
+        context = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(mix(np.where(context, keys ^ _CONTEXT, keys)).view(np.int64)), batch.column(2), batch.column(3)], ["key", "n", "value"])
 
 
 class Model:
-    """All counts of the texts of ``documents`` that ``marks`` (doc_id, toxic 0/1) names, as tables."""
+    """Counts of the texts of ``documents`` that ``marks`` (doc_id, toxic 0/1) names, and the log ratios that follow from them."""
 
     def __init__(self, documents: DataFrame, marks: DataFrame) -> None:
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(marks), "doc_id")
         first = texts.groupBy(F.xxhash64("text").alias("hash"), "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        texts = texts.join(few(materialise(first, "first_copies")), "doc_id", "left_semi").select("text", F.col("toxic").cast("int").alias("toxic"))
-        by_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-        self.counts = materialise(texts.mapInArrow(_word_counts, _COUNTED).groupBy("key").agg(F.first("size").alias("size"), F.first("other").alias("other"), *by_class), "words")
-        counted = texts.mapInArrow(_pair_counts, _COUNTED).select(F.col("key").alias("before"), F.col("other").alias("word"), "toxic", "n")
-        self.pairs = materialise(counted.groupBy("before", "word").agg(*by_class), "bigrams")
-        self.total, self.kinds = _totals(self.counts.where("size = 0"))
-        self.rate = self.total[1] / max(1.0, sum(self.total))
-
-    def words(self) -> DataFrame:
-        """key, size, n, b, d, n0, n1, p0, p1 of the words (size 0) and beginnings; p0, p1 are null for beginnings."""
-        starts = self.counts.where("size > 0")
-        whole, kinds = _totals(starts)
-        ratio = lambda whole, kinds, shared: F.log(_alone("n1", whole[1], kinds[1], shared) / _alone("n0", whole[0], kinds[0], shared))
-        pooled = (F.col("n0") + F.col("n1")) / max(1.0, sum(whole))
-        levels, under = [], None
-        for size in reversed(BEGINNINGS):
-            under = _chained(starts.where(F.col("size") == size), under, ratio([max(1.0, x) for x in whole], [max(1.0, x) for x in kinds], pooled), self.rate)
-            levels.append(under)
-        longest = levels[0].unionByName(levels[1]).unionByName(levels[2])
-        contexts = self.pairs.groupBy(F.col("word").alias("key")).agg(F.count("*").alias("contexts"))
-        found = self.counts.where("size = 0").join(contexts, "key", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)) + 0.5)
-        found = materialise(found, "contexts")
-        shared = F.col("contexts") / float(found.agg(F.sum("contexts")).first()[0])
-        own = _chained(found, longest, ratio(self.total, self.kinds, shared), self.rate)
-        p = found.select("key", *[_alone(f"n{c}", self.total[c], self.kinds[c], shared).alias(f"p{c}") for c in (0, 1)])
-        return materialise(own.join(p, "key").unionByName(longest, allowMissingColumns=True), "evidence")
-
-    def pair_entries(self, words: DataFrame, chosen: int) -> DataFrame:
-        """key, n and d (one number) of the pairs whose entries are not negligible."""
-        chance = CHANCES[chosen]
-        words = words.where("p0 is not null")
-        followers = self.pairs.groupBy("before").agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
-        rows = self.pairs.withColumn("weight", _weight(_apart(self.rate), chance)).where(F.col("weight") * FARTHEST >= NEGLIGIBLE)
-        rows = materialise(rows, "telling")
-        rooms = followers.join(words.select(F.col("key").alias("before"), F.col("n0").alias("r0"), F.col("n1").alias("r1")), "before")
-        rows = rows.join(rooms, "before").join(words.select(F.col("key").alias("word"), "p0", "p1", F.col("b")[chosen].alias("under")), "word")
-
-        def together(c: int) -> Column:
-            room = F.greatest(F.col(f"r{c}"), F.lit(1))
-            return F.least(F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / room, F.lit(1.0)) + F.greatest(F.lit(1e-3), F.least(F.lit(1.0), DISCOUNT * F.col(f"k{c}") / room)) * F.col(f"p{c}")
-
-        d = F.col("weight") * (F.log(together(1) / together(0)) - F.col("under"))
-        return rows.select("before", "word", (F.col("n0") + F.col("n1")).alias("n"), d.alias("d")).mapInArrow(_with_keys, "key long, n long, d double").where(F.abs("d") >= NEGLIGIBLE)
-
-
-def _expressions(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of all expressions of a block and the texts they are in, kind by kind."""
-    hashes, texts, at = block.hashes(), block.text_of_word(), _seconds(block)
-    yield hashes, texts
-    for _, key, _, longer in _starts(block)[0]:
-        yield key[longer], texts[longer]
-    yield _pair_keys(hashes, at), texts[at]
-
-
-def _summed(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray, rest: bool) -> Iterator[pa.RecordBatch]:
-    """A row of sums for each text and, with ``rest``, one of (row, key, times) for each of its expressions that ``keys`` has not."""
-    names = ["row", "doc_id", "words", "sums", "key", "times"]
+        texts = texts.join(few(materialise(first, "first_copies")), "doc_id", "left_semi").select("text", "toxic")
+        counted = texts.mapInArrow(_counted, "gram binary, n0 long, n1 long")
+        self.counts = materialise(counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "expressions")
+        self.total = [int(x or 0) for x in self.counts.agg(F.sum("n0"), F.sum("n1")).first()]
+
+    def shared(self) -> DataFrame:
+        """(gram, p): the shared probability of a lower-order expression's last character after the others."""
+        size = F.octet_length("gram") / 4
+        parts = self.counts.select(F.explode(F.transform(F.sequence(F.lit(1), size.cast("int")), lambda i: F.substring("gram", i * 4 - 3, F.lit(4 * ORDER)))).alias("gram")).distinct()
+        parts = materialise(parts, "parts")
+        seen = parts.where(size > 1).groupBy(F.substring("gram", 5, 4 * ORDER).alias("gram")).agg(F.count("*").cast("double").alias("n"))
+        seen = materialise(seen.withColumn("context", _context("gram")), "continuations")
+        sums = seen.groupBy("context").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"))
+        seen = materialise(seen.join(sums, "context").select("gram", "n", "whole", "kinds"), "shared_counts")
+        chain = seen.select("gram", F.explode(F.transform(F.sequence(F.lit(1), size.cast("int")), lambda i: F.struct(i.alias("i"), F.substring("gram", i * 4 - 3, F.lit(4 * ORDER)).alias("part")))).alias("x")).select("gram", "x.*")
+        chain = chain.join(seen.select(F.col("gram").alias("part"), "n", "whole", "kinds"), "part")
+        alphabet = float(parts.where(size == 1).count() + 1)
+        steps = F.sort_array(F.collect_list(F.struct((-F.col("i")).alias("i"), "n", "whole", "kinds")))  # at most ORDER, shortest first
+        p = F.aggregate(steps, F.lit(1 / alphabet), lambda p, x: F.greatest(x["n"] - DISCOUNT, F.lit(0.0)) / x["whole"] + DISCOUNT * x["kinds"] / x["whole"] * p)
+        return chain.groupBy("gram").agg(p.alias("p"))
+
+    def ratios(self) -> DataFrame:
+        """(key, n, value): log ratios of all expressions and, for what is not seen after them, of all contexts."""
+        counts = self.counts.withColumn("context", _context("gram"))
+        sides = [(F.sum(f"n{c}").cast("double").alias(f"t{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"k{c}")) for c in (0, 1)]
+        contexts = materialise(counts.groupBy("context").agg(*sides[0], *sides[1]), "contexts")
+        rows = counts.join(contexts, "context").withColumn("part", F.substring("gram", 5, 4 * ORDER)).join(self.shared().withColumnRenamed("gram", "part"), "part")
+        room = lambda c: F.when(F.col(f"t{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"t{c}")).otherwise(F.lit(1.0))
+        own = lambda c: F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"t{c}")).otherwise(F.lit(0.0))
+        of_all = rows.select("gram", F.lit(False).alias("context"), (F.col("n0") + F.col("n1")).alias("n"), F.log((own(1) + room(1) * F.col("p")) / (own(0) + room(0) * F.col("p"))).alias("value"))
+        of_none = contexts.select(F.col("context").alias("gram"), F.lit(True).alias("context"), (F.col("t0") + F.col("t1")).cast("long").alias("n"), F.log(room(1) / room(0)).alias("value"))
+        return materialise(of_all.unionByName(of_none).mapInArrow(_keyed, "key long, n long, value double"), "ratios")
+
+
+def _context(gram: str) -> Column:
+    return F.substring(F.col(gram), F.lit(1), (F.octet_length(gram) - 4).cast("int"))
+
+
+def _best_runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The greatest mean of each of LENGTHS over the runs of each text, from the words' values."""
+    counts = np.diff(first)
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    out = np.zeros((len(counts), len(LENGTHS)))
+    for j, length in enumerate(LENGTHS):
+        short = (counts <= length) | (length == 0)
+        out[short, j] = (sums[first[1:]] - sums[first[:-1]])[short] / (length or np.maximum(counts[short], 1))
+        if length and not short.all():
+            runs = (sums[length:] - sums[:-length]) / length
+            # the runs of long texts, text by text; those over a text's end are left out
+            text = np.repeat(np.arange(len(counts)), counts)[: len(runs)]
+            inside = np.arange(len(runs)) + length <= first[1:][text]
+            best = np.full(len(counts), -np.inf)
+            np.maximum.at(best, text[inside], runs[inside])
+            out[~short, j] = best[~short]
+    return out
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted keys are in the table, and their values."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, np.where(hit, values[at], 0.0)
+
+
+_SCORED = "row long, doc_id long, runs array<double>, words array<double>, place long, key long, context long, other double"
+
+
+def _scored(batches: Iterator[pa.RecordBatch], keys: np.ndarray, values: np.ndarray, rest: bool) -> Iterator[pa.RecordBatch]:
+    """Each text's runs; with ``rest``, its words' values and a row for each expression that the table may lack."""
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("runs", pa.list_(pa.float64())), ("words", pa.list_(pa.float64())), ("place", pa.int64()), ("key", pa.int64()), ("context", pa.int64()), ("other", pa.float64())]
     for batch in batches:
         for part, block in blocks(batch, "text", ALNUM_RULE):
-            sums = np.zeros((len(block), values.shape[1]))
-            others: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for key, text in _expressions(block):
-                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-                hit = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-                for j in range(values.shape[1]):
-                    sums[:, j] += np.bincount(text[hit], values[at[hit], j], minlength=len(block))
-                if rest:
-                    k, t = key[~hit], text[~hit]
-                    order = np.lexsort((k, t))
-                    k, t = k[order], t[order]
-                    new = np.ones(len(k), dtype=bool)
-                    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-                    where = np.flatnonzero(new)
-                    others.append((t[where], k[where], np.diff(np.append(where, len(k)))))
-            rows = part.column(part.schema.get_field_index("row"))
-            n = len(block)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([rows, part.column(part.schema.get_field_index("doc_id")), pa.array(block.counts().astype(np.int64)), flat, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-            for t, k, times in others:
-                n = len(k)
-                yield pa.RecordBatch.from_arrays([rows.take(pa.array(t)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.float64())), pa.array(k.view(np.int64)), pa.array(times.astype(np.int64))], names)
-
-
-def evidence(texts: DataFrame, entries: DataFrame, width: int) -> DataFrame:
-    """doc_id and ``sums`` (``width`` numbers, by word) for every row of ``texts`` (doc_id, text), from entries (key, n, d array)."""
-    entries = materialise(entries, "entries")
-    size, whole = entries.agg(F.count("*"), F.sum("n")).first()
+            spelt = Spelt(block)
+            whole, context = spelt.keys()
+            hit, value = _found(keys, values, whole)
+            known, other = _found(keys, values, context)
+            lacking = ~hit if rest else np.zeros(len(hit), dtype=bool)
+            value = np.where(hit, value, other)
+            value[lacking] = 0.0
+            words = np.bincount(spelt.of, value, minlength=spelt.words)[spelt.word] if len(block.starts) else np.zeros(0)
+            n, rows = len(block), part.column(part.schema.get_field_index("row"))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(LENGTHS), pa.int32()), pa.array(_best_runs(words, block.first).ravel()))
+            own = pa.ListArray.from_arrays(pa.array(block.first, pa.int32()), pa.array(words)) if rest else pa.nulls(n, fields[3][1])
+            yield pa.RecordBatch.from_arrays([rows, part.column(part.schema.get_field_index("doc_id")), flat, own, *(pa.nulls(n, t) for _, t in fields[4:])], [f for f, _ in fields])
+            if lacking.any():
+                # each distinct word's lacking expressions, for each place of the word
+                lost = np.flatnonzero(lacking)
+                starts = np.searchsorted(spelt.of[lost], np.arange(spelt.words + 1))
+                times = np.diff(starts)[spelt.word]
+                places = np.repeat(np.arange(len(spelt.word)), times)
+                which = lost[np.repeat(starts[:-1][spelt.word] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(len(places))]
+                texts = block.text_of_word()[places]
+                m = len(places)
+                yield pa.RecordBatch.from_arrays([
+                    rows.take(pa.array(texts)), *(pa.nulls(m, t) for _, t in fields[1:4]), pa.array(places - block.first[texts]),
+                    pa.array(whole[which].view(np.int64)), pa.array(context[which].view(np.int64)), pa.array(other[which], mask=~known[which]),
+                ], [f for f, _ in fields])
+
+
+def _rerun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of texts from their words' values and what their lacking expressions add."""
+    for batch in batches:
+        runs = []
+        for words, added in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            values = np.array(words, dtype=np.float64)
+            for x in added:
+                values[x["place"]] += x["value"]
+            runs.append(_best_runs(values, np.array([0, len(values)]))[0].tolist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.float64()))], ["row", "again"])
+
+
+def evidence(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """doc_id and ``runs`` (one number for each of LENGTHS) for every row of ``texts`` (doc_id, text)."""
+    size, whole = ratios.agg(F.count("*"), F.sum("n")).first()
     rest = size > HOT
-    sent = entries.where(F.col("n") >= whole / HOT) if rest else entries  # at most HOT rows
-    table = sent.select("key", *[F.col("d")[j].alias(f"d{j}") for j in range(width)]).toArrow()
-    keys = table.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    sent = ratios.where(F.col("n") >= whole / HOT) if rest else ratios  # at most about HOT rows
+    table = sent.select("key", "value").toArrow()
+    keys, values = table.column("key").to_numpy().astype(np.int64).view(np.uint64), table.column("value").to_numpy()
     order = np.argsort(keys)
-    values = np.stack([table.column(f"d{j}").to_numpy().astype(np.float64) for j in range(width)], axis=1)[order]
-    both = texts.sparkSession.sparkContext.broadcast((keys[order], values))
-    out = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _summed(it, *both.value, rest), "row long, doc_id long, words long, sums array<double>, key long, times long")
-    if rest:
-        out = materialise(out, "expressions")
-        left = entries.where(F.col("n") < whole / HOT).select("key", "d")
-        added = out.where("key is not null").select("row", "key", "times").join(left, "key").groupBy("row").agg(F.array(*[F.sum(F.col("times") * F.col("d")[j]) for j in range(width)]).alias("added"))
-        out = out.where("key is null").join(added, "row", "left").withColumn("sums", F.when(F.col("added").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "added", lambda x, y: x + y)))
-    return out.select("doc_id", F.transform("sums", lambda x: x / F.greatest(F.col("words"), F.lit(1))).alias("sums"))
+    both = texts.sparkSession.sparkContext.broadcast((keys[order], values[order]))
+    out = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda it: _scored(it, *both.value, rest), _SCORED)
+    if not rest:
+        return out.select("doc_id", "runs")
+    out = materialise(out, "spelt")
+    left = ratios.where(F.col("n") < whole / HOT)
+    lacking = out.where("key is not null").join(left.select("key", "value"), "key", "left")
+    lacking = lacking.join(left.select(F.col("key").alias("context"), F.col("value").alias("late")), "context", "left").withColumn("value", F.coalesce("value", "other", "late"))
+    added = lacking.where("value <> 0").groupBy("row", "place").agg(F.sum("value").alias("value")).groupBy("row").agg(F.collect_list(F.struct("place", "value")).alias("added"))  # as many as the text has words
+    texts = out.where("key is null")
+    again = texts.select("row", "words").join(added, "row").mapInArrow(_rerun, "row long, again array<double>")
+    return texts.join(again, "row", "left").select("doc_id", F.coalesce("again", "runs").alias("runs"))
 
 
 def _tallies(rows: DataFrame, value: Column) -> DataFrame:
@@ -355,8 +315,9 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have evidence 0.  A null doc_id is held out (it has
     no remainder and no label).  A document labelled more than once is toxic if
     any label says so; labels that are null or name no document say nothing.
-    Without labels of both classes nothing is predicted toxic.  Rows repeating
-    a doc_id are scored alone.
+    Without labels of both classes in the rows that are counted, or in those
+    that tune, nothing is predicted toxic.  Rows repeating a doc_id are scored
+    alone; other columns are never read.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id")))
     marks = materialise(marks.where("fold <> 0"), "marks")
@@ -366,16 +327,13 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     if min(model.total) == 0:
         return texts.select("doc_id", held_out, F.lit(0.0).alias("evidence"), (1 / (1 + F.exp(F.lit(CLIP)))).alias("score"), F.lit(0).alias("predicted"))
     tuning = few(marks.where(F.col("fold") == TUNING).select("doc_id", "toxic"))
-    words = model.words()
-    telling = words.where(F.exists("d", lambda x: F.abs(x) >= NEGLIGIBLE)).select("key", "n", "d")
-    # how far beyond chance is chosen by words and beginnings, the cutoff by all
-    tried = materialise(evidence(texts.join(tuning.select("doc_id"), "doc_id"), telling, len(CHANCES)).join(tuning, "doc_id"), "tried")
-    trials = [cutoff([tuple(r) for r in _tallies(tried, F.col("sums")[j]).collect()])[2] for j in range(len(CHANCES))]  # at most 2 * CLIP / STEP bins of two classes
-    chosen = max(range(len(CHANCES)), key=lambda j: (trials[j], j))
-    entries = telling.select("key", "n", F.array(F.col("d")[chosen]).alias("d")).where(F.abs(F.col("d")[0]) >= NEGLIGIBLE)
-    entries = entries.unionByName(model.pair_entries(words, chosen).select("key", "n", F.array("d").alias("d")))
-    out = materialise(evidence(texts, entries, 1).select("doc_id", F.col("sums")[0].alias("evidence")), "toxicity")
-    at, slope, _ = cutoff([tuple(r) for r in _tallies(out.join(tuning, "doc_id"), F.col("evidence")).collect()])
+    out = materialise(evidence(texts, model.ratios()), "toxicity")
+    tried = materialise(out.join(tuning, "doc_id"), "tried")
+    trials = [cutoff([tuple(r) for r in _tallies(tried, F.col("runs")[j]).collect()]) for j in range(len(LENGTHS))]  # at most 2 * CLIP / STEP bins of two classes
+    chosen = max(range(len(LENGTHS)), key=lambda j: (trials[j][2], LENGTHS[j] or float("inf")))
+    at, slope, _ = trials[chosen]
+    out = out.withColumn("evidence", F.col("runs")[chosen])
     logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (F.col("evidence") - at) * slope))
-    value = 1 / (1 + F.exp(-logit))
+    never = F.lit(at >= CLIP)  # no cutoff: nothing is called toxic, whatever its evidence
+    value = F.when(never, F.lit(0.0)).otherwise(1 / (1 + F.exp(-logit)))
     return out.select("doc_id", held_out, "evidence", value.alias("score"), (value >= 0.5).cast("int").alias("predicted"))

@@ -502,22 +502,70 @@ def toxic_texts(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(4000)], "doc_id long, quality int, toxic int")
 
 
-def test_rare_expressions_have_counts(spark, monkeypatch):
+def plain_evidence(rows, marks, texts):
+    """Evidence of texts for each length, by dictionaries: two Kneser-Ney spelling models with shared lower orders."""
+    grams = lambda w: [("^" + w + "$")[max(0, i + 1 - toxicity.ORDER) : i + 1] for i in range(1, len(w) + 2)]
+    counts, first = (collections.Counter(), collections.Counter()), {}
+    for i, t in rows:
+        if i in marks and (t, marks[i]) not in first:
+            first[t, marks[i]] = i
+            counts[marks[i]].update(g for w in words(t) for g in grams(w))
+    parts = {g[k:] for c in counts for g in c for k in range(len(g))}
+    seen = collections.Counter(g[1:] for g in parts if len(g) > 1)
+    whole, kinds = collections.Counter(), collections.Counter()
+    for g, n in seen.items():
+        whole[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    alphabet, d = len([g for g in parts if len(g) == 1]) + 1, toxicity.DISCOUNT
+
+    def shared(g):
+        if not g:
+            return 1 / alphabet
+        return max(seen[g] - d, 0) / whole[g[:-1]] + d * kinds[g[:-1]] / whole[g[:-1]] * shared(g[1:])
+
+    total, types = [[collections.Counter() for _ in (0, 1)] for _ in (0, 1)]
+    for c in (0, 1):
+        for g, n in counts[c].items():
+            total[c][g[:-1]] += n
+            types[c][g[:-1]] += 1
+    room = lambda c, h: d * types[c][h] / total[c][h] if total[c][h] else 1.0
+
+    def ratio(g):
+        h = g[:-1]
+        if not counts[0][g] + counts[1][g]:
+            return math.log(room(1, h) / room(0, h))
+        p = [(max(counts[c][g] - d, 0) / total[c][h] if total[c][h] else 0) + room(c, h) * shared(g[1:]) for c in (0, 1)]
+        return math.log(p[1] / p[0])
+
+    out = []
+    for t in texts:
+        v = [sum(map(ratio, grams(w))) for w in words(t)]
+        best = [max(sum(v[i : i + n]) for i in range(max(1, len(v) - n + 1))) / n for n in toxicity.LENGTHS if n]
+        out.append([*best, sum(v) / max(1, len(v))])
+    return out
+
+
+def test_evidence_equals_a_plain_model(spark, monkeypatch):
     documents, labels = toxic_texts(spark)
-    whole = {r["doc_id"]: r for r in toxicity.score(documents, labels).collect()}
-    model = toxicity.Model(documents, labels.select("doc_id", "toxic"))
-    rare = model.counts.where("size = 0 and n0 + n1 = 1").count()
-    assert rare > 0 and model.pairs.where("n0 + n1 = 1").count() > 0
-    monkeypatch.setattr(toxicity, "HOT", 20)  # most entries go by a shuffle, with the same results
-    shuffled = {r["doc_id"]: r for r in toxicity.score(documents, labels).collect()}
-    assert len(shuffled) == len(whole) == 4003
-    assert all(abs(shuffled[i]["evidence"] - whole[i]["evidence"]) < 1e-9 and shuffled[i]["predicted"] == whole[i]["predicted"] for i in whole)
-
-
-def test_little_and_mixed_evidence_counts(spark):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(9100, None), (9101, " "), (9102, "é日本𝒳 nasté nas"), (9103, "v1 " * 200 + "nasty")]
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] % 3 == 0}
+    marked = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    some = [x for x in rows if x[0] > 9000 or x[0] % 97 == 0]
+    want = dict(zip([i for i, _ in some], plain_evidence(rows, marks, [t for _, t in some]), strict=True))
+    ratios = toxicity.Model(table, marked).ratios()
+    for hot in (toxicity.HOT, 200):  # the second way: most expressions go by a shuffle
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        got = {r["doc_id"]: r["runs"] for r in toxicity.evidence(table, ratios).collect()}
+        assert len(got) == len(rows)
+        for i, runs in want.items():
+            assert got[i] == pytest.approx(runs, abs=1e-9), i
+
+
+def test_little_evidence_counts(spark):
     documents, labels = toxic_texts(spark)
-    found = {r["doc_id"]: r["evidence"] for r in toxicity.score(documents, labels).where("doc_id > 9000").collect()}
-    assert found[9002] > found[9001] > 0 and found[9003] == 0
+    found = {r["doc_id"]: r for r in toxicity.score(documents.withColumn("score", F.lit("clash")), labels).where("doc_id > 9000").collect()}
+    assert found[9001]["evidence"] > found[9003]["evidence"] and found[9002]["evidence"] > 0
 
 
 # all
