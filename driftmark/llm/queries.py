@@ -53,6 +53,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_table(spark, sf_dir, "documents"))
 
 
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of op8 promises, as SQL can check it."""
+    return sharding.law(sharding.digest(_table(spark, sf_dir, "documents")))
+
+
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -66,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_quality_rules, op2_decontamination, op3_personal_data, op4_chat_perspectives, op5_license_scan,
-        op6_source_mixing, op7_minhash_near_duplicates, op8_sharding, op9_warc_revisits, op10_toxicity,
+        op6_source_mixing, op7_minhash_near_duplicates, op8_sharding, op9_warc_revisits, op10_toxicity, sharding_law,
     )
     return {f.__name__: f for f in all_of_them}
 

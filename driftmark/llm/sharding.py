@@ -1,14 +1,17 @@
 """Sharding over fixed virtual slots.
 
 Every record hashes to one of SLOTS virtual slots by its doc_id.  Bytes are
-summed by slot, and a slot-to-shard map deals the slots out, the heaviest
-first, each to the lightest shard.  The map is a small versioned table; when
-data has grown it is edited, moving as few slots as balance needs, and written
-as the next version, so records of slots that stay are never moved.
-
-A slot that holds more than its share (one doc_id on very many rows) is
-divided into sub-slots by the record's text and row.  Rows are numbered inside
-their shard from per-chunk counts, so no shard or key is sorted in one task.
+summed by slot, and a versioned slot-to-shard map says which shard holds a
+slot.  Version 1 deals the slots evenly.  Each run reads the latest version,
+edits it where shards have become too large, moving as few slots as balance
+needs, and stores the result as the next version; records are placed by the
+map as it is read back, so records of slots that stay are never moved.
+
+A slot that holds more than its share (one doc_id on very many rows) is split
+in sub-slots by a hash of the record.  The number of sub-slots is part of the
+map, only ever doubles, and a sub-slot's halves stay where it was until they
+are moved.  Rows are numbered inside their shard from per-chunk counts, so no
+shard or key is sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,29 +21,21 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialise
+from ..plans.scratch import materialise, new_path
+from ..sources import files
 
 SHARDS, SLOTS = 24, 4096
-#: A slot with more than this share of a shard's fair size is divided.
-HEAVY = 0.25
-MAP_SCHEMA = "slot int, sub int, bytes long, shard int"
+#: A sub-slot with more than this share of a shard's fair size is split; a shard may be so much over its fair size.
+HEAVY, SLACK = 0.1, 0.005
+MAP_SCHEMA = "slot int, sub int, parts int, bytes long, shard int"
 
 
-def deal(slots: list[tuple[int, int, int]], shards: int) -> dict[tuple[int, int], int]:
-    """Shard of each (slot, sub, bytes), the heaviest first to the lightest shard; ties by number."""
-    load = [(0, s) for s in range(shards)]
-    out = {}
-    for slot, sub, size in sorted(slots, key=lambda x: (-x[2], x[0], x[1])):
-        held, shard = heapq.heappop(load)
-        out[slot, sub] = shard
-        heapq.heappush(load, (held + size, shard))
-    return out
-
+def rebalance(old: dict[tuple[int, int], int], slots: list[tuple[int, int, int]], shards: int, slack: float = SLACK) -> dict[tuple[int, int], int]:
+    """The map (slot, sub) -> shard edited for the sizes in ``slots`` (slot, sub, bytes).
 
-def rebalance(old: dict[tuple[int, int], int], slots: list[tuple[int, int, int]], shards: int, slack: float = 0.02) -> dict[tuple[int, int], int]:
-    """The map edited for new slot sizes: slots leave shards over (1 + slack) of the fair size, lightest first, and go to the lightest shards.
-
-    Slots of shards that no longer exist, and new slots, are dealt like those.
+    Shards over (1 + slack) of the fair size give slots away, the largest that
+    are no more than the excess first; those, slots of shards that no longer
+    exist and new slots go to the lightest shards, the heaviest first.
     """
     load = [0] * shards
     mine: dict[int, list[tuple[int, int, int]]] = {s: [] for s in range(shards)}
@@ -52,14 +47,20 @@ def rebalance(old: dict[tuple[int, int], int], slots: list[tuple[int, int, int]]
         else:
             load[shard] += size
             mine[shard].append((slot, sub, size))
-    most = (1 + slack) * sum(x[2] for x in slots) / shards
+    fair = sum(x[2] for x in slots) / shards
     for shard, own in mine.items():
-        for x in sorted(own, key=lambda x: (x[2], x[0], x[1])):
-            if load[shard] <= most or load[shard] - x[2] < most * (1 - 2 * slack):
-                break
-            load[shard] -= x[2]
-            own.remove(x)
-            loose.append(x)
+        if load[shard] <= (1 + slack) * fair:
+            continue
+        for x in sorted(own, key=lambda x: (-x[2], x[0], x[1])):
+            if 0 < x[2] <= load[shard] - fair:
+                load[shard] -= x[2]
+                own.remove(x)
+                loose.append(x)
+        least = min((x for x in own if x[2]), key=lambda x: (x[2], x[0], x[1]), default=None)
+        if len(own) > 1 and least and load[shard] > (1 + slack) * fair:
+            load[shard] -= least[2]
+            own.remove(least)
+            loose.append(least)
     out = {(slot, sub): shard for shard, own in mine.items() for slot, sub, _ in own}
     heap = [(size, shard) for shard, size in enumerate(load)]
     heapq.heapify(heap)
@@ -70,12 +71,8 @@ def rebalance(old: dict[tuple[int, int], int], slots: list[tuple[int, int, int]]
     return out
 
 
-def _map_rows(slots: list[tuple[int, int, int]], dealt: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
-    return [(slot, sub, size, dealt[slot, sub]) for slot, sub, size in slots]
-
-
-def write_map(spark: SparkSession, rows: list[tuple[int, int, int, int]], path: str, version: int) -> None:
-    """Write one version of the map to ``path``; an existing version is never overwritten."""
+def write_map(spark: SparkSession, rows: list[tuple[int, int, int, int, int]], path: str, version: int) -> None:
+    """Write one version of the map (at most SLOTS rows and the sub-slots of split ones) to ``path``; an existing version is never overwritten."""
     spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/version={version}")
 
 
@@ -83,6 +80,14 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version}")
 
 
+def latest(spark: SparkSession, path: str) -> int:
+    """The latest version of the map in ``path``; 0 if there is none."""
+    version = 0
+    while files.exists(spark, f"{path}/version={version + 1}/_SUCCESS"):
+        version += 1
+    return version
+
+
 def _records(documents: DataFrame) -> DataFrame:
     """doc_id, row, size, text_crc32 and the virtual slot of every row, frozen by a write."""
     bytes_ = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -92,32 +97,58 @@ def _records(documents: DataFrame) -> DataFrame:
     return materialise(records.select("*", slot.alias("virtual_slot"), F.monotonically_increasing_id().alias("row")), "records")
 
 
-def _divided(records: DataFrame, shards: int) -> DataFrame:
-    """``records`` with ``sub``: 0, or one of several parts of a heavy slot."""
-    sums = records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()  # at most SLOTS rows
-    part = max(1.0, HEAVY * sum(r["bytes"] for r in sums) / shards)
-    heavy = [(r["virtual_slot"], -int(-r["bytes"] // (part / 4))) for r in sums if r["bytes"] > part]  # at most shards / HEAVY
-    if not heavy:
-        return records.withColumn("sub", F.lit(0))
-    parts = F.broadcast(records.sparkSession.createDataFrame(heavy, "virtual_slot int, parts int"))
-    mark = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.coalesce("parts", F.lit(1))).cast("int")
-    return records.join(parts, "virtual_slot", "left").withColumn("sub", mark).drop("parts")
-
+def _divided(records: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """``records`` with ``sub``: 0, or the sub-slot of a slot that ``parts`` splits (in a power of two).
 
-def shard(documents: DataFrame, shards: int = SHARDS, map_path: str | None = None, version: int = 1) -> DataFrame:
+    The sub-slot follows from the record and, among equal records, from its
+    number; equal records are interchangeable, so any order numbers them.
+    """
+    if not parts:
+        return records.withColumn("sub", F.lit(0))
+    # a split slot has more than HEAVY / 4 of a shard, so there are few
+    table = F.broadcast(records.sparkSession.createDataFrame(sorted(parts.items()), "virtual_slot int, parts int"))
+    some = materialise(records.join(table, "virtual_slot").withColumn("chunk", F.shiftright("row", 33)), "split")
+    key = ["doc_id", "text_crc32", "size"]
+    counts = some.groupBy(*key, "chunk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).where("before > 0").select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "chunk", "before")
+    inside = some.withColumn("inside", F.row_number().over(Window.partitionBy(*key, "chunk").orderBy("row")) - 1)
+    on = inside["doc_id"].eqNullSafe(counts["_id"]) & (inside["text_crc32"] == counts["_crc"]) & (inside["size"] == counts["_size"]) & (inside["chunk"] == counts["chunk"])
+    copy = F.coalesce("before", F.lit(0)) + F.col("inside")
+    out = inside.join(counts, on, "left").withColumn("sub", F.pmod(F.xxhash64("text_crc32", "doc_id", copy.cast("long")), F.col("parts")).cast("int"))
+    rest = records.join(table, "virtual_slot", "left_anti").withColumn("sub", F.lit(0))
+    return rest.unionByName(out.select(rest.columns))
+
+
+def shard(documents: DataFrame, map_path: str, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, row, virtual_slot, sub, shard and slot (place in the shard, from 0) for every row.
 
-    A null text has no bytes and size 8; null ids and repeated rows are dealt
-    like others.  An empty table gives an empty result.  With ``map_path`` the
-    map is also written there as ``version``.
+    The map in ``map_path`` is created if there is none, edited for these
+    records and stored as its next version.  A null text has no bytes and size
+    8; null ids and repeated rows are dealt like others.  An empty table gives
+    an empty result.
     """
     spark = documents.sparkSession
-    records = _divided(_records(documents), shards)
-    slots = [tuple(r) for r in records.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes")).collect()]  # at most SLOTS and the parts of heavy slots
-    rows = _map_rows(slots, deal(slots, shards))
-    if map_path:
-        write_map(spark, rows, map_path, version)
-    table = F.broadcast(spark.createDataFrame(rows, MAP_SCHEMA).select(F.col("slot").alias("virtual_slot"), "sub", "shard"))
+    version = latest(spark, map_path)
+    if not version:
+        version = 1
+        write_map(spark, [(slot, 0, 1, 0, slot % shards) for slot in range(SLOTS)], map_path, version)
+    old = read_map(spark, map_path, version).collect()  # at most SLOTS rows and the sub-slots of split ones
+    held = {(r["slot"], r["sub"]): r["shard"] for r in old}
+    parts = {r["slot"]: r["parts"] for r in old}
+    records = _records(documents)
+    sums = {r["virtual_slot"]: r["bytes"] for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}  # at most SLOTS rows
+    most = HEAVY * sum(sums.values()) / shards
+    for slot, size in sums.items():
+        while size > most * parts[slot]:
+            held |= {(slot, sub + parts[slot]): held[slot, sub] for sub in range(parts[slot])}
+            parts[slot] *= 2
+    records = _divided(records, {slot: n for slot, n in parts.items() if n > 1})
+    sizes = {(r["virtual_slot"], r["sub"]): r["bytes"] for r in records.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes")).collect()}  # as many as the map has
+    slots = [(slot, sub, sizes.get((slot, sub), 0)) for slot, sub in sorted(held)]
+    dealt = rebalance(held, slots, shards)
+    write_map(spark, [(slot, sub, parts[slot], size, dealt[slot, sub]) for slot, sub, size in slots], map_path, version + 1)
+    table = F.broadcast(read_map(spark, map_path, version + 1).select(F.col("slot").alias("virtual_slot"), "sub", "shard"))
     placed = records.join(table, ["virtual_slot", "sub"]).withColumn("chunk", F.shiftright("row", 33))
     # places: rows of earlier chunks of the same shard, then the place among the chunk's own
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
@@ -128,7 +159,20 @@ def shard(documents: DataFrame, shards: int = SHARDS, map_path: str | None = Non
     return numbered.select("doc_id", "size", "text_crc32", "row", "virtual_slot", "sub", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
 
 
-def digest(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The law `bytes`: doc_id, size, text_crc32, law, shard, slot, virtual_slot and a null grown_shard."""
-    out = shard(documents, shards)
+def digest(documents: DataFrame, shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
+    """The law `bytes`: doc_id, size, text_crc32, law, shard, slot, virtual_slot and a null grown_shard.
+
+    Without ``map_path`` the map is a new one in the shared folder.
+    """
+    out = shard(documents, map_path or new_path(documents.sparkSession, "shard-map"), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def law(placed: DataFrame) -> DataFrame:
+    """One row about a digest: n_rows, n_bytes, n_shards, whether places have no gap and whether sizes are near equal.
+
+    Near equal is within 2 % of the fair size or, for few and large records, within the largest record.
+    """
+    by_shard = placed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("slot").alias("last"), F.count_distinct("slot").alias("places"), F.max("size").alias("most"))
+    spread = F.max("bytes") - F.min("bytes") <= F.greatest(F.max("most"), F.sum("bytes") / F.count("*") / 50)
+    return by_shard.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.count("*").alias("n_shards"), F.bool_and(F.expr("last + 1 = n and places = n")).alias("gapless"), spread.alias("near_equal"))
