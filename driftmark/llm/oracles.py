@@ -14,9 +14,12 @@ def _quality() -> str:
     names = list(quality.GRIDS)
     cells = " union all ".join(f"select '{f}' as name, unnest({list(grid)}) as cutoff" for f, grid in quality.GRIDS.items())
     value = " ".join(f"when '{f}' then {f}" for f in names)
-    rate, tests = quality.RISK / len(names), sum(len(g) for g in quality.GRIDS.values())
     above = " or ".join(f"coalesce({f} > cut_{f}, false)" for f in names)
+    firsts = ", ".join(f"any_value({f}) as {f}" for f in names)
     cuts = ", ".join(f"max(best.cutoff) filter (where name = '{f}') as cut_{f}" for f in names)
+    places = ", ".join(f"max(place) filter (where name = '{f}') as place_{f}" for f in names)
+    rejected = ", ".join(f"case when {f} > cut_{f} then place_{f} end" for f in names)
+    taken = ", ".join(f"case when place_{f} <= depth then cut_{f} end as cut_{f}" for f in names)
     return rf"""
 with d as (
   select row_number() over () as r, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t, {_BLANK_WORDS.format("coalesce(text, '')")} as w from documents
@@ -30,7 +33,7 @@ with d as (
   select d.r, doc_id, stratum, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-    coalesce(n, 0) as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_capitals
+    coalesce(n, 0) as n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_capitals, t
   from d left join repeated using (r)
 ), base as (
   select *, len(lines) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts
@@ -42,19 +45,30 @@ with d as (
   select doc_id, min(quality) as quality from labels where doc_id is not null and quality is not null group by doc_id
 ), seen as (
   select stats.*, quality from stats join marks using (doc_id) where not base_failed
-), cells as ({cells}), sums as (
-  select stratum, name, cutoff, count(*) filter (where quality = 1) as n,
-    count(*) filter (where quality = 1 and case name {value} end > cutoff) as good, count(*) filter (where quality = 0 and case name {value} end > cutoff) as bad
-  from seen, cells group by all
+), trials as (
+  select stratum, t, min(quality) as quality, left(md5(cast(min(doc_id) as varchar)), 1) < '8' as certifies, {firsts}
+  from seen where doc_id in (select doc_id from seen group by doc_id having count(distinct t) = 1) group by stratum, t
+), cells as ({cells}), best as (
+  select stratum, name, max({{'gain': gain, 'cutoff': cutoff}}) as best from (
+    select stratum, name, cutoff, count(*) filter (where quality = 0 and case name {value} end > cutoff) - {quality.PRICE} * count(*) filter (where quality = 1 and case name {value} end > cutoff) as gain
+    from trials, cells where not certifies group by all
+  ) where gain > 0 group by all
+), ranked as (
+  select *, row_number() over (partition by stratum order by best.gain desc, name) as place from best
+), proposed as (
+  select stratum, {cuts}, {places} from ranked group by stratum
+), held as (
+  select stratum, least({rejected}) as rejected from trials join proposed using (stratum) where certifies and quality = 1
+), rules as (
+  select stratum, i, count(*) as n, count(*) filter (where rejected <= i) as k from held, (select unnest(range(1, {len(names) + 1})) as i) group by all
 ), tested as (
-  select *, case when good > n * {rate} then 1.0 else
-    list_sum(list_transform(range(0, good + 1), lambda i: exp(lgamma(n + 1) - case when i > 0 then lgamma(i + 1) else 0 end - case when n > i then lgamma(n - i + 1) else 0 end + i * ln({rate}) + (n - i) * ln(1 - {rate})))) end as p,
-    {tests} * (select count(distinct stratum) from sums) as tests
-  from sums
-), best as (
-  select stratum, name, max({{'gain': bad - good, 'cutoff': cutoff}}) as best from tested where bad > good and p <= {quality.DELTA} / tests group by all
+  select stratum, i, case when k > n * {quality.RISK} then 1.0 else
+    list_sum(list_transform(range(0, k + 1), lambda x: exp(lgamma(n + 1) - case when x > 0 then lgamma(x + 1) else 0 end - case when n > x then lgamma(n - x + 1) else 0 end + x * ln({quality.RISK}) + (n - x) * ln(1 - {quality.RISK})))) end as p
+  from rules
+), depths as (
+  select stratum, coalesce(min(i) filter (where p > {quality.DELTA} / (select count(distinct stratum) from trials)) - 1, {len(names)}) as depth from tested group by stratum
 ), cuts as (
-  select stratum, {cuts} from best group by stratum
+  select stratum, {taken} from proposed join depths using (stratum)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and not ({above}) as kept
 from stats left join cuts using (stratum)

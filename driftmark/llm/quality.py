@@ -1,13 +1,19 @@
 """Quality rules with risk-controlled cutoffs.
 
 Fixed base rules come first.  Above them, each stratum (language) gets cutoffs
-for five text statistics.  A cutoff is admissible if the labelled documents of
-the stratum show, by an exact binomial test, that rejecting above it wrongly
-rejects at most RISK / 5 of the stratum's good documents; all tests together
-hold with confidence 1 - DELTA (Bonferroni over strata, statistics and the
-cutoffs of the fixed grids).  Of the admissible cutoffs the one that rejects
-most bad in excess of good labelled documents is taken, and none if no excess
-is positive.  So in each stratum at most RISK of the good documents are lost.
+for some of five text statistics, in two steps on two halves of its labelled
+texts.  The first half proposes: for each statistic the cutoff whose rejected
+bad texts most exceed PRICE times its rejected good ones, and rules that use
+the best statistic, the best two, and so on.  The second half, the holdout,
+certifies: the rules are tested in that order, each rejecting all that the one
+before does, until the exact binomial test no longer shows that a rule wrongly
+rejects at most RISK of the stratum's good texts.  The last rule shown so is
+taken, or none.  Tests in a fixed order that end at the first failure need no
+correction among themselves; between strata it is Bonferroni's.  So with
+confidence 1 - DELTA no stratum loses more than RISK of its good texts.
+
+The bound needs independent trials: each distinct labelled text is one trial,
+however many documents repeat it.
 
 Only DataFrame functions are used.  One pass over the texts leaves a narrow
 table of statistics, from which both the cutoffs and the verdicts come.
@@ -15,13 +21,13 @@ table of statistics, from which both the cutoffs and the verdicts come.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
 from .columns import BLANKS, few, let, split_words
 
-RISK, DELTA = 0.05, 0.05
+RISK, DELTA, PRICE = 0.05, 0.05, 4
 _SHARES = (10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700)
 #: Statistic: cutoffs; a document is rejected above the cutoff taken.  Shares are in thousandths, word length in tenths.
 GRIDS = {"symbols": _SHARES, "dup_lines": _SHARES, "repeats": _SHARES, "capitals": _SHARES, "word_length": (60, 65, 70, 75, 80, 90, 100, 120, 150, 200)}
@@ -98,23 +104,43 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k > n * rate, F.lit(1.0)).otherwise(F.aggregate(steps, zero, step, lambda a: F.exp(a["term"] + F.log(a["ratio"]))))
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each labelled stratum: stratum and, by statistic, the cutoff taken or null.
+def trials(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, quality, half (0 proposes, 1 certifies) and the statistics of each distinct labelled text of a stratum.
 
-    A document labelled more than once is good only if all its labels are;
-    labels without doc_id or quality, or of unknown documents, say nothing.
+    A text is good only if all labels of its documents say so.  A doc_id with
+    several texts, labels without doc_id or quality, and labels of unknown
+    documents say nothing.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     seen = stats.where("not base_failed").join(marks, "doc_id")
+    one = seen.groupBy("doc_id").agg(F.count_distinct("text_hash").alias("texts")).where("texts = 1").select("doc_id")
+    seen = seen.join(one, "doc_id", "left_semi")
+    out = seen.groupBy("stratum", "text_hash").agg(F.min("quality").alias("quality"), F.min("doc_id").alias("doc_id"), *[F.first(f).alias(f) for f in GRIDS])
+    return out.withColumn("half", (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8").cast("int"))
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each labelled stratum: stratum and, by statistic, the cutoff taken or null."""
+    seen = materialise(trials(stats, labels), "trials")
     cells = [(name, c) for name, grid in GRIDS.items() for c in grid]
     hit = lambda name, c, quality: F.count_if((F.col(name) > c) & (F.col("quality") == quality))
-    sums = seen.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("n"), F.array(*[F.struct(F.lit(f).alias("name"), F.lit(c).cast("long").alias("cutoff"), hit(f, c, 1).alias("good"), hit(f, c, 0).alias("bad")) for f, c in cells]).alias("cells"))
-    sums = materialise(sums, "cells")
-    tests = max(1, sums.count()) * len(cells)
-    rows = sums.select("stratum", "n", F.inline("cells"))
-    valid = binomial_tail(F.col("n"), F.col("good"), RISK / len(GRIDS)) <= DELTA / tests
-    best = rows.where((F.col("bad") > F.col("good")) & valid).groupBy("stratum", "name").agg(F.max(F.struct((F.col("bad") - F.col("good")).alias("gain"), F.col("cutoff"))).alias("best"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("name") == f, F.col("best.cutoff"))).alias(f"cut_{f}") for f in GRIDS])
+    sums = seen.where("half = 0").groupBy("stratum").agg(F.array(*[F.struct(F.lit(f).alias("name"), F.lit(c).cast("long").alias("cutoff"), (hit(f, c, 0) - PRICE * hit(f, c, 1)).alias("gain")) for f, c in cells]).alias("cells"))
+    best = sums.select("stratum", F.inline("cells")).where("gain > 0").groupBy("stratum", "name").agg(F.max(F.struct("gain", "cutoff")).alias("best"))
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("best.gain"), "name"))  # at most a row for each statistic
+    best = best.withColumn("place", place)
+    of = lambda f, value: F.max(F.when(F.col("name") == f, F.col(value)))
+    proposed = best.groupBy("stratum").agg(*[of(f, "best.cutoff").alias(f"cut_{f}") for f in GRIDS], *[of(f, "place").alias(f"place_{f}") for f in GRIDS])
+    strata = max(1, seen.select("stratum").distinct().count())
+    rejected = F.least(*[F.when(F.col(f) > F.col(f"cut_{f}"), F.col(f"place_{f}")) for f in GRIDS])  # by which rule first
+    held = seen.where("half = 1 and quality = 1").join(few(proposed, 100_000), "stratum").withColumn("rejected", rejected)
+    steps = range(1, len(GRIDS) + 1)
+    held = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col("rejected") <= i).alias(f"k{i}") for i in steps])
+    depth = F.lit(len(GRIDS))
+    for i in reversed(steps):
+        shown = binomial_tail(F.col("n"), F.col(f"k{i}"), RISK) <= DELTA / strata
+        depth = F.when(shown, depth).otherwise(F.lit(i - 1))
+    held = held.select("stratum", depth.alias("depth"))
+    return proposed.join(held, "stratum").select("stratum", *[F.when(F.col(f"place_{f}") <= F.col("depth"), F.col(f"cut_{f}")).alias(f"cut_{f}") for f in GRIDS])
 
 
 def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -125,7 +151,7 @@ def judge(documents: DataFrame, labels: DataFrame) -> DataFrame:
     only base rules reject there.  Rows repeating a doc_id are judged alone.
     """
     stats = materialise(statistics(documents), "quality")
-    cuts = few(cutoffs(stats, labels), 100_000)
+    cuts = few(materialise(cutoffs(stats, labels), "cutoffs"), 100_000)
     above = F.lit(False)
     for f in GRIDS:
         above = above | F.coalesce(F.col(f) > F.col(f"cut_{f}"), F.lit(False))

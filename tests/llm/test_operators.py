@@ -80,13 +80,43 @@ def test_binomial_tail_is_exact(spark):
             assert r["p"] == pytest.approx(sum(map(math.exp, logs)), rel=1e-6)
 
 
+STATS = "doc_id long, stratum string, text_hash long, base_failed boolean, symbols long, dup_lines long, repeats long, capitals long, word_length long"
+
+
 def test_cutoffs_keep_the_promise(spark):
-    """With enough good labels a harmful statistic gets a cutoff; with few, or none harmful, there is none."""
-    rows = [(i, "big", i % 5 > 0, 400 if i % 5 == 0 else 1) for i in range(8000)] + [(10_000 + i, "few", i % 5 > 0, 400 if i % 5 == 0 else 1) for i in range(50)] + [(20_000 + i, "same", i % 2 > 0, 400) for i in range(4000)]
-    stats = spark.createDataFrame([(i, s, False, v, 0, 0, 0, 50) for i, s, _, v in rows], "doc_id long, stratum string, base_failed boolean, symbols long, dup_lines long, repeats long, capitals long, word_length long")
-    labels = spark.createDataFrame([(i, int(good)) for i, _, good, _ in rows] + [(None, 1), (1, None)], "doc_id long, quality int")
-    got = {r["stratum"]: r["cut_symbols"] for r in quality.cutoffs(stats, labels).collect()}
-    assert got == {"big": 300}
+    """With enough good labels a harmful statistic gets a cutoff; with few, copies of few, or none harmful, there is none."""
+    cases = {"big": (2000, 1, 5), "few": (60, 1, 5), "copies": (60, 40, 5), "same": (2000, 1, 2)}
+    rows, labels = [], []
+    for k, (stratum, (texts, copies, period)) in enumerate(cases.items()):
+        for i in range(texts):
+            value = 400 if i % period == 0 or stratum == "same" else 1
+            for c in range(copies):
+                doc_id = 1_000_000 * k + 1000 * i + c
+                rows.append((doc_id, stratum, k * 10_000 + i, False, value, 0, 0, 0, 50))
+                labels.append((doc_id, int(i % period > 0)))
+    rows.append((0, "big", 99, False, 1, 0, 0, 0, 50))  # a doc_id with two texts says nothing
+    stats = spark.createDataFrame(rows, STATS)
+    got = {r["stratum"]: r["cut_symbols"] for r in quality.cutoffs(stats, spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, quality int")).collect()}
+    assert got.pop("big") == 300 and set(got.values()) <= {None}
+    assert quality.trials(stats, spark.createDataFrame(labels, "doc_id long, quality int")).where("stratum = 'copies'").count() == 60
+
+
+def test_rules_are_certified_one_after_the_other(spark):
+    """A statistic that loses too many good texts of the holdout is left out, the better ones before it stay."""
+    rows, labels = [], []
+    for i in range(4000):
+        bad = i % 4 == 0
+        late = hashlib.md5(str(i).encode()).hexdigest()[0] < "8"  # the certifying half
+        rows.append((i, "s", i, False, 400 if bad else 1, 400 if bad and i % 8 == 0 or late and i % 9 == 1 else 0, 0, 0, 50))
+        labels.append((i, int(not bad)))
+    got = quality.cutoffs(spark.createDataFrame(rows, STATS), spark.createDataFrame(labels, "doc_id long, quality int")).first()
+    assert got["cut_symbols"] == 300 and got["cut_dup_lines"] is None
+
+
+def test_cutoffs_act_on_the_small_tables(spark):
+    """At sf0.01 a cutoff rejects documents that pass the base rules, so the comparison with SQL covers it."""
+    out = queries.op1_quality_rules(spark, "/root/testdata/sf0.01")
+    assert out.where("not base_failed and not kept").count() > 20
 
 
 def test_quality_without_labels_or_documents(spark, both, none):
