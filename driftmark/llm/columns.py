@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialise
+
 #: Separators of the two word rules, for Java regular expressions.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -49,3 +52,24 @@ def without_rows(documents: DataFrame, rejected: DataFrame) -> DataFrame:
     """
     gone = few(rejected.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct())
     return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(documents["text"]) == gone["_gone_hash"]), "left_anti")
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each of ``sums``, the sum over all rows before in ``order``.
+
+    Rows are dealt by ranges of the order and summed in each range; only one
+    row of totals for each range comes to the driver.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id(), **{f"_own_{k}": v.cast("decimal(38,0)") for k, v in sums.items()}})
+    placed = materialise(placed, "ranges")
+    totals = sorted(placed.groupBy("_range").agg(*[F.sum(f"_own_{k}").alias(k) for k in sums]).collect(), key=lambda r: r["_range"])  # a row for each range
+    table, before = [], dict.fromkeys(sums, 0)
+    for r in totals:
+        table.append((r["_range"], *(Decimal(before[k]) for k in sums)))
+        before = {k: before[k] + int(r[k] or 0) for k in sums}
+    starts = rows.sparkSession.createDataFrame(table, ", ".join(["_range int", *(f"_start_{k} decimal(38,0)" for k in sums)]))
+    earlier = Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(starts), "_range")
+    out = out.withColumns({k: (F.col(f"_start_{k}") + F.coalesce(F.sum(f"_own_{k}").over(earlier), F.lit(0))).cast("decimal(38,0)") for k in sums})
+    return out.select(*rows.columns, *sums)

@@ -4,45 +4,49 @@ Words are summed by source (combined before the shuffle, so a hot source is
 one row from each task).  The weights share 150 % of all words; a target stops
 at twice its source's words and the rest is shared anew by weight.  Since
 capped sources are those with the least cap for their weight, the fixed point
-is found by prefix sums over the sources in that order.  A document is taken
+is found by prefix sums over the sources in that order, made over ranges of
+sources so that any number of them will do.  A document is taken
 floor(rate) times, and once more if a hash of its id falls below the fraction.
 
-Only DataFrame functions are used, and all target arithmetic is on integers up
-to one last division.
+Only DataFrame functions are used, and all target arithmetic is on integers of
+up to 38 digits up to one last division.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import BLANKS, count_words, few
+from ..plans.scratch import materialise
+from .columns import BLANKS, count_words, few, running
 
 WEIGHTS, SEED = (3, 1, 2), "mix-1"
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target for (source, size) rows; the windows run over one row per source."""
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.partitionBy().orderBy(F.col("source").isNull(), "source")
-    place = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in WEIGHTS]), place + 1)
-    sums = sums.withColumn("weight", weight)
+    """source, source_size, target for (source, size) rows; places and sums run over ranges of the sources."""
+    exact = lambda c: c.cast("decimal(38,0)")
+    sums = materialise(sizes.groupBy("source").agg(exact(F.sum("size")).alias("source_size")), "sources")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    sums = running(sums, by_name, {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS)).cast("int") + 1)
+    sums = sums.withColumn("weight", exact(weight)).drop("place")
     # 2 * source_size / weight ascending; products of integers compare the quotients by one value
-    lcm = 1
-    for w in WEIGHTS:
-        lcm *= w
-    by_cap = Window.partitionBy().orderBy(F.col("source_size") * F.lit(lcm) / F.col("weight"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    sums = sums.withColumn("total", F.sum("source_size").over(everything)).withColumn("before", F.coalesce(F.sum("source_size").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = sums.withColumn("weights", F.sum("weight").over(by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    # the level (words a unit of weight), times two: (3 total - 4 before) / weights, of the first source that stays below its cap
-    level = F.struct((3 * F.col("total") - 4 * F.col("before")).alias("num"), F.col("weights").alias("den"))
-    open_ = F.col("weight") * (3 * F.col("total") - 4 * F.col("before")) <= 4 * F.col("source_size") * F.col("weights")
-    first = F.min(F.when(open_, F.struct(F.col("before"), level.alias("level")))).over(everything)
-    sums = sums.withColumn("level", first["level"])
-    free = F.col("weight") * F.col("level.num") < 4 * F.col("source_size") * F.col("level.den")
-    target = F.when(free, (F.col("weight") * F.col("level.num")).cast("double") / (2 * F.col("level.den")).cast("double")).otherwise((2 * F.col("source_size")).cast("double"))
+    lcm = math.lcm(*WEIGHTS)
+    by_cap = [exact(F.col("source_size") * F.element_at(F.create_map(*[F.lit(x) for w in sorted(set(WEIGHTS)) for x in (w, lcm // w)]), F.col("weight").cast("int"))), *by_name]
+    sums = materialise(running(sums, by_cap, {"before": F.col("source_size"), "weights": F.col("weight")}), "caps")
+    total, whole = sums.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not total:  # no words at all: nothing is taken
+        return sums.select("source", "source_size", F.lit(0.0).alias("target"))
+    # the level (words a unit of weight), times two: (3 total - 4 before) / weights from here on, of the first source that stays below its cap
+    num, den = exact(3 * F.lit(total) - 4 * F.col("before")), exact(F.lit(whole) - F.col("weights"))
+    open_ = exact(F.col("weight") * num) <= exact(4 * F.col("source_size") * den)
+    first = sums.where(open_).agg(F.min(F.struct("before", num.alias("num"), den.alias("den"))).alias("level")).first()["level"]
+    num, den = (F.lit(first[x] if first else None).cast("decimal(38,0)") for x in ("num", "den"))
+    free = F.coalesce(exact(F.col("weight") * num) < exact(4 * F.col("source_size") * den), F.lit(False))
+    target = F.when(free, exact(F.col("weight") * num).cast("double") / exact(2 * den).cast("double")).otherwise((2 * F.col("source_size")).cast("double"))
     return sums.select("source", "source_size", target.alias("target"))
 
 
