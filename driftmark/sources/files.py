@@ -85,6 +85,15 @@ def joined(spark: SparkSession, folder: str, path: str, start: bytes, drop: int,
         out.close()
 
 
+def renamed(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Give the part files of ``folder`` that end in ``old`` the ending ``new``; only names change."""
+    system, target = _system(spark, folder)
+    for status in system.listStatus(target):
+        path = status.getPath()
+        if path.getName().startswith("part-") and path.getName().endswith(old):
+            system.rename(path, path.getParent().suffix("/" + path.getName().removesuffix(old) + new))
+
+
 def input_files(spark: SparkSession, path: str) -> list[DataFile]:
     """The file itself, or the supported files below a directory by relative path; hidden ones are refused.
 
