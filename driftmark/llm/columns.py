@@ -13,6 +13,7 @@ from ..plans.scratch import materialise
 #: Separators of the two word rules, for Java regular expressions.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Up to so many ids are sent to all executors; beyond, the same join shuffles.
 BROADCAST_IDS = 1_000_000
 

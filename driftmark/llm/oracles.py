@@ -99,29 +99,32 @@ from d left join words using (r) left join items using (r)
 
 
 def _licenses() -> str:
-    values = ", ".join(f"('{t}', '{label}', {phrase})" for phrase, table in ((True, licenses.PHRASES), (False, licenses.NOTICES)) for t, label in table.items())
+    values = ", ".join(f"('{t}', '{label}', {phrase}, {k}, {w})" for t, label, phrase, k, w in licenses.template_rows())
+    gram = lambda w, i: f"array_to_string({w}[{i}:{i} + k - 1], ' ')"
     return rf"""
 with templates as (
-  select template, label, phrase, string_split(template, ' ') as w from (values {values}) x(template, label, phrase)
+  select * from (select *, case k when {licenses.PAIR} then {licenses.NEEDED[licenses.PAIR]} else {licenses.NEEDED[licenses.RUN]} end as need from (values {values}) x(template, label, phrase, k, t))
 ), grams as (
-  select template, label, phrase, len(w) - 1 as pairs, i - 1 as k, w[i] || ' ' || w[i+1] as gram from (select *, unnest(range(1, len(w))) as i from templates)
+  select template, label, phrase, k, len(t) - k + 1 as grams, i - 1 as pos, {gram("t", "i")} as gram from (select *, unnest(range(1, len(t) - k + 2)) as i from templates)
 ), d as (
-  select row_number() over () as r, doc_id, {_ALNUM_WORDS.format("lower(coalesce(text, ''))")} as w from documents
+  select row_number() over () as r, doc_id, {_ALNUM_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} as w from documents
 ), places as (
-  select r, i - 1 as place, w[i] || ' ' || w[i+1] as gram from (select r, w, unnest(range(1, len(w))) as i from d)
+  select r, k, i - 1 as place, {gram("w", "i")} as gram from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select unnest([{licenses.PAIR}, {licenses.RUN}]) as k))
 ), votes as (
-  select r, template, label, phrase, pairs, place - k as diagonal, count(*) as votes, min(k) as low, max(k) as high from places join grams using (gram) group by all
+  select r, template, label, phrase, grams, place - pos as diagonal, count(*) as votes from places join grams on places.gram = grams.gram and places.k = grams.k group by all
 ), base as (
-  select r, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word, list_sort(list_distinct(list(label))) as base from votes where phrase and votes = pairs group by r
+  select r, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word, list_sort(list_distinct(list(label))) as base from votes where phrase and votes = grams group by r
 ), marked as (
   select *, coalesce(cast(diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {licenses.APART} as int), 1) as new from votes where not phrase
 ), spans as (
   select *, sum(new) over (partition by r, template order by diagonal) as span from marked
 ), merged as (
-  select r, template, label, pairs, span, sum(votes) as votes, max(votes) as most, min(low) as low, max(high) as high from spans group by all
+  select r, template, label, grams, span, sum(votes) as votes, max(votes) as most, list(diagonal) as diagonals from spans group by all
+), checked as (
+  select r, m.label, need, len(list_filter(range(0, len(t)), lambda i: len(list_filter(diagonals, lambda x: i + x >= 0 and w[i + x + 1] = t[i + 1])) > 0)) / len(t) as share
+  from merged m join templates using (template) join d using (r) where 2 * case k when {licenses.PAIR} then most else votes end >= need * grams
 ), noted as (
-  select r, list_distinct(list(label)) as noted, max(share) as share
-  from (select *, least(votes, high - low + 1, pairs) / pairs as share from merged) where share >= {licenses.NEEDED} and 2 * most >= {licenses.NEEDED} * pairs group by r
+  select r, list_distinct(list(label)) as noted, max(share) as share from checked where share >= need group by r
 )
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
   array_to_string(coalesce(base, []), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(noted, [])))), ',') as labels,

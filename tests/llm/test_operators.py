@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -355,7 +356,7 @@ def test_perspectives(spark):
 
 
 def brute_phrases(text):
-    w, out = words((text or "").lower()), []
+    w, out = words(text), []
     for phrase, label in licenses.PHRASES.items():
         p = phrase.split()
         out += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
@@ -370,13 +371,22 @@ def test_license_phrases(both, none):
     assert licenses.scan(none).count() == 0
 
 
-def test_altered_notices(spark):
-    texts = {
-        "cc-by,cc-by-nc": "Licensed under CC BY-NC 4.0", "bsd": "Redistribution and use in source or binary forms, with or without any modification, are permitted",
-        "lgpl": "under the terms of the GNU Lesser General Public License", "": "terms of use and the source of the public",
-    }
-    out = {r["text"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")).join(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string"), "doc_id").collect()}
-    assert {out[t]["labels"] for t in texts.values()} == set(texts)
+def test_altered_notices_and_bodies(spark):
+    body = licenses.BODIES["mit"]
+    rng = random.Random(9)
+    edited_body = " ".join(w for w in body.split() if rng.random() > 0.05)
+    cases = [
+        ("cc-by,cc-by-nc", "Licensed under CC BY-NC 4.0"), ("bsd", "Redistribution and use in source or binary forms, with or without any modification, are permitted"),
+        ("lgpl", "under the terms of the GNU Lesser General Public License"), ("", "terms of use and the source of the public"),
+        ("mit", f"intro {body} outro"), ("mit", edited_body), ("", " ".join(body.split()[:40])), ("", " ".join(rng.sample(body.split(), len(body.split())))),
+        ("zlib", licenses.BODIES["zlib"].upper()), ("apache", licenses.BODIES["apache"]), ("gpl", licenses.BODIES["gpl"]), ("boost", licenses.BODIES["boost"]),
+        ("", "M\u0130T L\u0130CENSE"), ("mit", "mit license " * 3000),
+    ]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t, 1) for i, (_, t) in enumerate(cases)], "doc_id long, text string, row int")).collect()}
+    for i, (labels, text) in enumerate(cases):
+        got = set(out[i]["labels"].split(",")) - ({"mit"} if i == 6 else set())  # the first sentence of the body is a notice of its own
+        assert got - {""} == set(labels.split(",")) - {""}, (i, text[:60], out[i]["labels"])
+    assert out[4]["score"] == 1 and 0.7 <= out[5]["score"] < 1
 
 
 # mixing
@@ -502,7 +512,7 @@ def test_rebalancing_moves_little():
 # archives
 
 
-def test_archives(spark, tiny):
+def test_archives(spark, tiny, tmp_path):
     pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()]
     big = "é\r\n\r\nWARC/1.1\r\n" * 200
     pages += [(1000, "http://a/\r\nx y", big), (1001, None, big), (1002, "u", big), (1003, "u", None), (1004, "u", ""), (1005, "u", "small"), (1006, "u", "small"), (None, "u", big), (1002, "u", big), (1007, "u", "x" * 999), (1008, "u", "x" * 999)]
@@ -527,6 +537,31 @@ def test_archives(spark, tiny):
     back = warc.resolved(out).collect()
     assert sorted((r["page_id"] or -1, bytes(r["payload"]).decode()) for r in back) == sorted((p or -1, h or "") for p, _, h in pages)
     assert warc.archive(df.limit(0)).count() == 0
+    check_files(spark, df, tmp_path)
+
+
+def check_files(spark, df, tmp_path):
+    """Each record is a gzip member of its own, files are bounded and begin with warcinfo, and revisits name their response's record."""
+    path = str(tmp_path / "warc")
+    warc.write(df.withColumns({"record_type": F.lit("clash"), "payload_digest": F.lit(1)}).repartition(2), path, file_bytes=20_000)
+    ids, refers, records = {}, [], 0
+    names = [f for f in os.listdir(path) if f.endswith(".warc.gz")]
+    assert len(names) > 3
+    for name in names:
+        members = [m for m in warc._members(memoryview(open(f"{path}/{name}", "rb").read())) if m]
+        assert members[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and os.path.getsize(f"{path}/{name}") < 20_000 + 60_000
+        for m in members[1:]:
+            head = dict(x.split(": ", 1) for x in m.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+            records += 1
+            assert m.endswith(b"\r\n\r\n") and head["WARC-Record-ID"] not in ids
+            ids[head["WARC-Record-ID"]] = head
+            if head["WARC-Type"] == "revisit":
+                refers.append(head)
+    assert records == df.count() and refers
+    for head in refers:
+        target = ids[head["WARC-Refers-To"]]
+        assert target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == head["WARC-Payload-Digest"]
+    assert warc.read(spark, path).count() == records
 
 
 # toxicity
