@@ -88,7 +88,7 @@ BODIES = {
         Public License along with this program.""",
 }
 #: Words of a gram in phrases and notices, and in bodies; the share of a template's words that must be verified, and how far apart neighbouring diagonals may be.
-PAIR, RUN, NEEDED, APART = 2, 4, {2: 0.92, 4: 0.7}, 3
+PAIR, RUN, NEEDED, APART = 2, 4, {2: 0.95, 4: 0.7}, 3
 
 
 def template_rows() -> list[tuple[str, str, bool, int, list[str]]]:

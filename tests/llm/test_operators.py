@@ -376,7 +376,7 @@ def test_altered_notices_and_bodies(spark):
     rng = random.Random(9)
     edited_body = " ".join(w for w in body.split() if rng.random() > 0.05)
     cases = [
-        ("cc-by,cc-by-nc", "Licensed under CC BY-NC 4.0"), ("bsd", "Redistribution and use in source or binary forms, with or without any modification, are permitted"),
+        ("cc-by,cc-by-nc", "Licensed under CC BY-NC 4.0"), ("bsd", "Redistribution and use in source and binary forms, with or without any modification, are permitted"),
         ("lgpl", "under the terms of the GNU Lesser General Public License"), ("", "terms of use and the source of the public"),
         ("mit", f"intro {body} outro"), ("mit", edited_body), ("", " ".join(body.split()[:40])), ("", " ".join(rng.sample(body.split(), len(body.split())))),
         ("zlib", licenses.BODIES["zlib"].upper()), ("apache", licenses.BODIES["apache"]), ("gpl", licenses.BODIES["gpl"]), ("boost", licenses.BODIES["boost"]),
