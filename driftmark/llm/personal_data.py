@@ -6,9 +6,11 @@ an entity are counted, and all words are.  With c(e, t) occurrences of t within
 WINDOW words of e, c(e) words near e, c(t) occurrences of t and T words in
 all, a word tells log2(c(e, t) T / (c(e) c(t))) of the log2(T / c(e)) bits
 that name the entity; the same is worked out with the entity's documents in
-place of the WINDOW for words that stand near it once.  Where a share reaches GENERALISE (REMOVE), the word
-is told of the entity, if it stands near it in at least SUPPORT documents, or
-in all documents of an entity that has fewer.  In each document that holds the
+place of the WINDOW for words that stand near it once.  Where a share reaches
+GENERALISE (REMOVE), the word is told of the entity, if it stands near it in at
+least SUPPORT different texts, or in all texts of an entity that has fewer.
+All counts are of different texts, so copies add nothing: a text counts in the
+document with the smallest doc_id.  In each document that holds the
 entity all occurrences of a told word, near it or not, are generalised to their
 shape (removed).  Documents without the value stay as they are.
 
@@ -178,7 +180,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, block in blocks(batch, "text", ALNUM_RULE):
             hashes = block.hashes()
-            counts.add(hashes)
+            first = np.asarray(part.column(part.schema.get_field_index("first")).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+            counts.add(hashes[first[block.text_of_word()]])
             base, held, near, tally = [], [], [], {k: [] for k in KINDS}
             for i, text in enumerate(part.column(part.schema.get_field_index("text")).to_pylist()):
                 spans = find(text) if text else []
@@ -202,20 +205,25 @@ def scan(documents: DataFrame) -> DataFrame:
     ``base`` and ``spans`` are kind:start:end lists; ``terms`` is an array of
     (first, last, action) of the words that give an entity away.  Null and
     empty texts have no spans.  Equal values of a kind are one entity in any
-    letter case.  Rows repeating a doc_id are rows of their own, and copies
-    count as often as they occur.
+    letter case.  Rows repeating a doc_id are rows of their own; rows that
+    repeat a doc_id and a text only add to the counts of words in all.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    found = materialise(docs.mapInArrow(_scan, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "personal")
+    # later copies of a text are not counted; a null id is the last
+    copies = docs.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("text_hash").alias("_hash"), "least")
+    copies = few(materialise(copies, "copies"))
+    marked = docs.join(copies, docs["text_hash"] == copies["_hash"], "left").withColumn("first", F.col("_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).select("doc_id", "text_hash", "text", "first")
+    found = materialise(marked.mapInArrow(_scan, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "personal")
     rows = found.where("base is not null").drop("term", "times")
-    near = rows.where("size(near) > 0").select("row", F.inline("near"))
-    pairs = near.groupBy("entity", "term", "row").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("docs"))
+    near = rows.where("size(near) > 0").select("text_hash", "row", F.inline("near"))
+    pairs = near.groupBy("entity", "term", "text_hash", "row").agg(F.count("*").alias("n")).groupBy("entity", "term", "text_hash").agg(F.max("n").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("docs"))
     pairs = materialise(pairs, "pairs")
     mass = pairs.groupBy("entity").agg(F.sum("both").alias("near"))
     counts = found.where("term is not null").select("term", "times")
     total = float(counts.agg(F.sum("times")).first()[0] or 1)
     held = rows.where("size(entities) > 0").select("row", "doc_id", "text_hash", "words", F.explode("entities").alias("entity"))
-    scarce = held.groupBy("entity").agg(F.count("*").alias("all_docs"), F.sum("words").cast("double").alias("words"))
+    scarce = held.groupBy("entity", "text_hash").agg(F.max("words").alias("words")).groupBy("entity").agg(F.count("*").alias("all_docs"), F.sum("words").cast("double").alias("words"))
     known = materialise(pairs.join(scarce, "entity").where(F.col("docs") >= F.least(F.lit(SUPPORT), "all_docs")).drop("all_docs"), "known")
     times = counts.join(few(known.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("times").alias("times"))
     share = lambda both, mass: F.log2(F.col(both) * total / (F.col(mass) * F.col("times"))) / F.log2(total / F.col(mass))
@@ -232,10 +240,11 @@ def scan(documents: DataFrame) -> DataFrame:
     places = materialise(places.join(few(known.select("entity", "term")), ["entity", "term"]), "places").withColumnRenamed("entity", "_entity")
     placed = held.join(places, (held["entity"] == places["_entity"]) & (held["text_hash"] == places["_hash"]) & held["doc_id"].eqNullSafe(places["_id"])).select("row", "entity", "term", "first", "last")
     placed = materialise(placed, "placed")
-    told = known.join(placed.groupBy("entity", "term").agg(F.count("*").alias("inside")), ["entity", "term"]).withColumn("share", F.greatest("share", share("inside", "words")))
+    once = placed.join(rows.select("row", "text_hash"), "row").select("entity", "term", "text_hash", "first", "last").distinct()
+    told = known.join(once.groupBy("entity", "term").agg(F.count("*").alias("inside")), ["entity", "term"]).withColumn("share", F.greatest("share", share("inside", "words")))
     told = told.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
     # a word told of two entities is removed if either asks for it
-    marked = placed.join(told, ["entity", "term"]).groupBy("row", "first", "last").agg(F.max("action").alias("action"))
+    marked = placed.join(few(materialise(told, "told")), ["entity", "term"]).groupBy("row", "first", "last").agg(F.max("action").alias("action"))
     marked = marked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last", "action"))).alias("terms"))
     out = rows.drop("near", "entities", "words").join(marked, "row", "left")
     listed = F.transform(F.coalesce("terms", F.array().cast("array<struct<first:long,last:long,action:string>>")), lambda t: F.concat_ws(":", F.lit("term"), t["first"].cast("string"), t["last"].cast("string")))
@@ -247,7 +256,7 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shape = str.maketrans({**{chr(c): "x" for c in range(97, 123)}, **{chr(c): "X" for c in range(65, 91)}, **{chr(c): "0" for c in range(48, 58)}})
     for batch in batches:
         out = []
-        for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+        for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
             edits = [(int(s), int(e), f"[{k.upper()}]") for k, s, e in (x.split(":") for x in (base or "").split(",") if x)]
             edits += [(t["first"], t["last"], "" if t["action"] == "remove" else "".join(c if c.isascii() else "x" for c in (text or "")[t["first"] : t["last"]].translate(shape))) for t in terms or []]
             done, at = [], 0
@@ -256,13 +265,27 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done += [text[at:s], new]
                 at = max(at, e)
             out.append(text if text is None else "".join([*done, text[at:]]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["_id", "_hash", "clean"])
 
 
-def sanitise(documents: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text) with personal data replaced by its kind and disclosing words generalised or removed."""
-    found = scan(documents) if found is None else found
+def sanitised(documents: DataFrame) -> DataFrame:
+    """The columns of :func:`scan` with ``clean``: the text with personal data replaced by its kind and disclosing words generalised or removed.
+
+    ``clean`` is null where there is nothing to replace.
+    """
+    found = materialise(scan(documents), "spans")
     some = found.where("spans <> ''").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "base", "terms")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = docs.join(few(some), docs["doc_id"].eqNullSafe(some["_id"]) & (docs["text_hash"] == some["_hash"])).dropDuplicates(["doc_id", "text_hash"])
+    clean = texts.select("doc_id", "text_hash", "text", "base", "terms").mapInArrow(_rewritten, "_id long, _hash long, clean string")
+    clean = materialise(clean, "clean")
+    both = found.join(clean, found["doc_id"].eqNullSafe(clean["_id"]) & (found["text_hash"] == clean["_hash"]), "left")
+    return both.drop("_id", "_hash")
+
+
+def sanitise(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) of every row of ``documents``, sanitised."""
+    clean = sanitised(documents).where("spans <> ''").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "clean")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]) & (F.xxhash64(docs["text"]) == some["_hash"]), "left")
-    return both.select("doc_id", "text", "base", "terms").mapInArrow(_rewritten, "doc_id long, text string")
+    both = docs.join(clean, docs["doc_id"].eqNullSafe(clean["_id"]) & (F.xxhash64(docs["text"]) == clean["_hash"]), "left")
+    return both.select("doc_id", F.coalesce("clean", "text").alias("text"))

@@ -27,8 +27,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data.scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    found = personal_data.sanitised(_table(spark, sf_dir, "documents"))
+    clean = F.sha2("clean", 256).alias("clean_sha256")  # null where the text stays as it is
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", clean)
 
 
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

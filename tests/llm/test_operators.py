@@ -314,6 +314,72 @@ def test_words_that_give_an_entity_away(spark, none):
     assert personal_data.scan(none).count() == 0
 
 
+def test_told_words_are_marked_all_over_and_for_rare_values(spark):
+    rng = random.Random(6)
+    noise = lambda n: " ".join(f"n{rng.randrange(300)}" for _ in range(n))
+    rows = [(i, f"{noise(20)} Zaphod writes to z@beeblebrox.org {noise(30)} {'Zaphod' if i % 2 else 'n1'} {noise(20)}") for i in range(20)]
+    rows += [(200, f"{noise(20)} Trillian writes to t@heart.org {noise(30)} Trillian {noise(5)}"), (201, f"Zaphod {noise(40)}"), (None, f"{noise(20)} Marvin has m@heart.org {noise(30)} Marvin")]
+    rows += [rows[1]] + [(300 + i, noise(60)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = collections.defaultdict(list)
+    for r in personal_data.sanitise(df).collect():
+        clean[r["doc_id"]].append(r["text"])
+    assert all("Zaphod" not in t for i in range(20) for t in clean[i]) and len(clean[1]) == 2
+    assert "Trillian" not in clean[200][0] and "Marvin" not in clean[None][0]
+    assert clean[201] == [dict(rows)[201]]
+
+
+def plain_terms(texts):
+    """text -> (first, last, action) of its told words, by dictionaries over different texts (numeric ids, ASCII)."""
+    entities, near, held, times = {}, collections.defaultdict(collections.Counter), collections.defaultdict(set), collections.Counter()
+    places = {}
+    for t in set(texts):
+        spans = [x.split(":") for x in brute_personal(t).split(",") if x]
+        ws = [(m.group(), m.start(), m.end()) for m in ALNUM.finditer(t.translate(LOWER))]
+        times.update(w for w, _, _ in ws)
+        inside = [any(a < int(e) and b > int(s) for _, s, e in spans) for _, a, b in ws]
+        places[t] = [(w, a, b) for (w, a, b), x in zip(ws, inside, strict=True) if not x]
+        marks = collections.defaultdict(set)
+        for kind, s, e in spans:
+            entity = kind, t[int(s) : int(e)].lower()
+            held[entity].add(t)
+            lo, hi = sum(b <= int(s) for _, _, b in ws), sum(a < int(e) for _, a, _ in ws)
+            marks[entity] |= {k for k in (*range(max(0, lo - personal_data.WINDOW), lo), *range(hi, min(len(ws), hi + personal_data.WINDOW))) if not inside[k]}
+        for entity, ks in marks.items():
+            near[entity].update((ws[k][0], t) for k in ks)
+        entities[t] = set(marks)
+    total = sum(times.values())
+    sizes = {t: len(words(t)) for t in set(texts)}
+    share = lambda both, mass, w: math.log2(both * total / (mass * times[w])) / math.log2(total / mass)
+    out = {t: {} for t in set(texts)}
+    for entity, own in near.items():
+        mass, words_ = sum(own.values()), sum(sizes[t] for t in held[entity])
+        for w in {w for w, _ in own}:
+            docs = {t for x, t in own if x == w}
+            if len(docs) < min(personal_data.SUPPORT, len(held[entity])):
+                continue
+            inside = sum(x == w for t in held[entity] for x, _, _ in places[t])
+            value = max(share(sum(n for (x, _), n in own.items() if x == w), mass, w), share(inside, words_, w))
+            if value >= personal_data.GENERALISE:
+                for t in held[entity]:
+                    for x, a, b in places[t]:
+                        if x == w:
+                            out[t][a, b] = max(out[t].get((a, b), ""), "remove" if value >= personal_data.REMOVE else "generalise")
+    return {t: sorted((a, b, x) for (a, b), x in v.items()) for t, v in out.items()}
+
+
+def test_disclosing_words_equal_a_plain_count(spark):
+    rng = random.Random(11)
+    noise = lambda n: " ".join(f"n{rng.randrange(120)}" for _ in range(n))
+    texts = [f"{noise(20)} Name{i % 7} of x{i % 7}@a.org {noise(15)} Name{i % 7 if i % 2 else 9}" for i in range(40)] + [noise(50) for _ in range(60)]
+    texts += [f"{noise(9)} once o@p.org {noise(9)}"] * 3 + [texts[0]] * 4  # copies tell no more than one
+    found = personal_data.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = plain_terms(texts)
+    assert len(found) == len(texts) and any(want.values())
+    for r in found:
+        assert [tuple(t) for t in r["terms"] or []] == want[texts[r["doc_id"]]], texts[r["doc_id"]]
+
+
 # chat
 
 
@@ -438,24 +504,6 @@ def test_very_many_sources(spark):
     assert got == pytest.approx(brute_targets(some))
 
 
-def test_told_words_are_marked_all_over_and_for_rare_values(spark):
-    rng = random.Random(6)
-    noise = lambda n: " ".join(f"n{rng.randrange(300)}" for _ in range(n))
-    rows = [(i, f"{noise(20)} Zaphod writes to z@beeblebrox.org {noise(30)} {'Zaphod' if i % 2 else 'n1'} {noise(20)}") for i in range(20)]
-    rows += [(200, f"{noise(20)} Trillian writes to t@heart.org {noise(30)} Trillian {noise(5)}"), (201, f"Zaphod {noise(40)}"), (None, f"{noise(20)} Marvin has m@heart.org {noise(30)} Marvin")]
-    rows += [rows[1]] + [(300 + i, noise(60)) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = personal_data.scan(df)
-    assert found.count() == len(rows)
-    clean = collections.defaultdict(list)
-    for r in personal_data.sanitise(df, found).collect():
-        clean[r["doc_id"]].append(r["text"])
-    assert all("Zaphod" not in t for i in range(20) for t in clean[i]) and len(clean[1]) == 2
-    assert "Trillian" not in clean[200][0] and "Marvin" not in clean[None][0]
-    assert clean[201] == [dict(rows)[201]]
-
-
-
 # sharding
 
 
