@@ -11,6 +11,7 @@ decimals of small scale.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -54,15 +55,21 @@ def spaced(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else json.dumps(json.loads(t), ensure_ascii=False) for t in texts.to_pylist()], pa.string())
 
 
+#: What JSON escapes with a letter of its own; other control characters take the long form.
+_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f"}
+
+
 def quoted(text: Column) -> Column:
-    """A JSON string; control characters as Python escapes them."""
-    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    for code in range(32):
-        out = F.replace(out, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    plain = F.concat(F.lit('"'), text, F.lit('"'))
-    return F.when(text.rlike('[\\x{0}-\\x{1F}"\\\\]'), F.concat(F.lit('"'), out, F.lit('"'))).otherwise(plain)
+    """A JSON string; control characters as Python escapes them.
+
+    Texts without anything to escape pass as they are, and only those with
+    unusual control characters are taken apart.
+    """
+    escaped = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), _SHORT.items(), text)
+    long_form = lambda c: F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))
+    taken = F.array_join(F.transform(F.split(escaped, ""), lambda c: F.when((c < " ") & (c != ""), long_form(c)).otherwise(c)), "")
+    rare, any_ = text.rlike("[\\x{0}-\\x{7}\\x{B}\\x{E}-\\x{1F}]"), text.rlike('[\\x{0}-\\x{1F}"\\\\]')
+    return F.concat(F.lit('"'), F.when(~any_, text).when(rare, taken).otherwise(escaped), F.lit('"'))
 
 
 def short_hash(json: Column) -> Column:
@@ -177,10 +184,15 @@ def leaf_columns(root: Tree) -> list[Column]:
     return out
 
 
+def json_columns(root: Tree) -> list[Column]:
+    """Columns q0, q1, ...: the whole JSON of each leaf, from those of ``leaf_columns``; records, maps and hashes are put together from them."""
+    return [F.coalesce(quoted(F.col("t" + leaf.name)), F.col("j" + leaf.name), F.lit("null")).alias("q" + leaf.name) for leaf in root.leaves()]
+
+
 def json_of(node: Leaf | Tree) -> Column:
-    """The canonical JSON of a field; needs the columns of ``leaf_columns`` and ``null_flags``."""
+    """The canonical JSON of a field; needs the columns of ``json_columns`` and ``null_flags``."""
     if isinstance(node, Leaf):
-        return F.coalesce(quoted(F.col("t" + node.name)), F.col("j" + node.name), F.lit("null"))
+        return F.col("q" + node.name)
     parts: list[Column] = []
     for i, (key, member) in enumerate(node.members.items()):
         parts += [F.lit(("," if i else "") + canonical.dumps(key) + ":"), json_of(member)]

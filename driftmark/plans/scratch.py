@@ -41,9 +41,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete this process's intermediate tables; results that still read them must have been written."""
-    while _made:
+def mark() -> int:
+    """Where the intermediate tables made from now on begin, for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete this process's intermediate tables since a mark; results that still read them must have been written."""
+    while len(_made) > since:
         target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 

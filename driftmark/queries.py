@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
 from .functions import typed
 from .operators import compare as cmp
 from .operators import drift, snapshot
 from .operators import entries as ent
 from .operators.matching import Match
+from .plans import scratch
+from .plans.report import render_json, render_text
+from .sources import files as source_files
 from .sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,8 +146,8 @@ def field_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entries(table(spark, sf_dir, "nation"), "n_nationkey", Match("key", ("n_name", "n_regionkey")))
-    return rows.select("pos", "raw_id", "rest", "label")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority")
+    return entries(orders, "o_orderkey", Match("key", ("o_orderpriority", "o_custkey"))).select("pos", "raw_id", "rest", "label")
 
 
 def content_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,10 +189,125 @@ def typed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON of an order's date, status and price."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
     root = typed.tree(orders.schema)
-    return orders.select("o_orderkey", *typed.leaf_columns(root)).select("o_orderkey", typed.json_of(root).alias("json"))
+    leaves = orders.select("o_orderkey", *typed.leaf_columns(root))
+    return leaves.select("o_orderkey", *typed.json_columns(root)).select("o_orderkey", typed.json_of(root).alias("json"))
+
+
+def _written(df: DataFrame, kind: str, files: int = 3) -> str:
+    """A new folder of ``df`` as JSON Lines, JSON, CSV or Parquet files."""
+    folder = scratch.new_path(df.sparkSession, f"source-{kind}")
+    some = df.repartitionByRange(files, df.columns[0])
+    if kind == "lines":
+        some.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    elif kind == "json":  # one array a file
+        rows = some.groupBy(F.spark_partition_id()).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+        rows.select(F.to_json("rows", {"ignoreNullFields": "false"}).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    elif kind == "csv":
+        some.write.option("header", True).option("escape", '"').csv(folder)
+    else:
+        some.write.parquet(folder)
+    ending = {"lines": ".jsonl", "json": ".json", "csv": ".csv"}.get(kind)
+    if ending:
+        source_files.renamed(df.sparkSession, folder, ending if kind == "csv" else ".txt", ending)
+    return folder
+
+
+def _read_back(df: DataFrame, kind: str) -> DataFrame:
+    rows = readers.read_rows(df.sparkSession, _written(df, kind))
+    return rows.select("data", F.col("err").isNull().alias("usable"))
+
+
+def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of JSON Lines files, as canonical JSON."""
+    return _read_back(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "lines")
+
+
+def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(table(spark, sf_dir, "nation"), "json")
+
+
+def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_back(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "csv")
+
+
+def read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of Parquet files with integers, text, floats, dates and a nested object."""
+    orders = table(spark, sf_dir, "orders")
+    return _read_back(orders.select("o_orderkey", "o_totalprice", F.struct("o_orderstatus", "o_orderdate").alias("state")), "parquet")
+
+
+def read_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records a directory of mixed formats gives, by file ending."""
+    some = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    folder = scratch.new_path(spark, "mixed")
+    for kind, ending in (("lines", "jsonl"), ("csv", "csv"), ("parquet", "parquet")):
+        source_files.moved(spark, _written(some, kind), f"{folder}/{ending}")
+    rows = readers.read_entries(spark, folder, Match("id", ("c_custkey",)))
+    return rows.groupBy(F.regexp_extract("src", "[.]([a-z]+)$", 1).alias("ending")).agg(F.count("*").alias("n"), F.count_distinct("raw_id").alias("ids"))
+
+
+def detected_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By what records are matched where nothing is said: with and without a field id."""
+    nation = table(spark, sf_dir, "nation")
+    found = [(kind, named, readers.detect_match(spark, _written(df, kind)).by) for kind in ("lines", "json", "csv", "parquet") for named, df in (("id", nation.withColumnRenamed("n_nationkey", "id")), ("other", nation))]
+    return spark.createDataFrame(found, "format string, field string, matched_by string")
+
+
+def strict_json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which made-up texts are no strict JSON: repeated keys, NaN, infinities, numbers beyond 64 bits, other values than objects."""
+    k = F.col("n_nationkey").cast("string")
+    texts = F.array(*[F.concat(F.lit(a), k, F.lit(b)) for a, b in (('{"a":', "}"), ('{"a":1,"a":', "}"), ('{"b":{"c":', ',"c":1}}'), ('{"a":NaN,"b":', "}"), ('{"a":-Infinity,"b":', "}"), ('{"a":1e999,"b":', "}"), ("[", "]"), ("", " x"))])
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(texts).alias("case", "text"))
+    rows = rows.withColumn("place", F.col("n_nationkey") * 8 + F.col("case"))
+    found = readers.entries_from_json(placed(rows, "place"), "text", Match("content"))
+    return found.select("pos", F.col("err").isNull().alias("usable"))
+
+
+def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON of text whose accents are separate characters, of floats and of a list."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" e\u0301\u0301 \u001f\t")).alias("accents"), (F.col("p_retailprice") * 1e18).alias("price"), F.array("p_size", F.lit(None).cast("int")).alias("sizes"))
+    return readers.read_rows(spark, _written(part, "parquet")).select("data")
+
+
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that differ between data and its own snapshot, saved as a file and as tables and loaded again."""
+    made = version(table(spark, sf_dir, "orders"), "o_orderkey", BY_ORDER)
+    file, tables = scratch.new_path(spark, "snapshot") + ".json", scratch.new_path(spark, "snapshot")
+    made.save(file)
+    made.save_tables(tables)
+    rows = []
+    for form, back in (("file", snapshot.load(spark, file)), ("tables", snapshot.load_tables(spark, tables))):
+        diff = cmp.compare(back, made)
+        rows.append((form, back.records, diff.counts["unchanged"], diff.has_changes, snapshot.is_snapshot(spark, file)))
+    return spark.createDataFrame(rows, "form string, records long, unchanged long, changes boolean, recognised boolean")
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of a text report: sources, matching, counts, changed fields."""
+    text = render_text(orders_diff(spark, sf_dir), 0)
+    return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line long, text string")
+
+
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a JSON report of the customers of one nation."""
+    before = table(spark, sf_dir, "customer").where("c_nationkey = 7")
+    after = before.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.lit(0.5)).otherwise(F.col("c_acctbal")))
+    match = Match("id", ("c_custkey",))
+    data = json.loads(render_json(cmp.compare(version(before, "c_custkey", match), version(after, "c_custkey", match))))
+    return spark.createDataFrame([(x["id"], ",".join(x["fields"]), data["counts"]["changed"], data["order_changed"]) for x in data["changed"]], "id string, fields string, n_changed long, order_changed boolean")
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit status of comparisons: same data, other data, no data."""
+    nation = table(spark, sf_dir, "nation")
+    one, other = _written(nation, "parquet"), _written(nation.withColumn("n_name", F.lower("n_name")), "parquet")
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        found = [(name, cli.main(["diff", one, path, "--id", "n_nationkey"])) for name, path in (("same", one), ("other", other), ("none", one + "-none"))]
+    return spark.createDataFrame(found, "name string, status long")
 
 
 _ALL: tuple[Query, ...] = (
+    read_json_lines, read_json, read_csv, read_parquet, read_directory, detected_matching, strict_json_errors, normalised_text, snapshot_round_trip, report_lines, report_json, command_line,
     diff_counts_by_id, diff_ignore_fields, diff_changed_fields, diff_field_counts, diff_top_fields, diff_removed, diff_added, diff_first_examples,
     diff_order_changed, diff_key_edited, diff_key_counts, diff_content, duplicate_numbering, duplicate_count, record_hash, field_hash, key_hash,
     content_label, schema_profile, schema_drift, dataset_hash, nested_leaves, strict_json_text, typed_text,
@@ -239,12 +361,32 @@ pairs as (
 
 def oracle_sql() -> dict[str, str]:
     record = "'{\"c_acctbal\":' || cast(c_acctbal as varchar) || ',\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":' || cast(to_json(c_mktsegment) as varchar) || ',\"c_name\":' || cast(to_json(c_name) as varchar) || ',\"c_nationkey\":' || c_nationkey || '}'"
+    text_json = lambda c: f"cast(to_json({c}) as varchar)"
     flat = "trim(regexp_replace(text, '[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
     short = lambda x: f"left(sha256({x}), 16)"
     nation = "'{\"n_name\":' || cast(to_json(n_name) as varchar) || ',\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}'"
     fields = " union all ".join(f"select cast(c_custkey as varchar) as id, '/{c}' as path, {short(x)} as field_hash from customer" for c, x in (("c_acctbal", "cast(c_acctbal as varchar)"), ("c_custkey", "cast(c_custkey as varchar)"), ("c_mktsegment", "cast(to_json(c_mktsegment) as varchar)"), ("c_name", "cast(to_json(c_name) as varchar)"), ("c_nationkey", "cast(c_nationkey as varchar)")))
     line = "'k:' || left(sha256('[' || l_orderkey || ',' || l_linenumber || ']'), 16)"
     return {
+        "read_json_lines": f"""select '{{"doc_id":' || doc_id || ',"lang":' || coalesce({text_json("lang")}, 'null') || ',"text":' || coalesce({text_json("text")}, 'null') || '}}' as data, true as usable from documents""",
+        "read_json": f"""select '{{"n_name":' || {text_json("n_name")} || ',"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}}' as data, true as usable from nation""",
+        "read_csv": f"""select '{{"p_brand":' || {text_json("p_brand")} || ',"p_name":' || {text_json("p_name")} || ',"p_partkey":"' || p_partkey || '","p_type":' || {text_json("p_type")} || '}}' as data, true as usable from part""",
+        "read_parquet": f"""select '{{"o_orderkey":' || o_orderkey || ',"o_totalprice":' || cast(o_totalprice as varchar) || ',"state":{{"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","o_orderstatus":' || {text_json("o_orderstatus")} || '}}}}' as data, true as usable from orders""",
+        "read_directory": "select ending, count(*) as n, count(*) as ids from customer, (values ('jsonl'), ('csv'), ('parquet')) t(ending) group by ending",
+        "detected_matching": "select format, field, case field when 'id' then 'id' else 'content' end as matched_by from (values ('lines'), ('json'), ('csv'), ('parquet')) a(format), (values ('id'), ('other')) b(field)",
+        "strict_json_errors": "select cast(n_nationkey * 8 + c as bigint) as pos, c = 0 as usable from nation, (select unnest(range(8)) as c)",
+        "normalised_text": f"""select '{{"accents":' || replace({text_json("p_name || ' ' || chr(233) || chr(769) || ' '")}, ' "', ' ') || '\\u001f\\t","p_partkey":' || p_partkey || ',"price":' || cast(p_retailprice * 1e18 as varchar) || ',"sizes":[' || p_size || ',null]}}' as data from part""",
+        "snapshot_round_trip": "select form, count(*) as records, count(*) as unchanged, false as changes, true as recognised from orders, (values ('file'), ('tables')) t(form) group by form",
+        "report_lines": _ORDERS + """, n as (select (select count(*) from a) as before, (select count(*) from b) as after, count(*) filter (where kind = 'unchanged') as unchanged, count(*) filter (where kind = 'changed') as changed,
+              count(*) filter (where kind = 'removed') as removed, count(*) filter (where kind = 'added') as added from k),
+            f as (select row_number() over (order by n desc) as i, path, n from (select path, count(*) as n from (select unnest(fields) as path from k where kind = 'changed') group by path)),
+            w as (select cast(greatest(5, length(format('{:,}', before)), length(format('{:,}', after))) as integer) as w from n)
+            select unnest(range(0, 10)) as line, unnest(['table -> table', 'records matched by id field ' || chr(39) || 'o_orderkey' || chr(39), '', '  before      ' || lpad(format('{:,}', before), w, ' '), '  after       ' || lpad(format('{:,}', after), w, ' '), '',
+              '  unchanged   ' || lpad(format('{:,}', unchanged), w, ' '), '  changed     ' || lpad(format('{:,}', changed), w, ' '), '  removed     ' || lpad(format('{:,}', removed), w, ' '), '  added       ' || lpad(format('{:,}', added), w, ' ')]) as text from n, w
+            union all select * from (values (10, ''), (11, 'fields changed (records)'))
+            union all select 11 + i, '  ' || rpad(path, (select max(length(path)) from f)::int, ' ') || '  ' || lpad(format('{:,}', n), (select w from w)::int, ' ') from f""",
+        "report_json": "with x as (select * from customer where c_nationkey = 7 and c_custkey % 2 = 0 and c_acctbal <> 0.5) select cast(c_custkey as varchar) as id, '/c_acctbal' as fields, (select count(*) from x) as n_changed, false as order_changed from x",
+        "command_line": "select * from (values ('same', 0::bigint), ('other', 1::bigint), ('none', 2::bigint)) t(name, status)",
         "diff_counts_by_id": _ORDERS + "select kind, count(*) as n from k group by kind",
         "diff_ignore_fields": _ORDERS + "select case when kind = 'changed' and fields = ['/o_totalprice'] then 'unchanged' else kind end as kind, count(*) as n from k group by 1",
         "diff_changed_fields": _ORDERS + _CHANGED,
@@ -267,7 +409,7 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_count": "select count(*) - (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)) as duplicates from lineitem",
         "record_hash": f"select cast(c_custkey as varchar) as id, {short(record)} as hash from customer",
         "field_hash": fields,
-        "key_hash": f"select cast(n_nationkey as bigint) as pos, 'k:' || {short("'[' || cast(to_json(n_name) as varchar) || ',' || n_regionkey || ']'")} as raw_id, {short("'{\"n_nationkey\":' || n_nationkey || '}'")} as rest, n_name || ' | ' || n_regionkey as label from nation",
+        "key_hash": f"select o_orderkey as pos, 'k:' || {short("'[' || cast(to_json(o_orderpriority) as varchar) || ',' || o_custkey || ']'")} as raw_id, {short("'{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":' || cast(to_json(o_orderstatus) as varchar) || '}'")} as rest, o_orderpriority || ' | ' || o_custkey as label from orders",
         "content_label": f"select doc_id as pos, case when text is null or text = '' then {short("'{\"doc_id\":' || doc_id || ',\"text\":' || coalesce(cast(to_json(text) as varchar), 'null') || '}'")} when length({flat}) <= 72 then {flat} else left({flat}, 69) || '...' end as label from documents",
         "schema_profile": "select path, type, count(*) as n from (select unnest([{'path': '/o_orderkey', 'type': 'integer'}, {'path': '/o_custkey', 'type': 'integer'}, {'path': '/o_orderstatus', 'type': case when o_orderkey % 5 <> 0 then 'string' else 'null' end}, {'path': '/o_totalprice', 'type': 'number'}, {'path': '/o_orderdate', 'type': 'string'}, {'path': '/o_orderpriority', 'type': 'string'}], recursive := true) from orders) group by all",
         "schema_drift": "select * from (values ('/o_orderstatus', 'removed', 'string', null), ('/o_custkey', 'retyped', 'integer', 'string'), ('/o_note', 'added', null, 'string')) t(path, change, before, after)",

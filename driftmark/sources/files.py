@@ -94,6 +94,13 @@ def renamed(spark: SparkSession, folder: str, old: str, new: str) -> None:
             system.rename(path, path.getParent().suffix("/" + path.getName().removesuffix(old) + new))
 
 
+def moved(spark: SparkSession, old: str, new: str) -> None:
+    """Give a file or folder another path of the same file system."""
+    system, target = _system(spark, new)
+    system.mkdirs(target.getParent())
+    system.rename(_system(spark, old)[1], target)
+
+
 def input_files(spark: SparkSession, path: str) -> list[DataFile]:
     """The file itself, or the supported files below a directory by relative path; hidden ones are refused.
 

@@ -201,14 +201,29 @@ def _read(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
     return reduce(DataFrame.unionByName, [readers[kind](some) for kind, some in kinds.items()])
 
 
+def _first_has_id(spark: SparkSession, f: DataFile) -> bool | None:
+    """Whether the first record of a file has a field ``id``; None if there is no record."""
+    if f.format == "parquet":
+        data = spark.read.parquet(f.uri)
+        return None if data.isEmpty() else "id" in data.columns
+    if f.format == "lines":
+        for line in spark.read.text(f.uri).where(F.trim("value") != "").select(F.col("value").cast("binary").alias("value")).head(1):
+            try:
+                value = strict_json.loads(bytes(line["value"]).decode())
+            except ValueError:
+                break  # the reader tells what is wrong
+            return "id" in value if isinstance(value, dict) else None
+    first = _read(spark, [f], How(Match("content"))).select("pos", "has_id").orderBy("pos").first()
+    return first["has_id"] if first else None
+
+
 def detect_match(spark: SparkSession, path: str) -> Match:
-    """By ``id`` if the first record has such a field (before anything is ignored), else by content."""
-    for f in input_files(spark, path):
-        found = _read(spark, [f], How(Match("content"))).select("pos", "has_id")
-        first = found.where("pos <= 1").first() or found.orderBy("pos").first()
-        if first:
-            return Match("id", ("id",)) if first["has_id"] else Match("content")
-    return Match("content")
+    """By ``id`` if the first record has such a field (before anything is ignored), else by content.
+
+    Of JSON Lines and Parquet only the head of a file is read.
+    """
+    answers = (_first_has_id(spark, f) for f in input_files(spark, path))
+    return Match("id", ("id",)) if next((x for x in answers if x is not None), False) else Match("content")
 
 
 def read_entries(spark: SparkSession, path: str, match: Match, ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ def _members(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
     members = dict(pairs)
     if len(members) < len(pairs):
         names = [k for k, _ in pairs]
-        raise StrictJsonError(f"duplicate object key {next(k for i, k in enumerate(names) if k in names[:i])!r}")
+        raise StrictJsonError(f"an object names {next(k for i, k in enumerate(names) if k in names[:i])!r} twice")
     return members
 
 
