@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
-from .columns import NOT_ALNUM, UPPER, let, split_words
+from .columns import NOT_ALNUM, UPPER, few, let, split_words
 
 #: Phrases that must stand whole, and their labels.
 PHRASES = {
@@ -141,8 +141,11 @@ def scan(documents: DataFrame) -> DataFrame:
     merged = spans.groupBy("row", "template", "label", "grams", "span").agg(F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.sort_array(F.collect_list("diagonal")).alias("diagonals"))  # at most as many as the text has words
     # an unbroken core on one diagonal, for bodies on all of them; then the words of the template at their places on any of the span's
     texts = F.broadcast(table.select("template", "words", "need", "k").distinct())
-    merged = merged.join(texts, "template").where(f"2 * if(k = {PAIR}, most, votes) >= need * grams")
-    checked = merged.join(rows.where("w is not null").select("row", "w"), "row")
+    merged = merged.join(texts, "template").where(f"2 * if(k = {PAIR}, most, votes) >= need * grams").drop("words")
+    spans = materialise(merged.select("row", "template", "label", "diagonals"), "spans")
+    # most texts with a known gram have no span left; only the words of those with one move, however many they are
+    some = few(spans.select("row").distinct())
+    checked = rows.where("w is not null").select("row", "w").join(some, "row", "left_semi").join(spans, "row").join(texts, "template")
     right = F.filter("words", lambda t, i: F.exists("diagonals", lambda d: F.coalesce(F.get("w", (i + d).cast("int")) == t, F.lit(False))))
     noted = checked.select("row", "label", "need", (F.size(right) / F.size("words")).alias("share")).where("share >= need")
     noted = noted.groupBy("row").agg(F.collect_set("label").alias("noted"), F.max("share").alias("share"))
