@@ -168,7 +168,8 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = version(table(spark, sf_dir, "nation"), "n_nationkey", Match("id", ("n_nationkey",)))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    made = version(orders, "o_orderkey", BY_ORDER)
     return spark.createDataFrame([(made.dataset_hash, made.order_hash)], "dataset_hash string, order_hash string")
 
 
@@ -364,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
     text_json = lambda c: f"cast(to_json({c}) as varchar)"
     flat = "trim(regexp_replace(text, '[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
     short = lambda x: f"left(sha256({x}), 16)"
-    nation = "'{\"n_name\":' || cast(to_json(n_name) as varchar) || ',\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}'"
+    order = "'{\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '\",\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":' || cast(to_json(o_orderstatus) as varchar) || ',\"o_totalprice\":' || cast(o_totalprice as varchar) || '}'"
     fields = " union all ".join(f"select cast(c_custkey as varchar) as id, '/{c}' as path, {short(x)} as field_hash from customer" for c, x in (("c_acctbal", "cast(c_acctbal as varchar)"), ("c_custkey", "cast(c_custkey as varchar)"), ("c_mktsegment", "cast(to_json(c_mktsegment) as varchar)"), ("c_name", "cast(to_json(c_name) as varchar)"), ("c_nationkey", "cast(c_nationkey as varchar)")))
     line = "'k:' || left(sha256('[' || l_orderkey || ',' || l_linenumber || ']'), 16)"
     return {
@@ -413,8 +414,8 @@ def oracle_sql() -> dict[str, str]:
         "content_label": f"select doc_id as pos, case when text is null or text = '' then {short("'{\"doc_id\":' || doc_id || ',\"text\":' || coalesce(cast(to_json(text) as varchar), 'null') || '}'")} when length({flat}) <= 72 then {flat} else left({flat}, 69) || '...' end as label from documents",
         "schema_profile": "select path, type, count(*) as n from (select unnest([{'path': '/o_orderkey', 'type': 'integer'}, {'path': '/o_custkey', 'type': 'integer'}, {'path': '/o_orderstatus', 'type': case when o_orderkey % 5 <> 0 then 'string' else 'null' end}, {'path': '/o_totalprice', 'type': 'number'}, {'path': '/o_orderdate', 'type': 'string'}, {'path': '/o_orderpriority', 'type': 'string'}], recursive := true) from orders) group by all",
         "schema_drift": "select * from (values ('/o_orderstatus', 'removed', 'string', null), ('/o_custkey', 'retyped', 'integer', 'string'), ('/o_note', 'added', null, 'string')) t(path, change, before, after)",
-        "dataset_hash": f"with e as (select cast(n_nationkey as varchar) as id, n_nationkey, {short(nation)} as hash from nation) select sha256('[' || string_agg('[\"' || id || '\",\"' || hash || '\"]', ',' order by id, hash) || ']') as dataset_hash, sha256('[' || string_agg('\"' || id || '\"', ', ' order by n_nationkey) || ']') as order_hash from e",
+        "dataset_hash": f"with e as (select cast(o_orderkey as varchar) as id, o_orderkey, {short(order)} as hash from orders) select sha256('[' || string_agg('[\"' || id || '\",\"' || hash || '\"]', ',' order by id, hash) || ']') as dataset_hash, sha256('[' || string_agg('\"' || id || '\"', ', ' order by o_orderkey) || ']') as order_hash from e",
         "nested_leaves": "select event_id as pos, '/props/k' as path, cast(json_extract(props, '$.k') as varchar) as json from events",
         "strict_json_text": f"select event_id as pos, {short("'{\"k\":' || cast(json_extract(props, '$.k') as varchar) || '}'")} as hash, cast(json_extract(props, '$.k') as varchar) as k from events",
-        "typed_text": "select o_orderkey, '{\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '\",\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":' || cast(to_json(o_orderstatus) as varchar) || ',\"o_totalprice\":' || cast(o_totalprice as varchar) || '}' as json from orders",
+        "typed_text": f"select o_orderkey, {order} as json from orders",
     }
