@@ -14,8 +14,8 @@ from ..plans.scratch import materialise
 BLANKS = "[\\x20\\x09-\\x0D]+"
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Up to so many ids are sent to all executors; beyond, the same join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Up to so many rows and bytes are sent to all executors; beyond, the same join shuffles.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,9 +40,10 @@ def count_words(text: Column, separators: str) -> Column:
     return let(parts, lambda a: F.size(a) - (a[0] == "").cast("int") - ((F.element_at(a, -1) == "") & (F.size(a) > 1)).cast("int")).cast("long")
 
 
-def few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """``ids``, marked for broadcast if there are at most ``bound`` rows."""
-    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+def few(rows: DataFrame, bound: int = BROADCAST_IDS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows``, marked for broadcast if there are at most ``bound`` of them and their values, written as JSON, have at most ``size`` bytes."""
+    n, written = rows.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(rows) if n <= bound and (written or 0) <= size else rows
 
 
 def without_rows(documents: DataFrame, rejected: DataFrame) -> DataFrame:

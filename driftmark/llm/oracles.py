@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality
+from . import licenses, mixing, quality, secrets, whitening
 from .chat import ORACLE_SQL as _CHAT
 
 _BLANK_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -169,6 +169,96 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 a
 from k
 """
 
+
+
+def _secrets() -> str:
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    patterns = (secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", words).replace("'", "''"), "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", secrets.RUN + "{%d,}" % secrets.LEAST)
+    found = " union all ".join(
+        f"select r, {k} as kind, unnest(range(1, len(h) + 1)) as i, h, g, v from (select r, regexp_extract_all(t, '{p}') as h, string_split_regex(t, '{p}') as g, regexp_extract_all(t, '{p}', {2 if k == 0 else 0}) as v from d where regexp_matches(t, '{p}'))" for k, p in enumerate(patterns)
+    )
+    alphabets = ", ".join(f"({i}, '{a}', {len(a)}, '{'0' * (len(a) // 2) + '1' * (len(a) - len(a) // 2)}', '^{p}$')" for i, (a, p) in enumerate(secrets.ENCODINGS.values()))
+    changes = lambda x: "(" + " + ".join(f"len(regexp_extract_all({x}, '{p}'))" for p in ("[a-z]+", "[A-Z]+", "[0-9]+", "[+/_-]+")) + " - 1)"
+    every = secrets.ENCODINGS["all"][0]
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
+), m as ({found}), e as (
+  select r, kind, i, length(g[i]) as gap, length(h[i]) as size, v[i] as value from m
+), p as (
+  select r, kind, value, sum(gap) over (partition by r, kind order by i) + coalesce(sum(size) over (partition by r, kind order by i rows between unbounded preceding and 1 preceding), 0) as s, size from e
+), placed as (
+  select r, kind, cast(s as bigint) as s, cast(s + size as bigint) as e, value from p where kind <> 0 or length(value) >= {secrets.VALUE}
+), pool as (
+  select distinct run from (select unnest(regexp_extract_all(t, '{secrets.RUN}{{{secrets.ORDINARY},}}')) as run from d) where length(run) < {secrets.LEAST} and regexp_matches(run, '[^0-9]')
+), rates as (
+  select (coalesce(sum({changes("run")}), 0) + {secrets.PRIOR[0]}) / (coalesce(sum(length(run) - 1), 0) + {secrets.PRIOR[1]}) as rate from pool where not regexp_matches(run, '^([a-z]+|[A-Z]+|[+/_-]+)$')
+), chars as (
+  select ch, count(*) as n from (select unnest(string_split(run, '')) as ch from pool) group by ch
+), alphabets as (
+  select * from (values {alphabets}) x(place, alphabet, k, halves, pattern)
+), cells as (
+  select place, coalesce(n, 0) + 1 as n from (select place, unnest(string_split(alphabet, '')) as ch from alphabets) left join chars using (ch)
+), shares as (
+  select place, sum(q * q) as squares, sum(q * q * q) as cubes from (select place, n / sum(n) over (partition by place) as q from cells) group by place
+), candidates as (
+  select distinct value from placed where kind = 3 and regexp_matches(value, '[^0-9]')
+), c as (
+  select value, length(value)::double as n, a.*, squares, cubes, rate, list_transform(string_split(value, ''), lambda x: instr(alphabet, x)::double) as pl, translate(value, alphabet, halves) as bits,
+    list_sum(list_transform(string_split('{every}', ''), lambda x: (length(value) - length(replace(value, x, ''))) * (length(value) - length(replace(value, x, '')) - 1) / 2))::double as pairs
+  from candidates, rates, alphabets a join shares using (place)
+  where a.place = (select min(place) from alphabets b where regexp_matches(value, b.pattern))
+), c2 as (
+  select *, n * (n - 1) / 2 as all_pairs, length(replace(bits, '1', ''))::double as low, (len(regexp_extract_all(bits, '0+')) + len(regexp_extract_all(bits, '1+')))::double as runs, list_sum(pl) as x, list_sum(list_transform(pl, lambda v: v * v)) as xx,
+    list_sum(list_transform(range(1, len(pl)), lambda i: pl[i] * pl[i + 1])) as xy, {changes("value")}::double / (n - 1) as w from c
+), c3 as (
+  select *, 1 + 2 * low * (n - low) / n as mean, xx - x * x / n as spread, all_pairs * squares as expected, sqrt(all_pairs * (squares - squares * squares) + n * (n - 1) * (n - 2) * (cubes - squares * squares)) as deviation,
+    (pairs - all_pairs / k) / sqrt(all_pairs / k * (1 - 1.0::double / k)) as z_pairs from c2
+), c4 as (
+  select *, case when (mean - 1) * (mean - 2) > 0 then (runs - mean) / sqrt((mean - 1) * (mean - 2) / (n - 1)) else 99 end as z_runs,
+    (case when spread > 0 then (xy - x / n * (2 * x - pl[1] - pl[-1]) + (n - 1) * (x / n) * (x / n)) / spread else 1 end + 1 / n) * sqrt(n) as z_serial, (expected - pairs) / deviation as z from c3
+), c5 as (
+  select value, n, z_pairs <= {secrets.BATTERY} and abs(z_runs) <= {secrets.BATTERY} and abs(z_serial) <= {secrets.BATTERY} as passes,
+    greatest(case when z > 0 then exp(-z * z / 2) / 2 else 1 end * case when w > rate then exp(-(n - 1) * (w * ln(w / rate) + case when w < 1 then (1 - w) * ln((1 - w) / (1 - rate)) else 0 end)) else 1 end, 1e-300::double) as joint from c4
+), steps as (
+  select value, floor(log2(n / {secrets.LEAST})) as stratum, floor(-log2(case when passes then least(joint * (1 - ln(joint)), 1.0::double) else 1.0::double end)) as step from c5
+), counts as (
+  select stratum, step, sum(count(*)) over (partition by stratum order by step desc) as found, sum(count(*)) over (partition by stratum) as tests from steps group by stratum, step
+), cuts as (
+  select stratum, min(step) as cut from counts where tests * pow(2.0::double, -step) <= {secrets.FALSE} * found group by stratum
+), random as (
+  select value from steps join cuts using (stratum) where step >= cut
+), finds as (
+  select r, kind, s, e from placed where kind < 3 union all select r, kind, s, e from placed join random using (value) where kind = 3
+), reached as (
+  select *, max(case when kind < 3 then e end) over (partition by r order by s, kind rows between unbounded preceding and current row) as reach from finds
+), listed as (
+  select r, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+    string_agg({list(secrets.KINDS)}[kind + 1] || ':' || s || ':' || e, ',' order by s, kind) filter (where kind < 3) as base, string_agg({list(secrets.KINDS)}[kind + 1] || ':' || s || ':' || e, ',' order by s, kind) as spans
+  from reached where kind < 3 or reach is null or reach < e group by r
+)
+select doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesce(n_access, 0) as bigint) as n_access, cast(coalesce(n_hex, 0) as bigint) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join listed using (r)
+"""
+
+
+_SCATTER = f"""
+with v as (
+  select list_transform(embedding, lambda c: cast(floor({whitening.STEPS} * c::double) as bigint)) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0
+), fit as (
+  select distinct x, row_number() over () as r from (select distinct x from v)
+), cells as (
+  select r, len(x) as d, unnest(range(0, len(x))) as i, unnest(x) as y from fit
+), sums as (
+  select d, i, sum(y)::hugeint as s, count(*) as n from cells group by d, i
+), products as (
+  select a.d, a.i, b.i as j, sum(a.y::hugeint * b.y) as p from cells a join cells b on a.r = b.r and a.i <= b.i group by all
+)
+select cast(p.d as int) as d, cast(p.i as int) as i, cast(p.j as int) as j, a.n, cast(a.n * p.p - a.s * b.s as varchar) as scatter
+from products p join sums a on p.d = a.d and p.i = a.i join sums b on p.d = b.d and p.j = b.i
+"""
+
 SQL = {
     "op1_quality_rules": _quality(),
     "op2_decontamination": _DECONTAMINATION,
@@ -176,5 +266,7 @@ SQL = {
     "op5_license_scan": _licenses(),
     "op6_source_mixing": _MIXING,
     "op9_warc_revisits": _WARC,
+    "op11_secret_scan": _secrets(),
+    "whitening_scatter": _SCATTER,
     "sharding_law": "select count(*) as n_rows, cast(sum(strlen(coalesce(text, '')) + 8) as bigint) as n_bytes, cast(24 as bigint) as n_shards, true as gapless, true as near_equal from documents",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, licenses, mixing, near_duplicates, oracles, personal_data, quality, sharding, toxicity, warc
+from . import alignment, chat, decontamination, licenses, mixing, near_duplicates, oracles, personal_data, quality, secrets, sharding, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +69,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    deviation = F.expr("try_cast(deviation as bigint)")  # null beyond 64 bits
+    return found.select("vec_id", "component", "n", deviation.alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def whitening_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact matrix that op12 decomposes, as SQL can check it."""
+    return whitening.scatter(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_of_them = (
         op1_quality_rules, op2_decontamination, op3_personal_data, op4_chat_perspectives, op5_license_scan,
-        op6_source_mixing, op7_minhash_near_duplicates, op8_sharding, op9_warc_revisits, op10_toxicity, sharding_law,
+        op6_source_mixing, op7_minhash_near_duplicates, op8_sharding, op9_warc_revisits, op10_toxicity, op11_secret_scan, op12_embedding_whitening, op13_tokenizer_alignment,
+        sharding_law, whitening_scatter,
     )
     return {f.__name__: f for f in all_of_them}
 
