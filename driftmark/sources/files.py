@@ -14,12 +14,18 @@ FORMATS = {".jsonl": "lines", ".ndjson": "lines", ".json": "json", ".csv": "csv"
 
 @dataclass(frozen=True)
 class DataFile:
-    """One file: its URI, its path inside the data set, its place in reading order and its format."""
+    """One file: its URI, its path inside the data set, its place in reading order, its format and its bytes."""
 
     uri: str
     label: str
     rank: int
     format: str
+    length: int = 0
+
+    @property
+    def hidden(self) -> bool:
+        """Whether Spark's readers pass over it without a word."""
+        return self.label.rpartition("/")[2][0] in "_."
 
 
 def _format(name: str) -> str | None:
@@ -102,11 +108,7 @@ def moved(spark: SparkSession, old: str, new: str) -> None:
 
 
 def input_files(spark: SparkSession, path: str) -> list[DataFile]:
-    """The file itself, or the supported files below a directory by relative path; hidden ones are refused.
-
-    Spark's readers skip files whose names begin with ``_`` or ``.`` without
-    a word, so such a data file is an error here and never silently left out.
-    """
+    """The file itself, or the supported files below a directory by relative path."""
     system, target = _system(spark, path)
     if not system.exists(target):
         raise InputError(f"{path}: no such file or directory")
@@ -115,18 +117,16 @@ def input_files(spark: SparkSession, path: str) -> list[DataFile]:
         kind = _format(target.getName())
         if kind is None:
             raise InputError(f"{path}: unsupported file type (use {', '.join(FORMATS)})")
-        found = [(status.getPath().toUri().toString(), target.getName(), kind)]
+        found = [(status.getPath().toUri().toString(), target.getName(), kind, status.getLen())]
     else:
         root = status.getPath().toUri().getPath().rstrip("/") + "/"
         found, files = [], system.listFiles(target, True)
         while files.hasNext():
-            each = files.next().getPath()
+            status = files.next()
+            each = status.getPath()
             kind = _format(each.getName())
             if kind:
-                found.append((each.toUri().toString(), each.toUri().getPath().removeprefix(root), kind))
+                found.append((each.toUri().toString(), each.toUri().getPath().removeprefix(root), kind, status.getLen()))
         if not found:
             raise InputError(f"{path}: no {', '.join(FORMATS)} files found")
-    hidden = next((label for _, label, _ in found if label.rpartition("/")[2][0] in "_."), None)
-    if hidden:
-        raise InputError(f"{hidden}: Spark reads no files whose names begin with _ or .; rename it")
-    return [DataFile(uri, label, rank, kind) for rank, (uri, label, kind) in enumerate(sorted(found, key=lambda x: x[1]))]
+    return [DataFile(uri, label, rank, kind, size) for rank, (uri, label, kind, size) in enumerate(sorted(found, key=lambda x: x[1]))]

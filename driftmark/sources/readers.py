@@ -2,8 +2,8 @@
 
 Text formats are decoded strictly in Arrow functions, which yield entries
 directly.  JSON Lines are split by Spark and numbered by prefix sums of line
-counts over the splits; a JSON or CSV file is decoded by one task, since where
-its records begin depends on everything before.  Parquet goes through native
+counts over the ranges.  A JSON or CSV file of up to LARGE bytes is decoded by one
+task; larger CSV files and JSON arrays are read by ranges (``by_range``).  Parquet goes through native
 expressions, files with the same schema together.
 """
 
@@ -18,19 +18,23 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError
 from ..operators import entries as ent
 from ..operators.matching import Match
 from ..plans.scratch import materialise
-from . import strict_json
+from . import by_range, row_groups, strict_json
+from .chunks import chunks, contents, files_table, plain_uri, runs
 from .files import DataFile, head, input_files
 
 _MAP = pa.map_(pa.string(), pa.string())
 _ARROW = pa.schema([("src", pa.string()), ("file_rank", pa.int32()), ("pos", pa.int64()), ("raw_id", pa.string()), ("label", pa.string()), ("hash", pa.string()), ("rest", pa.string()), ("fields", _MAP), ("types", _MAP), ("leaves", _MAP), ("record", pa.string()), ("err", pa.string()), ("has_id", pa.bool_())])
+_CUT_ARROW = pa.schema([*_ARROW, ("owner", pa.int64()), ("part", pa.int64()), ("piece", pa.string()), ("names", pa.list_(pa.string()))])
 _BATCH = 1000
+#: Larger JSON and CSV files are read by ranges.
+LARGE = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -45,19 +49,23 @@ class How:
 class Rows:
     """Collects entries and hands them out as Arrow batches."""
 
-    def __init__(self, how: How) -> None:
-        self.how, self.rows = how, []
+    def __init__(self, how: How, schema: pa.Schema = _ARROW) -> None:
+        self.how, self.schema, self.rows = how, schema, []
 
     def add(self, src: str, rank: int, pos: int, value: Any, wrong: str | None = None) -> None:
         row = {"err": wrong} if wrong else ent.from_record(value, self.how.match, self.how.ignore, f"{src} record {pos}", self.how.record)
         self.rows.append({"src": src, "file_rank": rank, "pos": pos, "has_id": wrong is None and "id" in value, **row})
 
+    def fragment(self, src: str, rank: int, owner: int, part: int, pos: int | None, piece: str, names: list[str] | None) -> None:
+        """A part of a record that other ranges have parts of; ``owner`` tells the record within its file."""
+        self.rows.append({"src": src, "file_rank": rank, "owner": owner, "part": part, "pos": pos, "piece": piece, "names": names})
+
     def full(self) -> bool:
         return len(self.rows) >= _BATCH
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        return pa.RecordBatch.from_pylist(rows, schema=self.schema)
 
 
 def _decoded(raw: bytes) -> tuple[str, str | None]:
@@ -67,24 +75,45 @@ def _decoded(raw: bytes) -> tuple[str, str | None]:
         return "", f"not valid UTF-8 ({exc.reason})"
 
 
+def _line(rows: Rows, src: str, rank: int, pos: int, raw: bytes) -> None:
+    text, wrong = _decoded(raw)
+    if wrong:
+        wrong = f"{src}: {wrong}"
+    elif not text.strip():
+        return
+    value = None
+    if not wrong:
+        try:
+            value = strict_json.loads(text)
+            if not isinstance(value, dict):
+                wrong = f"{src} line {pos}: expected a JSON object"
+        except ValueError as exc:
+            wrong = f"{src} line {pos}: invalid JSON: {exc}"
+    rows.add(src, rank, pos, value, wrong)
+
+
 def _lines(batches: Iterator[pa.RecordBatch], how: How) -> Iterator[pa.RecordBatch]:
     rows = Rows(how)
     for batch in batches:
         for src, rank, pos, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text, wrong = _decoded(raw)
-            if wrong:
-                wrong = f"{src}: {wrong}"
-            elif not text.strip():
-                continue
-            value = None
-            if not wrong:
-                try:
-                    value = strict_json.loads(text)
-                    if not isinstance(value, dict):
-                        wrong = f"{src} line {pos}: expected a JSON object"
-                except ValueError as exc:
-                    wrong = f"{src} line {pos}: invalid JSON: {exc}"
-            rows.add(src, rank, pos, value, wrong)
+            _line(rows, src, rank, pos, raw)
+            if rows.full():
+                yield rows.take()
+    yield rows.take()
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], how: How) -> Iterator[pa.RecordBatch]:
+    """Entries of the lines of ranges; a carriage return ends a line too."""
+    rows, pos = Rows(how), 0
+    for begins, at, values in runs(batches):
+        if begins:
+            pos = at["before"]
+            if at["mark"]:
+                rows.add(at["src"], at["file_rank"], by_range.WHOLE, None, f"{at['src']} line 1: invalid JSON: unexpected byte order mark")
+        for value in values:
+            for line in value.removesuffix(b"\r").split(b"\r"):
+                pos += 1
+                _line(rows, at["src"], at["file_rank"], pos, line)
             if rows.full():
                 yield rows.take()
     yield rows.take()
@@ -133,48 +162,72 @@ def _whole(batches: Iterator[pa.RecordBatch], read: Callable, how: How) -> Itera
 _OUT = ent.SCHEMA + ", has_id boolean"
 
 
-def _placed(spark: SparkSession, df: DataFrame, files: list[DataFile]) -> DataFrame:
-    """``df`` (with ``_path``) and each file's src and file_rank; the table has a row for each file."""
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    table = spark.createDataFrame([(f.uri, f.label, f.rank) for f in files], "uri string, src string, file_rank int")
-    table = table.select(plain(F.col("uri")).alias("_uri"), "src", "file_rank")
-    return df.join(F.broadcast(table) if len(files) <= 100_000 else table, plain(F.col("_path")) == F.col("_uri")).drop("_uri", "_path")
+_CUT = _OUT + ", owner long, part long, piece string, names array<string>"
 
 
-def numbered_lines(spark: SparkSession, uris: list[str]) -> DataFrame:
-    """(_path, pos, value) for each line of text files, numbered from 1 in each file."""
-    lines = spark.read.text(uris).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), "value")
-    # lines of a split are consecutive; earlier splits of the file are counted before them
-    counts = lines.groupBy("_path", "_start").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = materialise(counts.select("_path", "_start", (before - F.col("_first") + 1).alias("_add")), "splits")
-    where = lines.join(F.broadcast(counts) if counts.count() <= 1_000_000 else counts, ["_path", "_start"])
-    return where.select("_path", (F.col("_row") + F.col("_add")).alias("pos"), "value")
+def _placed(spark: SparkSession, df: DataFrame, files: list[DataFile]) -> DataFrame:
+    """``df`` (with ``_path``) and each file's src and file_rank."""
+    return df.join(files_table(spark, files).drop("length"), plain_uri(F.col("_path")) == F.col("_uri")).drop("_uri", "_path")
 
 
 def _read_lines(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
-    for f in files:
-        if head(spark, f.uri, 3) == b"\xef\xbb\xbf":  # Spark would drop it
-            raise InputError(f"{f.label} line 1: invalid JSON: unexpected byte order mark")
-    lines = numbered_lines(spark, [f.uri for f in files]).withColumn("value", F.col("value").cast("binary"))
-    return _placed(spark, lines, files).select("src", "file_rank", "pos", "value").mapInArrow(lambda it: _lines(it, how), _OUT)
+    lines = chunks(spark, files)
+    text = F.col("value").cast("string")
+    returns = F.length("value") - F.octet_length(F.replace(text, F.lit("\r"))) - F.endswith(text, F.lit("\r")).cast("int")
+    ranges = lines.groupBy("file_rank", "start").agg(F.sum(F.length("value")).alias("n_bytes"), F.count("*").alias("n_chunks"), F.sum(returns + 1).alias("lines"))
+    ranges = materialise(ranges, "ranges").join(files_table(spark, files).select("file_rank", "length"), "file_rank")
+    before = F.coalesce(F.sum("lines").over(by_range.earlier()), F.lit(0))
+    mark = (by_range.missing_bytes() >= 2) & (F.col("start") == 0)  # Spark would drop it
+    ranges = materialise(ranges.select("file_rank", "start", before.alias("before"), mark.alias("mark")), "line-numbers")
+    placed = by_range.with_ranges(spark, files, "\n", ranges).select("src", "file_rank", "start", "before", "mark", "value")
+    return placed.mapInArrow(lambda it: _numbered(it, how), _OUT)
 
 
 def _read_whole(spark: SparkSession, files: list[DataFile], how: How, read: Callable) -> DataFrame:
-    raw = spark.read.format("binaryFile").load([f.uri for f in files]).select(F.col("path").alias("_path"), "content")
-    return _placed(spark, raw, files).select("src", "file_rank", "content").mapInArrow(lambda it: _whole(it, read, how), _OUT)
+    return contents(spark, files).select("src", "file_rank", "content").mapInArrow(lambda it: _whole(it, read, how), _OUT)
+
+
+def _read_csv(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
+    large = [f for f in files if f.length > LARGE]
+    small = [f for f in files if f.length <= LARGE]
+    parts = [_read_whole(spark, small, how, _csv_file)] if small else []
+    if large:
+        parts.append(by_range.csv_entries(spark, large, lambda: Rows(how, _CUT_ARROW), _OUT, _CUT, lambda: Rows(how)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_json(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
+    opening = {}
+    for f in (f for f in files if f.length > LARGE):
+        start = head(spark, f.uri, 1 << 16)
+        if (rest := start.lstrip(b" \t\n\r")).startswith(b"["):  # any other is one record
+            opening[f.rank] = len(start) - len(rest)
+    whole = [f for f in files if f.rank not in opening]
+    parts = [_read_whole(spark, whole, how, _json_file)] if whole else []
+    if opening:
+        parts.append(by_range.json_entries(spark, [f for f in files if f.rank in opening], lambda: Rows(how, _CUT_ARROW), _OUT, _CUT, lambda: Rows(how), opening))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _read_parquet(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
-    by_schema: dict[str, list[DataFile]] = defaultdict(list)
-    for f in files:
+    of = {f.rank: f for f in files}
+    by_kind: dict[str, list[DataFile]] = defaultdict(list)
+    own_way, groups = [], {}
+    for r in sorted(row_groups.footers(spark, files).collect(), key=lambda r: r["file_rank"]):  # a row for each file, as the listing has
+        f = of[r["file_rank"]]
+        if r["err"]:
+            raise InputError(f"{f.label}: {r['err']}")
+        if r["kind"] and (r["own_way"] or f.hidden):
+            own_way.append(f)
+            groups[f.rank] = r["groups"]
+        else:
+            by_kind[r["kind"] or f.uri].append(f)
+    parts = [row_groups.entries(spark, own_way, groups, lambda: Rows(how), _OUT)] if own_way else []
+    for some in by_kind.values():
         try:
-            by_schema[spark.read.parquet(f.uri).schema.json()].append(f)
+            data = spark.read.parquet(*[f.uri for f in some])
         except Exception as exc:
-            raise InputError(f"{f.label}: {str(exc).splitlines()[0]}") from exc
-    parts = []
-    for some in by_schema.values():
-        data = spark.read.parquet(*[f.uri for f in some])
+            raise InputError(f"{some[0].label}: {str(exc).splitlines()[0]}") from exc
         named = data.select(F.col("_metadata.file_path").alias("_path"), (F.col("_metadata.row_index") + 1).alias("_pos"), *data.columns)
         placed = _placed(spark, named, some).withColumnsRenamed({"src": "_src", "file_rank": "_rank"}) if not {"src", "file_rank"} & set(data.columns) else _shielded(spark, named, some)
         part = ent.from_columns(placed, how.match, how.ignore, "_src", "_rank", "_pos")
@@ -194,8 +247,8 @@ def _read(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
         kinds[f.format].append(f)
     readers: dict[str, Callable[[list[DataFile]], DataFrame]] = {
         "lines": lambda some: _read_lines(spark, some, how),
-        "json": lambda some: _read_whole(spark, some, how, _json_file),
-        "csv": lambda some: _read_whole(spark, some, how, _csv_file),
+        "json": lambda some: _read_json(spark, some, how),
+        "csv": lambda some: _read_csv(spark, some, how),
         "parquet": lambda some: _read_parquet(spark, some, how),
     }
     return reduce(DataFrame.unionByName, [readers[kind](some) for kind, some in kinds.items()])
@@ -204,13 +257,17 @@ def _read(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
 def _first_has_id(spark: SparkSession, f: DataFile) -> bool | None:
     """Whether the first record of a file has a field ``id``; None if there is no record."""
     if f.format == "parquet":
+        r = row_groups.footers(spark, [f]).first()
+        if r["kind"]:
+            return r["has_id"] if sum(r["groups"]) else None
         data = spark.read.parquet(f.uri)
         return None if data.isEmpty() else "id" in data.columns
     if f.format == "lines":
-        for line in spark.read.text(f.uri).where(F.trim("value") != "").select(F.col("value").cast("binary").alias("value")).head(1):
+        for line in chunks(spark, [f]).where(F.trim(F.replace(F.col("value").cast("string"), F.lit("\r"))) != "").select("value").head(1):
             try:
-                value = strict_json.loads(bytes(line["value"]).decode())
-            except ValueError:
+                first = next(x for x in bytes(line["value"]).split(b"\r") if x.strip())
+                value = strict_json.loads(first.decode())
+            except (StopIteration, ValueError):
                 break  # the reader tells what is wrong
             return "id" in value if isinstance(value, dict) else None
     first = _read(spark, [f], How(Match("content"))).select("pos", "has_id").orderBy("pos").first()
