@@ -2,13 +2,15 @@
 
 Addresses, card and phone numbers are found by fixed patterns.  Each distinct
 value is a protected entity.  Over the whole corpus the words that stand near
-an entity are counted, and all words are.  With c(e, t) occurrences of t within
-WINDOW words of e, c(e) words near e, c(t) occurrences of t and T words in
-all, a word tells log2(c(e, t) T / (c(e) c(t))) of the log2(T / c(e)) bits
-that name the entity; the same is worked out with the entity's documents in
-place of the WINDOW for words that stand near it once.  Where a share reaches
-GENERALISE (REMOVE), the word is told of the entity, if it stands near it in at
-least SUPPORT different texts, or in all texts of an entity that has fewer.
+an entity are counted, and all words are.  With c(e) words near e and T words in
+all, a word tells log2(p T / c(e)) of the log2(T / c(e)) bits that name the
+entity, where p is how surely an occurrence of the word means the entity.  The share of
+the word's occurrences that stand within WINDOW words of e is only an estimate
+of p; what counts is its lower confidence bound (Wilson's, at Z) for the number of
+different texts that it comes from, so support and not rarity decides.  The
+same is worked out with the entity's documents in place of the WINDOW for words that stand near
+it once.  Where a share reaches GENERALISE (REMOVE), the word is told of the
+entity.  A word that only one text has near a value is never told of it, however rare it is.
 All counts are of different texts, so copies add nothing: a text counts in the
 document with the smallest doc_id.  In each document that holds the
 entity all occurrences of a told word, near it or not, are generalised to their
@@ -28,14 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
 from .columns import few
 from .words import ALNUM_RULE, Block, blocks
 
-WINDOW, SUPPORT, GENERALISE, REMOVE = 8, 3, 0.95, 0.98
+WINDOW, SUPPORT, GENERALISE, REMOVE = 8, 2, 0.95, 0.98
+#: Of the lower bound: one-sided 95 %.
+Z = 1.645
 KINDS = ("email", "ip", "card", "phone")
 #: Word counts kept in a task before they are passed on.
 HELD = 2_000_000
@@ -199,6 +203,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counts.flush()
 
 
+def _sure(both: Column, times: Column, texts: Column) -> Column:
+    """Wilson's lower bound of both / times, where ``both`` comes from so many texts; occurrences count as the texts they are worth."""
+    p = both / times
+    n = texts / p
+    z2 = Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, terms, spans for every row of ``documents``.
 
@@ -224,10 +236,10 @@ def scan(documents: DataFrame) -> DataFrame:
     total = float(counts.agg(F.sum("times")).first()[0] or 1)
     held = rows.where("size(entities) > 0").select("row", "doc_id", "text_hash", "words", F.explode("entities").alias("entity"))
     scarce = held.groupBy("entity", "text_hash").agg(F.max("words").alias("words")).groupBy("entity").agg(F.count("*").alias("all_docs"), F.sum("words").cast("double").alias("words"))
-    known = materialise(pairs.join(scarce, "entity").where(F.col("docs") >= F.least(F.lit(SUPPORT), "all_docs")).drop("all_docs"), "known")
+    known = materialise(pairs.join(scarce, "entity").where(F.col("docs") >= SUPPORT).drop("all_docs"), "known")
     times = counts.join(few(known.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("times").alias("times"))
-    share = lambda both, mass: F.log2(F.col(both) * total / (F.col(mass) * F.col("times"))) / F.log2(total / F.col(mass))
-    known = known.join(times, "term").join(mass, "entity").withColumn("share", share("both", "near"))
+    share = lambda both, mass, texts: F.coalesce(F.try_divide(F.log2(_sure(F.col(both), F.col("times"), F.col(texts)) * total / F.col(mass)), F.log2(total / F.col(mass))), F.lit(0.0))
+    known = known.join(times, "term").join(mass, "entity").withColumn("share", share("both", "near", "docs"))
     # beside the window the whole document counts; an entity's documents must have room for enough of the word's occurrences
     known = known.where((F.col("share") >= GENERALISE) | (F.col("times") * F.pow(F.col("words") / total, 1 - GENERALISE) <= F.col("words")))
     known = materialise(known.select("entity", "term", "times", "words", "share"), "candidates")
@@ -241,7 +253,7 @@ def scan(documents: DataFrame) -> DataFrame:
     placed = held.join(places, (held["entity"] == places["_entity"]) & (held["text_hash"] == places["_hash"]) & held["doc_id"].eqNullSafe(places["_id"])).select("row", "entity", "term", "first", "last")
     placed = materialise(placed, "placed")
     once = placed.join(rows.select("row", "text_hash"), "row").select("entity", "term", "text_hash", "first", "last").distinct()
-    told = known.join(once.groupBy("entity", "term").agg(F.count("*").alias("inside")), ["entity", "term"]).withColumn("share", F.greatest("share", share("inside", "words")))
+    told = known.join(once.groupBy("entity", "term").agg(F.count("*").alias("inside"), F.count_distinct("text_hash").alias("texts")), ["entity", "term"]).withColumn("share", F.greatest("share", share("inside", "words", "texts")))
     told = told.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
     # a word told of two entities is removed if either asks for it
     marked = placed.join(few(materialise(told, "told")), ["entity", "term"]).groupBy("row", "first", "last").agg(F.max("action").alias("action"))
