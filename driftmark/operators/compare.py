@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..errors import SnapshotError
 from ..plans.scratch import materialise
+from ..plans.sizes import small
 from . import drift
 from .snapshot import Snapshot
 
-_SIDE = ("label", "hash", "rest", "fields", "file_rank", "pos")
+_SIDE = ("label", "hash", "rest", "file_rank", "pos")
+_PLACES = ("b_file_rank", "b_pos", "a_file_rank", "a_pos")
 
 
 def changed_fields(before: Column, after: Column) -> Column:
@@ -32,7 +34,7 @@ def changed_fields(before: Column, after: Column) -> Column:
 
 
 def classify(before: DataFrame, after: DataFrame, clash: bool = False) -> DataFrame:
-    """One row per record: id, kind (unchanged, changed, removed, added), changed, and both sides' columns b_*, a_*.
+    """One row per record: id, kind (unchanged, changed, removed, added), and both sides' columns b_*, a_*.
 
     Ids are unique on each side, but for a literal ``a#2`` beside a repeated
     ``a``; ``clash`` says that this may be so.  Then the last record with an
@@ -47,14 +49,20 @@ def classify(before: DataFrame, after: DataFrame, clash: bool = False) -> DataFr
     else:
         both = left.join(right, "id", "full_outer")
     kind = F.when(F.col("b_hash").isNull(), "added").when(F.col("a_hash").isNull(), "removed").when(F.col("a_hash") == F.col("b_hash"), "unchanged").otherwise("changed")
-    both = both.withColumn("kind", kind)
-    changed = F.when(F.col("kind") == "changed", changed_fields(F.col("b_fields"), F.col("a_fields")))
-    alone = F.col("kind").isin("removed", "added")
-    return both.withColumn("changed", changed).withColumn("b_fields", F.when(alone, F.col("b_fields"))).withColumn("a_fields", F.when(alone, F.col("a_fields")))
+    return both.withColumn("kind", kind)
+
+
+def with_changes(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``pairs`` of records with ``changed``, from the field hashes of these records alone."""
+    places = small(pairs.select(*_PLACES))
+    old = before.select(F.col("file_rank").alias("b_file_rank"), F.col("pos").alias("b_pos"), F.col("fields").alias("b_fields")).join(places, ["b_file_rank", "b_pos"])
+    new = after.select(F.col("file_rank").alias("a_file_rank"), F.col("pos").alias("a_pos"), F.col("fields").alias("a_fields")).join(places.select("a_file_rank", "a_pos"), ["a_file_rank", "a_pos"])
+    fields = old.join(new, ["a_file_rank", "a_pos"]).select(*_PLACES, changed_fields(F.col("b_fields"), F.col("a_fields")).alias("changed"))
+    return pairs.join(fields, list(_PLACES))
 
 
 def key_edits(classified: DataFrame) -> DataFrame:
-    """Removed and added records whose remainder occurs once on either side: before_id, id, changed and both sides' columns."""
+    """Removed and added records whose remainder occurs once on either side: before_id, id and both sides' columns."""
     def side(kind: str, mark: str, name: str) -> DataFrame:
         mine = classified.where(F.col("kind") == kind)
         once = mine.groupBy(f"{mark}_rest").agg(F.count("*").alias("n"), F.min("id").alias(name)).where("n = 1").drop("n")
@@ -62,8 +70,7 @@ def key_edits(classified: DataFrame) -> DataFrame:
         return once.select(name).join(mine.select(F.col("id").alias(name), *columns), name)
 
     old, new = side("removed", "b", "before_id"), side("added", "a", "id")
-    pairs = old.join(new, old["b_rest"].eqNullSafe(new["a_rest"]))
-    return pairs.withColumn("changed", changed_fields(F.col("b_fields"), F.col("a_fields"))).drop("b_fields", "a_fields")
+    return old.join(new, old["b_rest"].eqNullSafe(new["a_rest"]))
 
 
 def field_counts(changed: DataFrame, rekeyed: DataFrame | None = None) -> DataFrame:
@@ -118,9 +125,15 @@ class DatasetDiff:
     rekeyed: DataFrame
     _counts: dict[str, int] = field(default_factory=dict)
 
+    @cached_property
+    def changes(self) -> DataFrame:
+        """The changed records with their changed fields, in no order."""
+        pairs = self.classified.where("kind = 'changed'")
+        return materialise(with_changes(pairs, self.before.entries, self.after.entries), "changed")
+
     @cached_property
     def changed(self) -> DataFrame:
-        return self.classified.where("kind = 'changed'").orderBy("a_file_rank", "a_pos")
+        return self.changes.orderBy("a_file_rank", "a_pos")
 
     @cached_property
     def removed(self) -> DataFrame:
@@ -147,7 +160,7 @@ class DatasetDiff:
 
     @cached_property
     def field_counts(self) -> DataFrame:
-        return field_counts(self.changed, self.rekeyed)
+        return field_counts(self.changes, self.rekeyed)
 
     @cached_property
     def schema(self) -> dict[str, Any]:
@@ -159,7 +172,7 @@ class DatasetDiff:
 
     def write(self, path: str) -> None:
         """All tables as Parquet below ``path``, for results too large for a report."""
-        for name in ("classified", "rekeyed", "field_counts"):
+        for name in ("classified", "changes", "rekeyed", "field_counts"):
             getattr(self, name).write.parquet(f"{path.rstrip('/')}/{name}")
 
 
@@ -169,6 +182,7 @@ def compare(before: Snapshot, after: Snapshot) -> DatasetDiff:
         if one != other:
             raise SnapshotError(f"the two sides were made with different {what}: {one} and {other}")
     classified = materialise(classify(before.entries, after.entries, before.clash or after.clash), "classified")
-    edits = key_edits(classified)
-    rekeyed = materialise(edits if before.match.by == "key" else edits.limit(0), "rekeyed")
+    edits = key_edits(classified) if before.match.by == "key" else key_edits(classified.limit(0))
+    edits = materialise(edits, "edits")
+    rekeyed = edits.withColumn("changed", F.array().cast("array<string>")) if edits.isEmpty() else materialise(with_changes(edits, before.entries, after.entries), "rekeyed")
     return DatasetDiff(before, after, classified, rekeyed)
