@@ -17,6 +17,7 @@ from .operators import drift, snapshot
 from .operators import entries as ent
 from .operators.matching import Match
 from .plans import scratch
+from .plans.scratch import materialise
 from .plans.report import render_json, render_text
 from .sources import files as source_files
 from .sources import readers
@@ -237,6 +238,33 @@ def read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(orders.select("o_orderkey", "o_totalprice", F.struct("o_orderstatus", "o_orderdate").alias("state")), "parquet")
 
 
+def _read_by_ranges(df: DataFrame, kind: str) -> DataFrame:
+    """One file, read in ranges of 64 KiB whatever its size."""
+    spark = df.sparkSession
+    folder = _written(df, kind, 1)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = readers.read_rows(spark, folder, 0)
+        return materialise(rows.select("position", "data", F.col("err").isNull().alias("usable")), "ranges")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def read_csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file with quotes and line breaks in its fields, by ranges."""
+    orders = table(spark, sf_dir, "orders")
+    note = F.concat("o_orderpriority", F.lit('\n"x",\r\n'), F.col("o_orderstatus"))
+    return _read_by_ranges(orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), note.alias("note")), "csv")
+
+
+def read_json_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array of nested objects with brackets and quotes in their text, by ranges."""
+    customer = table(spark, sf_dir, "customer")
+    note = F.concat("c_mktsegment", F.lit(' }],"{[ \\'))
+    return _read_by_ranges(customer.select("c_custkey", F.struct(note.alias("note"), F.array("c_nationkey", "c_nationkey").alias("pair")).alias("more")), "json")
+
+
 def read_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many records a directory of mixed formats gives, by file ending."""
     some = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -289,9 +317,17 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(text.splitlines())], "line long, text string")
 
 
+def report_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The examples of a text report, with values of both sides."""
+    orders = table(spark, sf_dir, "orders")
+    sides = [snapshot.from_entries(entries(df, "o_orderkey", BY_ORDER), "table", BY_ORDER, keep_values=True) for df in (orders, orders_after(orders))]
+    lines = render_text(cmp.compare(*sides), 3).splitlines()
+    return spark.createDataFrame(list(enumerate(lines[lines.index("examples") + 1 :])), "line long, text string")
+
+
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a JSON report of the customers of one nation."""
-    before = table(spark, sf_dir, "customer").where("c_nationkey = 7")
+    """The changed customers of a JSON report, with its counts."""
+    before = table(spark, sf_dir, "customer")
     after = before.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.lit(0.5)).otherwise(F.col("c_acctbal")))
     match = Match("id", ("c_custkey",))
     data = json.loads(render_json(cmp.compare(version(before, "c_custkey", match), version(after, "c_custkey", match))))
@@ -308,7 +344,7 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL: tuple[Query, ...] = (
-    read_json_lines, read_json, read_csv, read_parquet, read_directory, detected_matching, strict_json_errors, normalised_text, snapshot_round_trip, report_lines, report_json, command_line,
+    read_json_lines, read_json, read_csv, read_parquet, read_csv_ranges, read_json_ranges, read_directory, detected_matching, strict_json_errors, normalised_text, snapshot_round_trip, report_lines, report_examples, report_json, command_line,
     diff_counts_by_id, diff_ignore_fields, diff_changed_fields, diff_field_counts, diff_top_fields, diff_removed, diff_added, diff_first_examples,
     diff_order_changed, diff_key_edited, diff_key_counts, diff_content, duplicate_numbering, duplicate_count, record_hash, field_hash, key_hash,
     content_label, schema_profile, schema_drift, dataset_hash, nested_leaves, strict_json_text, typed_text,
@@ -373,6 +409,8 @@ def oracle_sql() -> dict[str, str]:
         "read_json": f"""select '{{"n_name":' || {text_json("n_name")} || ',"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}}' as data, true as usable from nation""",
         "read_csv": f"""select '{{"p_brand":' || {text_json("p_brand")} || ',"p_name":' || {text_json("p_name")} || ',"p_partkey":"' || p_partkey || '","p_type":' || {text_json("p_type")} || '}}' as data, true as usable from part""",
         "read_parquet": f"""select '{{"o_orderkey":' || o_orderkey || ',"o_totalprice":' || cast(o_totalprice as varchar) || ',"state":{{"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","o_orderstatus":' || {text_json("o_orderstatus")} || '}}}}' as data, true as usable from orders""",
+        "read_csv_ranges": f"""select row_number() over (order by o_orderkey) as position, '{{"customer":"' || o_custkey || '","note":' || {text_json("o_orderpriority || chr(10) || '' || chr(34) || 'x' || chr(34) || ',' || chr(13) || chr(10) || o_orderstatus")} || ',"o_orderkey":"' || o_orderkey || '"}}' as data, true as usable from orders""",
+        "read_json_ranges": f"""select row_number() over (order by c_custkey) as position, '{{"c_custkey":' || c_custkey || ',"more":{{"note":' || {text_json("c_mktsegment || ' }],' || chr(34) || '{[ ' || chr(92)")} || ',"pair":[' || c_nationkey || ',' || c_nationkey || ']}}}}' as data, true as usable from customer""",
         "read_directory": "select ending, count(*) as n, count(*) as ids from customer, (values ('jsonl'), ('csv'), ('parquet')) t(ending) group by ending",
         "detected_matching": "select format, field, case field when 'id' then 'id' else 'content' end as matched_by from (values ('lines'), ('json'), ('csv'), ('parquet')) a(format), (values ('id'), ('other')) b(field)",
         "strict_json_errors": "select cast(n_nationkey * 8 + c as bigint) as pos, c = 0 as usable from nation, (select unnest(range(8)) as c)",
@@ -386,7 +424,14 @@ def oracle_sql() -> dict[str, str]:
               '  unchanged   ' || lpad(format('{:,}', unchanged), w, ' '), '  changed     ' || lpad(format('{:,}', changed), w, ' '), '  removed     ' || lpad(format('{:,}', removed), w, ' '), '  added       ' || lpad(format('{:,}', added), w, ' ')]) as text from n, w
             union all select * from (values (10, ''), (11, 'fields changed (records)'))
             union all select 11 + i, '  ' || rpad(path, (select max(length(path)) from f)::int, ' ') || '  ' || lpad(format('{:,}', n), (select w from w)::int, ' ') from f""",
-        "report_json": "with x as (select * from customer where c_nationkey = 7 and c_custkey % 2 = 0 and c_acctbal <> 0.5) select cast(c_custkey as varchar) as id, '/c_acctbal' as fields, (select count(*) from x) as n_changed, false as order_changed from x",
+        "report_examples": _ORDERS + """, picked as (select k, kind, fields, row_number() over (partition by kind order by k) as i from k), e as (
+              select picked.k, kind, case kind when 'changed' then 0 when 'removed' then 1 else 2 end as s, fields, a.o_orderpriority as p0, b.o_orderpriority as p1, a.o_totalprice as t0, b.o_totalprice as t1
+              from picked left join a on a.o_orderkey = picked.k left join b on b.o_orderkey = picked.k where i <= 3 and kind <> 'unchanged'),
+            l as (select s, k, 0 as f, '  ' || rpad(kind, 11, ' ') || k as text from e
+              union all select s, k, 1 + i, ['             /o_orderpriority', '               - "' || p0 || '"', '               + "' || p1 || '"'][i] from e, (select unnest([1, 2, 3]) as i) where s = 0 and list_contains(fields, '/o_orderpriority')
+              union all select s, k, 5 + i, ['             /o_totalprice', '               - "' || t0 || '"', '               + "' || t1 || '"'][i] from e, (select unnest([1, 2, 3]) as i) where s = 0 and list_contains(fields, '/o_totalprice'))
+            select row_number() over (order by s, k, f) - 1 as line, text from l""",
+        "report_json": "with x as (select * from customer where c_custkey % 2 = 0 and c_acctbal <> 0.5) select cast(c_custkey as varchar) as id, '/c_acctbal' as fields, (select count(*) from x) as n_changed, false as order_changed from x",
         "command_line": "select * from (values ('same', 0::bigint), ('other', 1::bigint), ('none', 2::bigint)) t(name, status)",
         "diff_counts_by_id": _ORDERS + "select kind, count(*) as n from k group by kind",
         "diff_ignore_fields": _ORDERS + "select case when kind = 'changed' and fields = ['/o_totalprice'] then 'unchanged' else kind end as kind, count(*) as n from k group by 1",

@@ -39,11 +39,15 @@ LARGE = 64 << 20
 
 @dataclass(frozen=True)
 class How:
-    """What entries are made for: the way of matching, ignored fields, and whether the record's JSON is wanted."""
+    """What entries are made for: the way of matching, ignored fields, whether the record's JSON is wanted, and by what ways files are read."""
 
     match: Match
     ignore: tuple[str, ...] = ()
     record: bool = False
+    large: int | None = None  # bytes beyond which a CSV or JSON file is read by ranges
+
+    def by_ranges(self, f: DataFile) -> bool:
+        return f.length > (LARGE if self.large is None else self.large)
 
 
 class Rows:
@@ -188,8 +192,8 @@ def _read_whole(spark: SparkSession, files: list[DataFile], how: How, read: Call
 
 
 def _read_csv(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
-    large = [f for f in files if f.length > LARGE]
-    small = [f for f in files if f.length <= LARGE]
+    large = [f for f in files if how.by_ranges(f)]
+    small = [f for f in files if not how.by_ranges(f)]
     parts = [_read_whole(spark, small, how, _csv_file)] if small else []
     if large:
         parts.append(by_range.csv_entries(spark, large, lambda: Rows(how, _CUT_ARROW), _OUT, _CUT, lambda: Rows(how)))
@@ -198,7 +202,7 @@ def _read_csv(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame
 
 def _read_json(spark: SparkSession, files: list[DataFile], how: How) -> DataFrame:
     opening = {}
-    for f in (f for f in files if f.length > LARGE):
+    for f in filter(how.by_ranges, files):
         start = head(spark, f.uri, 1 << 16)
         if (rest := start.lstrip(b" \t\n\r")).startswith(b"["):  # any other is one record
             opening[f.rank] = len(start) - len(rest)
@@ -288,11 +292,12 @@ def read_entries(spark: SparkSession, path: str, match: Match, ignore: tuple[str
     return _read(spark, input_files(spark, path), How(match, ignore)).drop("has_id")
 
 
+def read_rows(spark: SparkSession, path: str, large: int | None = None) -> DataFrame:
+    """(source, file_rank, position, data, err) for every record; data is its canonical JSON.
 
-
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(source, file_rank, position, data, err) for every record; data is its canonical JSON."""
-    rows = _read(spark, input_files(spark, path), How(Match("content"), (), True))
+    CSV and JSON files of more than ``large`` bytes (LARGE by default) are read by ranges.
+    """
+    rows = _read(spark, input_files(spark, path), How(Match("content"), (), True, large))
     return rows.select(F.col("src").alias("source"), "file_rank", F.col("pos").alias("position"), F.col("record").alias("data"), "err")
 
 
