@@ -6,7 +6,7 @@ at twice its source's words and the rest is shared anew by weight.  Since
 capped sources are those with the least cap for their weight, the fixed point
 is found by prefix sums over the sources in that order, made over ranges of
 sources so that any number of them will do.  A document is taken
-floor(rate) times, and once more if a hash of its id falls below the fraction.
+floor(rate) times, and once more if a hash of its id, its text and its number among equal rows falls below the fraction.
 
 Only DataFrame functions are used, and all target arithmetic is on integers of
 up to 38 digits up to one last division.
@@ -15,8 +15,10 @@ up to 38 digits up to one last division.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
@@ -50,24 +52,49 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sums.select("source", "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed and the id (on the text where the id is null) alone."""
-    name = F.concat(F.lit(seed + "/"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")))))
+def draw(doc_id: Column, text_md5: Column, nth: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed, the id, the text and the row's number among equal rows alone."""
+    name = F.concat_ws("/", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), text_md5, nth.cast("string"))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_nth``: 0, 1, ... among rows of one id, source and text.
+
+    Equal rows are interchangeable, so any order numbers them.  Only repeated
+    rows are dealt out, by the partition in which they stand; the numbers of a
+    partition begin after those of the partitions before.
+    """
+    key = ["_id", "_source", "_text"]
+    repeated = materialise(docs.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(k).alias(f"{k}_again") for k in key)), "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn("_nth", F.lit(0).cast("long"))
+    again = few(repeated)
+    same = lambda left, right, mark: reduce(and_, (left[k].eqNullSafe(right[k + mark]) for k in key))
+    once = docs.join(again, same(docs, again, "_again"), "left_anti").withColumn("_nth", F.lit(0).cast("long"))
+    some = materialise(docs.join(again, same(docs, again, "_again"), "left_semi").withColumn("_place", F.monotonically_increasing_id()), "again")
+    some = some.withColumn("_chunk", F.shiftright("_place", 33))
+    counts = some.groupBy(*key, "_chunk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(k).alias(f"{k}_here") for k in key), F.col("_chunk").alias("_chunk_here"), before.alias("_before"))
+    inside = some.withColumn("_inside", F.row_number().over(Window.partitionBy(*key, "_chunk").orderBy("_place")) - 1)
+    placed = inside.join(counts, same(inside, counts, "_here") & (inside["_chunk"] == counts["_chunk_here"]))
+    return once.unionByName(placed.withColumn("_nth", F.col("_before") + F.col("_inside")).select(*once.columns))
+
+
 def mix(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, copies (and the columns ``carry``, whose names start with an underscore) for every row of ``documents``.
 
     A null text has size 0; a source whose texts have no words gets target 0
-    and its documents no copy.  A null source is the last source.  Rows
-    repeating a doc_id share its draw.  An empty table gives an empty result.
+    and its documents no copy.  A null source is the last source.  Every row has a
+    draw of its own, equal rows by their number among each other.  An empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), count_words(F.col("text"), BLANKS).alias("_size"), draw(F.col("doc_id"), F.col("text")).alias("_draw"), *carry)
+    docs = documents.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), count_words(F.col("text"), BLANKS).alias("_size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text"), *carry)
     goals = few(targets(docs.select(F.col("_source").alias("source"), F.col("_size").alias("size"))), 100_000)
+    docs = _numbered(docs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     both = docs.join(goals, docs["_source"].eqNullSafe(goals["source"]), "left").withColumn("_rate", rate)
-    copies = F.floor("_rate") + (F.col("_draw") < F.col("_rate") - F.floor("_rate")).cast("long")
+    copies = F.floor("_rate") + (draw(F.col("_id"), F.col("_text"), F.col("_nth")) < F.col("_rate") - F.floor("_rate")).cast("long")
     return both.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source").alias("source"), F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("long").alias("copies"), *carry)
 
 

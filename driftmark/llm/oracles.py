@@ -136,7 +136,7 @@ from d left join base using (r) left join noted using (r)
 _MIXING = rf"""
 with d as (
   select doc_id, source, cast(len({_BLANK_WORDS.format("coalesce(text, '')")}) as bigint) as size,
-    cast('0x' || substr(md5('{mixing.SEED}/' || coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))), 1, 8) as bigint)::double / 4294967296.0 as draw
+    cast('0x' || substr(md5('{mixing.SEED}/' || coalesce(cast(doc_id as varchar), '') || '/' || md5(coalesce(text, '')) || '/' || (row_number() over (partition by doc_id, source, md5(coalesce(text, ''))) - 1)), 1, 8) as bigint)::double / 4294967296.0 as draw
   from documents
 ), s as (
   select source, cast(sum(size) as bigint) as source_size from d group by source

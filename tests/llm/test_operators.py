@@ -749,3 +749,13 @@ def test_rejected_rows_leave_alone(spark, docs):
     gone = docs.where("doc_id = 3 and text = 'one' or doc_id is null and text is null").select("doc_id", F.xxhash64("text").alias("text_hash"))
     left = columns.without_rows(docs, gone).collect()
     assert len(left) == docs.count() - 2 and any(r["doc_id"] == 3 for r in left)
+
+
+def test_rows_of_one_id_have_draws_of_their_own(spark):
+    rows = [(7, "a b c d e f g h", "x")] * 3000 + [(None, "a b", None)] * 1000 + [(i, "one two three", "y") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, other = (sorted(map(tuple, mixing.mix(d).select("doc_id", "size", "source", "target", "copies").collect()), key=str) for d in (df.repartition(7), df.coalesce(1)))
+    assert one == other and len(one) == len(rows)
+    for source in ("x", "y", None):
+        taken, target = sum(r[1] * r[4] for r in one if r[2] == source), next(r[3] for r in one if r[2] == source)
+        assert abs(taken - target) < 0.05 * target
