@@ -4,8 +4,9 @@ The schema is walked on the driver.  Each leaf becomes one column of JSON
 text; records, pointer maps and hashes are put together from those, so Catalyst
 prunes what a query does not use and ignored fields are never read.  Arrow
 functions only serve what Spark prints differently: floats (shortest digits),
-strings that may not be NFC (gated: other rows pass null), arrays, maps and
-decimals of small scale.
+decimals of small scale, arrays and maps of either, and strings that may not be
+normalised (gated: other rows pass null).  Other arrays and maps are printed
+element by element inside the JVM.
 """
 
 from __future__ import annotations
@@ -20,16 +21,24 @@ from pyspark.sql import types as T
 
 from ..errors import InputError
 from . import canonical, pointers
+from .canonical import CanonicalPolicy
 
 #: The code points that Python's str.split() takes as blanks.
 _BLANK = "[\\u0009-\\u000D\\u001C-\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
-#: Below U+0300 every string is in NFC already.
-_MAYBE_NOT_NFC = "[^\\x{0}-\\x{2FF}]"
+#: Characters without which a string is in a form already: none below U+0300 for NFC, no ASCII for NFKC.
+_MAYBE_NOT = {"NFC": "[^\\x{0}-\\x{2FF}]", "NFKC": "[^\\x{0}-\\x{7F}]"}
 
 
-@F.arrow_udf(T.StringType())
-def _nfc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else canonical.normalise(t) for t in texts.to_pylist()], pa.string())
+def _normalised(text: Column, policy: CanonicalPolicy) -> Column:
+    """A string in the policy's form; only those that may not be in it go through Python."""
+    if policy.unicode_form == "none":
+        return text
+
+    @F.arrow_udf(T.StringType())
+    def in_form(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else canonical.normalise(t, policy) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(in_form(F.when(text.rlike(_MAYBE_NOT[policy.unicode_form]), text)), text)
 
 
 @F.arrow_udf(T.StringType())
@@ -37,9 +46,12 @@ def _float_text(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else repr(canonical.lowered(v) or 0.0) if isinstance(canonical.lowered(v), float) else canonical.lowered(v) for v in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.StringType())
-def _any_json(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else canonical.canonical_json(canonical.lowered(v)) for v in values.to_pylist()], pa.string())
+def _any_json(value: Column, policy: CanonicalPolicy) -> Column:
+    @F.arrow_udf(T.StringType())
+    def written(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else canonical.canonical_json(canonical.lowered(v), policy) for v in values.to_pylist()], pa.string())
+
+    return written(value)
 
 
 @F.arrow_udf(T.StringType())
@@ -89,6 +101,71 @@ def _timestamp(c: Column, zone: str) -> Column:
     return F.concat(whole, F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)), F.lit(zone))
 
 
+def _text_or_json(c: Column, kind: T.DataType) -> tuple[Column | None, Column | None] | None:
+    """The raw text of what becomes a JSON string, or the JSON of anything else; None for types that take more than Spark's functions."""
+    match kind:
+        case T.StringType() | T.CharType() | T.VarcharType():
+            return c.cast("string"), None
+        case T.BooleanType() | T.ByteType() | T.ShortType() | T.IntegerType() | T.LongType():
+            return None, c.cast("string")
+        case T.DateType():
+            return F.date_format(c, "yyyy-MM-dd"), None
+        case T.TimestampNTZType():
+            return _timestamp(c, ""), None
+        case T.TimestampType():
+            return _timestamp(F.to_utc_timestamp(c, F.current_timezone()), "+00:00"), None
+        case T.BinaryType():
+            return F.regexp_replace(F.base64(c), "[\\r\\n]", ""), None
+        case T.DecimalType() if kind.scale <= 6:
+            return c.cast("string"), None
+        case T.NullType():
+            return None, F.lit(None).cast("string")
+    return None
+
+
+def _prints(kind: T.DataType) -> bool:
+    """Whether ``_json`` can print values of a type."""
+    match kind:
+        case T.ArrayType():
+            return _prints(kind.elementType)
+        case T.MapType():
+            return _prints(kind.keyType) and _prints(kind.valueType)
+        case T.StructType():
+            return len({canonical.normalise(f.name) for f in kind.fields}) == len(kind.fields) and all(_prints(f.dataType) for f in kind.fields)
+    return _text_or_json(F.lit(None), kind) is not None
+
+
+def _json(c: Column, kind: T.DataType, policy: CanonicalPolicy) -> Column:
+    """The JSON of a value whose strings are in the policy's form; null for null."""
+    inner = lambda x, t: F.coalesce(_json(x, t, policy), F.lit("null"))
+
+    def listed(items: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.array_sort(items) if policy.list_strategy == "sort" else items, ","), F.lit("]"))
+
+    match kind:
+        case T.ArrayType():
+            return listed(F.transform(c, lambda x: inner(x, kind.elementType)))
+        case T.MapType():
+            return listed(F.transform(F.map_entries(c), lambda e: listed(F.array(inner(e["key"], kind.keyType), inner(e["value"], kind.valueType)))))
+        case T.StructType():
+            named = sorted((canonical.normalise(f.name, policy), f.name, f.dataType) for f in kind.fields)
+            parts = [x for i, (key, name, t) in enumerate(named) for x in (F.lit(("," if i else "") + canonical.dumps(key) + ":"), inner(c.getField(name), t))]
+            return F.when(c.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}")))
+    text, json = _text_or_json(c, kind)
+    return json if text is None else quoted(text)
+
+
+def _collection_json(c: Column, kind: T.DataType, policy: CanonicalPolicy) -> Column:
+    """The JSON of an array or map: by Spark's functions where these can print the type, and the text is surely normalised."""
+    if not _prints(kind):
+        return _any_json(c, policy)
+    json = _json(c, kind, policy)
+    texts = any(name in kind.simpleString() for name in ("string", "char"))
+    if not texts or policy.unicode_form == "none":
+        return json
+    return F.coalesce(_any_json(F.when(json.rlike(_MAYBE_NOT[policy.unicode_form]), c), policy), json)
+
+
 @dataclass
 class Leaf:
     """One leaf field: where it is, its text and its JSON."""
@@ -97,35 +174,26 @@ class Leaf:
     value: Column
     kind: T.DataType
     name: str = ""  # of its columns
+    policy: CanonicalPolicy = canonical.DEFAULT
 
     def text_or_json(self) -> tuple[Column | None, Column | None]:
         """The raw text of what becomes a JSON string, or the JSON of anything else; null for null."""
-        c, kind = self.value, self.kind
-        match kind:
+        c = self.value
+        match self.kind:
             case T.StringType() | T.CharType() | T.VarcharType():
-                c = c.cast("string")
-                return F.coalesce(_nfc(F.when(c.rlike(_MAYBE_NOT_NFC), c)), c), None
-            case T.BooleanType() | T.ByteType() | T.ShortType() | T.IntegerType() | T.LongType():
-                return None, c.cast("string")
+                return _normalised(c.cast("string"), self.policy), None
             case T.FloatType() | T.DoubleType():
                 c = c.cast("double")
                 odd = F.isnan(c) | (F.abs(c) == float("inf"))
                 return F.when(odd, _float_text(c)), F.when(~odd, _float_text(c))
-            case T.DateType():
-                return F.date_format(c, "yyyy-MM-dd"), None
-            case T.TimestampNTZType():
-                return _timestamp(c, ""), None
-            case T.TimestampType():
-                return _timestamp(F.to_utc_timestamp(c, F.current_timezone()), "+00:00"), None
-            case T.BinaryType():
-                return F.regexp_replace(F.base64(c), "[\\r\\n]", ""), None
-            case T.DecimalType():
-                return (_decimal_text(c) if kind.scale > 6 else c.cast("string")), None
+            case T.DecimalType() if self.kind.scale > 6:
+                return _decimal_text(c), None
             case T.ArrayType() | T.MapType():
-                return None, _any_json(c)
-            case T.NullType():
-                return None, F.lit(None).cast("string")
-        raise InputError(f"{self.path}: a {kind.simpleString()} column has no JSON form")
+                return None, _collection_json(c, self.kind, self.policy)
+        found = _text_or_json(c, self.kind)
+        if found is None:
+            raise InputError(f"{self.path}: a {self.kind.simpleString()} column has no JSON form")
+        return found
 
     def json_type(self) -> str:
         match self.kind:
@@ -152,16 +220,16 @@ class Tree:
         return [x for m in self.members.values() for x in ([m] if isinstance(m, Leaf) else m.leaves())]
 
 
-def tree(schema: T.StructType, ignore: tuple[str, ...] = (), base: Column | None = None, path: str = "") -> Tree:
+def tree(schema: T.StructType, ignore: tuple[str, ...] = (), base: Column | None = None, path: str = "", policy: CanonicalPolicy = canonical.DEFAULT) -> Tree:
     """The record type of a schema without the ignored fields."""
     out = Tree(path, base)
     for f in schema.fields:
-        key = canonical.normalise(f.name)
+        key = canonical.normalise(f.name, policy)
         if key in out.members:
             raise InputError(f"two columns are {key!r} once normalised")
         value = F.col("`" + f.name.replace("`", "``") + "`") if base is None else base.getField(f.name)
         below = pointers.join(path, key)
-        out.members[key] = tree(f.dataType, (), value, below) if isinstance(f.dataType, T.StructType) else Leaf(below, value, f.dataType)
+        out.members[key] = tree(f.dataType, (), value, below, policy) if isinstance(f.dataType, T.StructType) else Leaf(below, value, f.dataType, policy=policy)
     for name in ignore:
         here: Leaf | Tree | None = out
         *way, last = pointers.split(name)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import cli
 from .functions import typed
+from .functions.canonical import CanonicalPolicy
 from .operators import compare as cmp
 from .operators import drift, snapshot
 from .operators import entries as ent
@@ -283,11 +284,11 @@ def detected_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strict_json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which made-up texts are no strict JSON: repeated keys, NaN, infinities, numbers beyond 64 bits, other values than objects."""
+    """Which made-up texts are no strict JSON: repeated keys, NaN, infinities, overlong integers, other values than objects."""
     k = F.col("n_nationkey").cast("string")
-    texts = F.array(*[F.concat(F.lit(a), k, F.lit(b)) for a, b in (('{"a":', "}"), ('{"a":1,"a":', "}"), ('{"b":{"c":', ',"c":1}}'), ('{"a":NaN,"b":', "}"), ('{"a":-Infinity,"b":', "}"), ('{"a":1e999,"b":', "}"), ("[", "]"), ("", " x"))])
+    texts = F.array(*[F.concat(F.lit(a), k, F.lit(b)) for a, b in (('{"a":', "}"), ('{"a":1,"a":', "}"), ('{"b":{"c":', ',"c":1}}'), ('{"a":NaN,"b":', "}"), ('{"a":-Infinity,"b":', "}"), ('{"a":1e999,"b":', "}"), ("[", "]"), ("", " x"), ('{"a":' + "1" * 4300, "}"))])
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(texts).alias("case", "text"))
-    rows = rows.withColumn("place", F.col("n_nationkey") * 8 + F.col("case"))
+    rows = rows.withColumn("place", F.col("n_nationkey") * 9 + F.col("case"))
     found = readers.entries_from_json(placed(rows, "place"), "text", Match("content"))
     return found.select("pos", F.col("err").isNull().alias("usable"))
 
@@ -298,6 +299,37 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_rows(spark, _written(part, "parquet")).select("data")
 
 
+def canonical_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical records in compatibility form with sorted lists: a ligature, lists of numbers and texts, a list of objects, a map."""
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.array("p_size", F.lit(None).cast("int"), F.col("p_partkey").cast("int")).alias("numbers"), F.array("p_type", F.concat("p_brand", F.lit(" \ufb01"))).alias("words"),
+        F.array(F.struct(F.col("p_type").alias("z"), F.col("p_size").alias("a")), F.struct(F.lit(None).cast("string").alias("z"), F.lit(0).alias("a"))).alias("objects"), F.create_map("p_brand", "p_type").alias("pairs"),
+    )
+    policy = CanonicalPolicy(unicode_form="NFKC", list_strategy="sort")
+    return ent.from_columns(placed(part, "p_partkey"), Match("id", ("p_partkey",)), policy=policy).select("raw_id", "record", "hash")
+
+
+def lowered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical records of Parquet values that JSON lacks: bytes, decimals, a map, no number and infinity, dates in a list."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    odd = F.when(key % 3 == 0, F.lit(float("nan"))).when(key % 3 == 1, F.lit(float("-inf")))
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.encode("o_orderpriority", "UTF-8").alias("bytes"), F.floor(price).cast("decimal(12,2)").alias("exact"), F.create_map("o_orderstatus", key % 5).alias("pairs"),
+        odd.alias("odd"), F.array(F.to_date("o_orderdate"), F.lit(None).cast("date")).alias("days"),
+    )
+    return readers.read_rows(spark, _written(orders, "parquet")).select("data")
+
+
+def diff_clustered_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders are unchanged, changed, removed and added between two stored snapshots, neither of which is shuffled."""
+    stored = []
+    for df in (table(spark, sf_dir, "orders"), orders_after(table(spark, sf_dir, "orders"))):
+        path = scratch.new_path(spark, "clustered")
+        version(df, "o_orderkey", BY_ORDER).save_tables(path)
+        stored.append(snapshot.load_tables(spark, path).entries)
+    return cmp.classify(*stored).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that differ between data and its own snapshot, saved as a file and as tables and loaded again."""
     made = version(table(spark, sf_dir, "orders"), "o_orderkey", BY_ORDER)
@@ -343,8 +375,38 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "name string, status long")
 
 
+def snapshot_command(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots from the command line, compared with data: what is printed, options taken over and in conflict, exit statuses."""
+    orders = table(spark, sf_dir, "orders")
+    one, other = (_written(df, "parquet") for df in (orders, orders_after(orders)))
+    file, folder = scratch.new_path(spark, "command") + ".json", scratch.new_path(spark, "command")
+    settings = ["--id", "o_orderkey", "--ignore", "o_totalprice"]
+    found = []
+    for name, words in (
+        ("file", ["snapshot", one, "-o", file, *settings]), ("tables", ["snapshot", one, "-o", folder, "--tables", *settings]), ("repeats", ["snapshot", one, "-o", scratch.new_path(spark, "command") + ".json", "--id", "o_orderpriority"]),
+        ("same", ["diff", file, one]), ("changed", ["diff", folder, other, "--examples", "0"]), ("other id", ["diff", file, one, "--id", "o_custkey"]), ("other fields", ["diff", folder, one, "--ignore", "o_custkey"]), ("same path", ["snapshot", one, "-o", one, *settings]),
+    ):
+        out, err = io.StringIO(), io.StringIO()
+        with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+            status = cli.main(words)
+        lines = [x.strip() for x in out.getvalue().splitlines()]
+        said = [x.partition(": ")[2] for x in lines] if words[0] == "snapshot" else lines[1:2] + [x for x in lines if x.startswith("changed ")]
+        found.append((name, status, " / ".join(" ".join(x.split()) for x in said), bool(err.getvalue())))
+    return spark.createDataFrame(found, "name string, status long, said string, failed boolean")
+
+
+def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of two versions of orders by customer: notes of repeated ids, ignored fields, a field that goes and one that comes."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lit("x").alias("o_old"))
+    later = orders.where("o_orderkey % 3 > 0").withColumnRenamed("o_old", "o_new")
+    match, ignore = Match("id", ("o_custkey",)), ("o_orderkey",)
+    at = F.col("o_custkey") * 10_000_000_000 + F.col("o_orderkey")
+    sides = [snapshot.from_entries(ent.from_columns(df.withColumns({"src": F.lit("orders"), "file_rank": F.lit(0), "pos": at}), match, ignore), "orders", match, ignore) for df in (orders, later)]
+    return spark.createDataFrame(list(enumerate(render_text(cmp.compare(*sides), 0).splitlines())), "line long, text string")
+
+
 _ALL: tuple[Query, ...] = (
-    read_json_lines, read_json, read_csv, read_parquet, read_csv_ranges, read_json_ranges, read_directory, detected_matching, strict_json_errors, normalised_text, snapshot_round_trip, report_lines, report_examples, report_json, command_line,
+    read_json_lines, read_json, read_csv, read_parquet, read_csv_ranges, read_json_ranges, read_directory, detected_matching, strict_json_errors, normalised_text, canonical_policy, lowered_values, snapshot_round_trip, snapshot_command, report_notes, diff_clustered_snapshots, report_lines, report_examples, report_json, command_line,
     diff_counts_by_id, diff_ignore_fields, diff_changed_fields, diff_field_counts, diff_top_fields, diff_removed, diff_added, diff_first_examples,
     diff_order_changed, diff_key_edited, diff_key_counts, diff_content, duplicate_numbering, duplicate_count, record_hash, field_hash, key_hash,
     content_label, schema_profile, schema_drift, dataset_hash, nested_leaves, strict_json_text, typed_text,
@@ -413,8 +475,25 @@ def oracle_sql() -> dict[str, str]:
         "read_json_ranges": f"""select row_number() over (order by c_custkey) as position, '{{"c_custkey":' || c_custkey || ',"more":{{"note":' || {text_json("c_mktsegment || ' }],' || chr(34) || '{[ ' || chr(92)")} || ',"pair":[' || c_nationkey || ',' || c_nationkey || ']}}}}' as data, true as usable from customer""",
         "read_directory": "select ending, count(*) as n, count(*) as ids from customer, (values ('jsonl'), ('csv'), ('parquet')) t(ending) group by ending",
         "detected_matching": "select format, field, case field when 'id' then 'id' else 'content' end as matched_by from (values ('lines'), ('json'), ('csv'), ('parquet')) a(format), (values ('id'), ('other')) b(field)",
-        "strict_json_errors": "select cast(n_nationkey * 8 + c as bigint) as pos, c = 0 as usable from nation, (select unnest(range(8)) as c)",
+        "strict_json_errors": "select cast(n_nationkey * 9 + c as bigint) as pos, c = 0 as usable from nation, (select unnest(range(9)) as c)",
         "normalised_text": f"""select '{{"accents":' || replace({text_json("p_name || ' ' || chr(233) || chr(769) || ' '")}, ' "', ' ') || '\\u001f\\t","p_partkey":' || p_partkey || ',"price":' || cast(p_retailprice * 1e18 as varchar) || ',"sizes":[' || p_size || ',null]}}' as data from part""",
+        "canonical_policy": f"""with x as (select p_partkey, '{{"numbers":[' || array_to_string(list_sort([cast(p_size as varchar), 'null', cast(p_partkey as varchar)]), ',') || '],"objects":[' || array_to_string(list_sort(['{{"a":0,"z":null}}', '{{"a":' || p_size || ',"z":' || {text_json("p_type")} || '}}']), ',')
+            || '],"p_partkey":' || p_partkey || ',"pairs":[[' || array_to_string(list_sort([{text_json("p_brand")}, {text_json("p_type")}]), ',') || ']],"words":[' || array_to_string(list_sort([{text_json("p_type")}, {text_json("p_brand || ' fi'")}]), ',') || ']}}' as record from part)
+            select cast(p_partkey as varchar) as raw_id, record, {short("record")} as hash from x""",
+        "lowered_values": f"""select '{{"bytes":"' || base64(encode(o_orderpriority)) || '","days":["' || strftime(o_orderdate, '%Y-%m-%d') || '",null],"exact":"' || cast(cast(floor(o_totalprice) as decimal(12,2)) as varchar) || '","o_orderkey":' || o_orderkey
+            || ',"odd":' || case o_orderkey % 3 when 0 then '"nan"' when 1 then '"-inf"' else 'null' end || ',"pairs":[[' || {text_json("o_orderstatus")} || ',' || (o_orderkey % 5) || ']]}}' as data from orders""",
+        "diff_clustered_snapshots": _ORDERS + "select kind, count(*) as n from k group by kind",
+        "snapshot_command": _ORDERS + """, c as (select count(*) filter (where kind = 'changed' and fields <> ['/o_totalprice']) as n from k), o as (select count(*) as n, count(distinct o_orderpriority) as p from orders)
+            select name, cast(status as bigint) as status, case name when 'file' then format('{:,}', o.n) || ' records, matched by id field ''o_orderkey''' when 'tables' then format('{:,}', o.n) || ' records, matched by id field ''o_orderkey'''
+              when 'repeats' then format('{:,}', o.n) || ' records (' || format('{:,}', o.n - o.p) || ' with a repeated id), matched by id field ''o_orderpriority'''
+              when 'same' then 'records matched by id field ''o_orderkey'', ignoring o_totalprice / changed 0' when 'changed' then 'records matched by id field ''o_orderkey'', ignoring o_totalprice / changed ' || format('{:,}', c.n) else '' end as said, status = 2 as failed
+            from c, o, (values ('file', 0), ('tables', 0), ('repeats', 0), ('same', 0), ('changed', 1), ('other id', 2), ('other fields', 2), ('same path', 2)) t(name, status)""",
+        "report_notes": """with n as (select count(*) as before, count(*) filter (where o_orderkey % 3 > 0) as after, count(*) - count(distinct o_custkey) as b, count(*) filter (where o_orderkey % 3 > 0) - count(distinct case when o_orderkey % 3 > 0 then o_custkey end) as a from orders),
+            w as (select *, cast(greatest(5, length(format('{:,}', before))) as integer) as w from n)
+            select unnest(range(0, 20)) as line, unnest(['orders -> orders', 'records matched by id field ''o_custkey'', ignoring o_orderkey', '', '  before      ' || lpad(format('{:,}', before), w, ' '), '  after       ' || lpad(format('{:,}', after), w, ' '), '',
+              '  unchanged   ' || lpad('0', w, ' '), '  changed     ' || lpad(format('{:,}', after), w, ' '), '  removed     ' || lpad(format('{:,}', before - after), w, ' '), '  added       ' || lpad('0', w, ' '),
+              '  note: ' || format('{:,}', b) || ' repeated IDs in before (orders), numbered #2, #3, ...', '  note: ' || format('{:,}', a) || ' repeated IDs in after (orders), numbered #2, #3, ...', '',
+              'fields changed (records)', '  /o_new  ' || lpad(format('{:,}', after), w, ' '), '  /o_old  ' || lpad(format('{:,}', after), w, ' '), '', 'schema', '  + /o_new', '  - /o_old']) as text from w""",
         "snapshot_round_trip": "select form, count(*) as records, count(*) as unchanged, false as changes, true as recognised from orders, (values ('file'), ('tables')) t(form) group by form",
         "report_lines": _ORDERS + """, n as (select (select count(*) from a) as before, (select count(*) from b) as after, count(*) filter (where kind = 'unchanged') as unchanged, count(*) filter (where kind = 'changed') as changed,
               count(*) filter (where kind = 'removed') as removed, count(*) filter (where kind = 'added') as added from k),

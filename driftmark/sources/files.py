@@ -37,6 +37,12 @@ def _system(spark: SparkSession, path: str):  # noqa: ANN202
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, wherever it is looked up from."""
+    system, target = _system(spark, path)
+    return system.makeQualified(target).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     system, target = _system(spark, path)
     return system.exists(target)
