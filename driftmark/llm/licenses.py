@@ -6,8 +6,9 @@ four for the bodies of licenses.  A hit votes for its diagonal, the text place
 minus the template place.  Votes are counted by text, template and diagonal;
 neighbouring diagonals (words added or left out) are merged, and a merged span
 is verified word by word: enough of the template's words must stand at their
-places on its diagonals.  Phrases are accepted only whole, which is exactly
-that their words stand consecutively.
+places on its diagonals, and all that name the license.  A hit is one of equal
+words, not only of equal hashes, so phrases, which are accepted only whole, are
+exactly where their words stand consecutively.
 
 Only DataFrame functions are used.  The templates are the fixed values below,
 so the broadcast side of the join is some thousand rows whatever the corpus.
@@ -43,7 +44,17 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "gnu affero general public license": "agpl",
+    "mozilla public license version 2 0": "mpl",
+    "eclipse public license version 2 0": "epl",
 }
+#: License identifiers in words, after "SPDX-License-Identifier:", and their labels.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "mpl 2 0": "mpl", "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd-3-clause", "isc": "isc", "zlib": "zlib", "bsl 1 0": "boost", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "epl 2 0": "epl", "unlicense": "unlicense",
+}
+#: Words that name a license or its version: in a notice these must all be right.
+NAMING = ("0", "1", "2", "3", "4", "affero", "agpl", "apache", "bsd", "bsl", "by", "cc", "cc0", "clause", "eclipse", "epl", "general", "gnu", "gpl", "isc", "lesser", "lgpl", "mit", "mozilla", "mpl", "nc", "sa", "unlicense", "zlib")
 #: The bodies of public licenses, after their titles and copyright lines, and their labels.
 BODIES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
@@ -87,8 +98,28 @@ BODIES = {
         implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General
         Public License along with this program.""",
 }
-#: Words of a gram in phrases and notices, and in bodies; the share of a template's words that must be verified, and how far apart neighbouring diagonals may be.
-PAIR, RUN, NEEDED, APART = 2, 4, {2: 0.95, 4: 0.7}, 3
+#: Telling clauses of long licenses, and their labels.
+CLAUSES = {
+    "apache grant": ("apache", """Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+        copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."""),
+    "mpl grant": ("mpl", """Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: under intellectual property rights (other than patent or trademark) Licensable by such
+        Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a
+        Larger Work"""),
+    "gpl 3 copies": ("gpl", """You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an
+        appropriate copyright notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code; keep intact all notices of the
+        absence of any warranty; and give all recipients a copy of this License along with the Program."""),
+    "gpl 2 copies": ("gpl", """You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on
+        each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of
+        the Program a copy of this License along with the Program."""),
+    "agpl network": ("agpl", """Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through
+        a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network
+        server at no charge, through some standard or customary means of facilitating copying of software."""),
+    "bsd endorsement": ("bsd-3-clause", """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+        prior written permission."""),
+}
+#: Words of a gram in phrases and notices, and in bodies; the share of a template's words that must be verified (of a notice's, all but one in eight),
+#: and how far apart neighbouring diagonals may be.
+PAIR, RUN, NEEDED, APART = 2, 4, {2: 0.875, 4: 0.7}, 3
 
 
 def template_rows() -> list[tuple[str, str, bool, int, list[str]]]:
@@ -96,15 +127,21 @@ def template_rows() -> list[tuple[str, str, bool, int, list[str]]]:
     cut = lambda text: re.findall("[0-9a-z]+", text.lower())
     rows = [(t, label, True, PAIR, cut(t)) for t, label in PHRASES.items()]
     rows += [(t, label, False, PAIR, cut(t)) for t, label in NOTICES.items()]
+    rows += [(f"identifier {t}", label, False, PAIR, cut(f"spdx license identifier {t}")) for t, label in IDENTIFIERS.items()]
+    rows += [(f"clause {name}", label, False, RUN, cut(text)) for name, (label, text) in CLAUSES.items()]
     return rows + [(f"body {label}", label, False, RUN, cut(text)) for label, text in BODIES.items()]
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, phrase, k, words, need, grams, at, gram) for each gram of each template."""
+    """(template, label, phrase, k, words, need, grams, at, gram, said) for each gram of each template: its hash and its words."""
     table = spark.createDataFrame(template_rows(), "template string, label string, phrase boolean, k int, words array<string>")
     grams = F.when(F.col("k") == PAIR, _grams(F.col("words"), PAIR)).otherwise(_grams(F.col("words"), RUN))
     need = F.when(F.col("k") == PAIR, NEEDED[PAIR]).otherwise(NEEDED[RUN])
-    return table.select("*", need.alias("need"), (F.size("words") - F.col("k") + 1).alias("grams"), F.posexplode(grams).alias("at", "gram"))
+    return table.select("*", need.alias("need"), (F.size("words") - F.col("k") + 1).alias("grams"), F.posexplode(grams).alias("at", "gram")).withColumn("said", _said(F.col("words"), F.col("at"), F.col("k")))
+
+
+def _said(w: Column, at: Column, k: Column) -> Column:
+    return F.array_join(F.slice(w, at + 1, k), " ")
 
 
 def _grams(w: Column, k: int) -> Column:
@@ -123,13 +160,13 @@ def scan(documents: DataFrame) -> DataFrame:
     table = materialise(templates(spark), "templates")
     places = F.broadcast(table.drop("words", "k", "need"))
     grams = [r["gram"] for r in table.select("gram").distinct().collect()]  # some thousand fixed values
-    known = lambda w, k: let(_grams(w, k), lambda h: F.filter(F.transform(h, lambda x, i: F.when(x.isin(grams), F.struct(i.alias("place"), x.alias("gram")))), lambda x: x.isNotNull()))
+    known = lambda w, k: let(_grams(w, k), lambda h: F.filter(F.transform(h, lambda x, i: F.when(x.isin(grams), F.struct(i.alias("place"), x.alias("gram"), _said(w, i, F.lit(k)).alias("said")))), lambda x: x.isNotNull()))
     words = documents.select(F.col("doc_id").cast("long").alias("doc_id"), split_words(F.translate("text", UPPER, UPPER.lower()), NOT_ALNUM).alias("w"))
     # the write freezes the row numbers; words and places are only kept where some template has a gram
     found = let(F.col("w"), lambda w: F.concat(known(w, PAIR), known(w, RUN)))
     rows = words.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("w").cast("long").alias("n_words"), found.alias("places"), "w")
     rows = materialise(rows.withColumn("w", F.when(F.size("places") > 0, F.col("w"))), "grams")
-    hits = rows.select("row", F.inline("places")).join(places, "gram").withColumn("diagonal", F.col("place") - F.col("at"))
+    hits = rows.select("row", F.inline("places")).join(places, ["gram", "said"]).withColumn("diagonal", F.col("place") - F.col("at"))
     votes = hits.groupBy("row", "template", "label", "phrase", "grams", "diagonal").agg(F.count("*").alias("votes"))
     whole = votes.where("phrase and votes = grams").groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base")
@@ -146,8 +183,14 @@ def scan(documents: DataFrame) -> DataFrame:
     # most texts with a known gram have no span left; only the words of those with one move, however many they are
     some = few(spans.select("row").distinct())
     checked = rows.where("w is not null").select("row", "w").join(some, "row", "left_semi").join(spans, "row").join(texts, "template")
-    right = F.filter("words", lambda t, i: F.exists("diagonals", lambda d: F.coalesce(F.get("w", (i + d).cast("int")) == t, F.lit(False))))
-    noted = checked.select("row", "label", "need", (F.size(right) / F.size("words")).alias("share")).where("share >= need")
+    stands = F.transform("words", lambda t, i: F.struct(t.alias("word"), F.exists("diagonals", lambda d: F.coalesce(F.get("w", (i + d).cast("int")) == t, F.lit(False))).alias("right")))
+    # in a notice words added count like words changed, unless one diagonal alone has enough of it
+    alone = F.array_max(F.transform("diagonals", lambda d: F.size(F.filter("words", lambda t, i: F.get("w", (i + d).cast("int")) == t))))
+    added = F.array_max("diagonals") - F.array_min("diagonals")
+    right = lambda s: F.size(F.filter(s, lambda x: x["right"]))
+    notice = lambda s: F.when(F.forall(s, lambda x: x["right"] | ~x["word"].isin(*NAMING)), F.greatest(alone, right(s) - added))
+    share = let(stands, lambda s: F.when(F.col("k") == RUN, right(s)).otherwise(notice(s)) / F.size(s))
+    noted = checked.select("row", "label", "need", share.alias("share")).where("share >= need")
     noted = noted.groupBy("row").agg(F.collect_set("label").alias("noted"), F.max("share").alias("share"))
     out = rows.select("doc_id", "row", "n_words").join(whole, "row", "left").join(noted, "row", "left")
     none = F.array().cast("array<string>")

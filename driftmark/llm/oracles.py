@@ -101,6 +101,7 @@ from d left join words using (r) left join items using (r)
 def _licenses() -> str:
     values = ", ".join(f"('{t}', '{label}', {phrase}, {k}, {w})" for t, label, phrase, k, w in licenses.template_rows())
     gram = lambda w, i: f"array_to_string({w}[{i}:{i} + k - 1], ' ')"
+    naming = ", ".join(f"'{x}'" for x in licenses.NAMING)
     return rf"""
 with templates as (
   select * from (select *, case k when {licenses.PAIR} then {licenses.NEEDED[licenses.PAIR]} else {licenses.NEEDED[licenses.RUN]} end as need from (values {values}) x(template, label, phrase, k, t))
@@ -121,10 +122,12 @@ with templates as (
 ), merged as (
   select r, template, label, grams, span, sum(votes) as votes, max(votes) as most, list(diagonal) as diagonals from spans group by all
 ), checked as (
-  select r, m.label, need, len(list_filter(range(0, len(t)), lambda i: len(list_filter(diagonals, lambda x: i + x >= 0 and w[i + x + 1] = t[i + 1])) > 0)) / len(t) as share
+  select r, m.label, need, k, t, list_filter(range(0, len(t)), lambda i: len(list_filter(diagonals, lambda x: i + x >= 0 and w[i + x + 1] = t[i + 1])) > 0) as found,
+    case k when {licenses.RUN} then len(found) else greatest(len(found) - list_max(diagonals) + list_min(diagonals), list_max(list_transform(diagonals, lambda x: len(list_filter(range(0, len(t)), lambda i: i + x >= 0 and w[i + x + 1] = t[i + 1]))))) end as right_words
   from merged m join templates using (template) join d using (r) where 2 * case k when {licenses.PAIR} then most else votes end >= need * grams
 ), noted as (
-  select r, list_distinct(list(label)) as noted, max(share) as share from checked where share >= need group by r
+  select r, list_distinct(list(label)) as noted, max(right_words / len(t)) as share from checked
+  where right_words >= need * len(t) and (k = {licenses.RUN} or len(list_filter(range(0, len(t)), lambda i: t[i + 1] in ({naming}) and not list_contains(found, i))) = 0) group by r
 )
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
   array_to_string(coalesce(base, []), ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(noted, [])))), ',') as labels,

@@ -96,7 +96,7 @@ class Spelt:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each place's expression and of its context (all but the last character)."""
         whole, context = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
-        power = np.uint64(1)
+        power = np.ones(1, np.uint64)  # arrays wrap around silently
         for j in range(ORDER):
             some = self.size > j
             code = self.codes[np.maximum(self.at - j, 0)].astype(np.uint64) + np.uint64(1)
@@ -135,7 +135,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = batch.column(0)
         offsets = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + len(grams) + 1].astype(np.int64) // 4
         codes = np.frombuffer(grams.buffers()[2], ">u4").astype(np.uint64) if grams.buffers()[2] is not None else np.zeros(0, np.uint64)
-        size, ends, keys, power = np.diff(offsets), offsets[1:] - 1, np.zeros(len(grams), np.uint64), np.uint64(1)
+        size, ends, keys, power = np.diff(offsets), offsets[1:] - 1, np.zeros(len(grams), np.uint64), np.ones(1, np.uint64)
         for j in range(ORDER):
             some = size > j
             keys[some] += (codes[ends[some] - j] + np.uint64(1)) * power

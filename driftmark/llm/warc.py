@@ -24,6 +24,8 @@ from ..plans.scratch import materialise, new_path
 from ..sources import files
 from .columns import few
 
+#: A key is hot with over LEAST rows and one in SHARE of all; so there are under SHARE hot keys.  Their rows are dealt to SALTS parts.
+LEAST, SHARE, SALTS = 10_000, 10_000, 64
 SMALLEST, DATE = 1000, "2020-01-01T00:00:00Z"
 #: Compressed bytes of a file (and one record more); rows sent to Python at once, which may be large.
 FILE_BYTES, ROWS = 16 << 20, 256
@@ -44,23 +46,42 @@ def headers(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
     large = rows.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    large = materialise(large, "headers")
     shared = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("n").alias("all")).where("`all` > 1")
-    shared = shared.select("payload_digest", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url"))
+    shared = materialise(shared.select("payload_digest", F.col("all").alias("rows"), F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url")), "shared")
     kind = F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), "revisit").when(F.col("n") > 1, "repeated")
-    known = large.join(shared, "payload_digest").select(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_page"), "refers_to", "refers_url", kind.alias("record_type")).where("record_type is not null")
+    known = by_digest(large.drop("url"), shared, "rows").select(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_page"), "refers_to", "refers_url", kind.alias("record_type")).where("record_type is not null")
     known = few(materialise(known, "revisits"))
     marked = rows.join(known, (rows["payload_digest"] == known["_digest"]) & rows["page_id"].eqNullSafe(known["_page"]), "left").drop("_digest", "_page")
     if known.where("record_type = 'repeated'").isEmpty():
         return marked.withColumn("record_type", F.coalesce("record_type", F.lit("response")))
     # rows that repeat id and payload: the first of them, once their numbers are frozen, is the response
     again = materialise(marked.where("record_type = 'repeated'").withColumn("row", F.monotonically_increasing_id()), "repeated")
-    first = again.groupBy("payload_digest").agg(F.min("row").alias("first"))
-    again = again.join(first, "payload_digest").withColumn("record_type", F.when(F.col("row") == F.col("first"), "response").otherwise("revisit"))
+    first = materialise(again.groupBy("payload_digest").agg(F.min("row").alias("first"), F.count("*").alias("rows")), "first")
+    again = by_digest(again, first, "rows").withColumn("record_type", F.when(F.col("row") == F.col("first"), "response").otherwise("revisit"))
     again = again.withColumns({c: F.when(F.col("record_type") == "revisit", F.col(c)) for c in ("refers_to", "refers_url")}).select(marked.columns)
     rest = marked.where("record_type is null or record_type = 'revisit'").withColumn("record_type", F.coalesce("record_type", F.lit("response")))
     return rest.unionByName(again)
 
 
+def by_digest(rows: DataFrame, facts: DataFrame, n: str) -> DataFrame:
+    """``rows`` with their digest's row of ``facts``, whose column ``n`` (left out) says how many rows the digest has.
+
+    Facts that are few enough go to all executors.  Else both sides shuffle
+    by digest, but the rows of hot digests, which are under SHARE by their
+    definition, are dealt to SALTS parts beside copies of their facts.
+    """
+    sent = few(facts)
+    if sent is not facts:
+        return rows.join(sent.drop(n), "payload_digest")
+    total = facts.agg(F.sum(n)).first()[0]
+    often = F.col(n) > max(LEAST, total / SHARE)
+    hot = F.broadcast(facts.where(often).select("payload_digest", F.lit(True).alias("_hot")))
+    salted = rows.join(hot, "payload_digest", "left").withColumn("_salt", F.when(F.col("_hot"), F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    copies = F.when(often, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(facts.withColumn("_salt", F.explode(copies)).drop(n), ["payload_digest", "_salt"]).drop("_salt")
+
+
 def _urn(*parts: Column) -> Column:
     key = F.sha2(F.concat_ws("/", *parts), 256)
     uuid = F.concat_ws("-", F.substring(key, 1, 8), F.substring(key, 9, 4), F.concat(F.lit("5"), F.substring(key, 14, 3)), F.concat(F.lit("8"), F.substring(key, 18, 3)), F.substring(key, 21, 12))
@@ -207,12 +228,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """``records`` with the payloads of revisits taken from the responses with the same digest."""
+    """``records`` with the payloads of revisits taken from the responses with the same digest; null where there is none."""
     full = records.where("record_type = 'response'")
     repeated = records.where("record_type = 'revisit'").drop("payload")
-    wanted = repeated.select("payload_digest").distinct()
-    originals = full.join(wanted, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.first("payload").alias("payload"))
-    return full.unionByName(repeated.join(originals, "payload_digest", "left").select(*full.columns))
+    wanted = materialise(repeated.groupBy("payload_digest").agg(F.count("*").alias("rows")), "wanted")
+    originals = full.join(wanted, "payload_digest").groupBy("payload_digest").agg(F.first("payload").alias("payload"), F.first("rows").alias("rows"))
+    originals = materialise(wanted.select("payload_digest").join(originals, "payload_digest", "left").withColumn("rows", F.coalesce("rows", F.lit(1))), "originals")
+    return full.unionByName(by_digest(repeated, originals, "rows").select(*full.columns))
 
 
 def archive(pages: DataFrame) -> DataFrame:

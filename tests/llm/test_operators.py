@@ -462,6 +462,10 @@ def test_altered_notices_and_bodies(spark):
         ("mit", f"intro {body} outro"), ("mit", edited_body), ("", " ".join(body.split()[:40])), ("", " ".join(rng.sample(body.split(), len(body.split())))),
         ("zlib", licenses.BODIES["zlib"].upper()), ("apache", licenses.BODIES["apache"]), ("gpl", licenses.BODIES["gpl"]), ("boost", licenses.BODIES["boost"]),
         ("", "M\u0130T L\u0130CENSE"), ("mit", "mit license " * 3000),
+        ("mpl", "// SPDX-License-Identifier: MPL-2.0"), ("agpl", "the GNU Affero General Public License"), ("bsd,bsd-3-clause", f"{licenses.BODIES['bsd']} {licenses.CLAUSES['bsd endorsement'][1]}"),
+        ("apache", licenses.CLAUSES["apache grant"][1]), ("mpl", licenses.CLAUSES["mpl grant"][1]), ("agpl", licenses.CLAUSES["agpl network"][1]),
+        ("", "licensed under the mozilla license version 2 0"), ("lgpl", "under all terms of the GNU Lesser General Public License"), ("", "under the terms of the GNU Greater General Public License"),
+        ("mit", "mit license mit license released under the mit license"),
     ]
     out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t, 1) for i, (_, t) in enumerate(cases)], "doc_id long, text string, row int")).collect()}
     for i, (labels, text) in enumerate(cases):
@@ -603,6 +607,24 @@ def test_archives(spark, tiny, tmp_path):
     check_files(spark, df, tmp_path)
 
 
+@pytest.mark.parametrize("sent", [True, False])
+def test_a_digest_on_most_pages(spark, monkeypatch, sent):
+    """Hot digests, also of one page repeated, give the same records whether their facts are sent or dealt to parts."""
+    monkeypatch.setattr(warc, "LEAST", 5)
+    monkeypatch.setattr(warc, "SHARE", 20)
+    if not sent:
+        monkeypatch.setattr(warc, "few", lambda rows: rows)
+    pages = [(i, "u", "a" * 1200) for i in range(300)] + [(500, "v", "b" * 1200)] * 40 + [(600 + i % 3, "w", "c" * 1200) for i in range(4)] + [(700, "x", "d" * 1200)]
+    out = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5))
+    seen = collections.Counter((r["payload_digest"], r["record_type"], r["refers_to"]) for r in out.collect())
+    name = lambda c: hashlib.sha1(c.encode() * 1200).hexdigest()
+    assert seen == {
+        (name("a"), "response", None): 1, (name("a"), "revisit", 299): 299, (name("b"), "response", None): 1, (name("b"), "revisit", 500): 39,
+        (name("c"), "response", None): 1, (name("c"), "revisit", 602): 3, (name("d"), "response", None): 1,
+    }
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in warc.resolved(out).collect()) == sorted((p, h) for p, _, h in pages)
+
+
 def check_files(spark, df, tmp_path):
     """Each record is a gzip member of its own, files are bounded and begin with warcinfo, and revisits name their response's record."""
     path = str(tmp_path / "warc")
