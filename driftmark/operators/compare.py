@@ -162,9 +162,17 @@ class DatasetDiff:
     def field_counts(self) -> DataFrame:
         return field_counts(self.changes, self.rekeyed)
 
+    @cached_property
+    def drift(self) -> DataFrame:
+        """(path, change, before, after): fields added, removed, or with other JSON types."""
+        return materialise(drift.drift(self.before.profile, self.after.profile), "drift")
+
     @cached_property
     def schema(self) -> dict[str, Any]:
-        return drift.drift_dict(drift.drift(self.before.profile, self.after.profile))
+        """``drift`` as one dict, where names of fields are no data."""
+        rows = self.drift.orderBy("path").collect()
+        retyped = {r["path"]: {"before": r["before"], "after": r["after"]} for r in rows if r["change"] == "retyped"}
+        return {**{kind: [r["path"] for r in rows if r["change"] == kind] for kind in ("added", "removed")}, "retyped": retyped}
 
     @cached_property
     def order_changed(self) -> bool:
@@ -172,7 +180,7 @@ class DatasetDiff:
 
     def write(self, path: str) -> None:
         """All tables as Parquet below ``path``, for results too large for a report."""
-        for name in ("classified", "changes", "rekeyed", "field_counts"):
+        for name in ("classified", "changes", "rekeyed", "field_counts", "drift"):
             getattr(self, name).write.parquet(f"{path.rstrip('/')}/{name}")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from typing import Any
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.typed import quoted
+
 
 def present(profile: DataFrame) -> DataFrame:
     """(path, present, types) for a profile (path, type, n); types maps each JSON type to its records."""
@@ -16,7 +16,7 @@ def present(profile: DataFrame) -> DataFrame:
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change, before, after): fields added, removed, or with another set of JSON types.
 
-    Profiles have a row for each field and type, so this is small whatever the records.
+    Profiles have a row for each field and type.  Where names of fields are data there are many, so this stays a table.
     """
     kinds = lambda p, name: p.groupBy("path").agg(F.sort_array(F.collect_set("type")).alias(name))
     both = kinds(before, "before").join(kinds(after, "after"), "path", "full_outer")
@@ -24,16 +24,8 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change is not null").select("path", "change", "before", "after")
 
 
-def as_dict(records: int, profile: DataFrame) -> dict[str, Any]:
-    """The profile as the snapshot file holds it."""
-    rows = present(profile).orderBy("path").collect()  # a row for each field
-    return {"records": records, "fields": {r["path"]: {"present": r["present"], "types": r["types"]} for r in rows}}
-
-
-def drift_dict(changes: DataFrame) -> dict[str, Any]:
-    rows = changes.orderBy("path").collect()  # a row for each changed field
-    return {
-        "added": [r["path"] for r in rows if r["change"] == "added"],
-        "removed": [r["path"] for r in rows if r["change"] == "removed"],
-        "retyped": {r["path"]: {"before": r["before"], "after": r["after"]} for r in rows if r["change"] == "retyped"},
-    }
+def members(profile: DataFrame) -> DataFrame:
+    """The profile as the snapshot file holds it: ``value``, a member of a JSON object for each field, in the order of their names."""
+    types = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"].cast("string"))), ",")
+    value = F.concat(quoted(F.col("path")), F.lit(':{"present":'), F.col("present").cast("string"), F.lit(',"types":{'), types, F.lit("}}"))
+    return present(profile).orderBy("path").select(value.alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import io
 import json
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from .operators import compare as cmp
 from .operators import drift, snapshot
 from .operators import entries as ent
 from .operators.matching import Match
-from .plans import scratch
+from .plans import json_report, scratch
 from .plans.scratch import materialise
 from .plans.report import render_json, render_text
 from .sources import files as source_files
@@ -366,6 +367,24 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x["id"], ",".join(x["fields"]), data["counts"]["changed"], data["order_changed"]) for x in data["changed"]], "id string, fields string, n_changed long, order_changed boolean")
 
 
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report in a file, of orders in JSON Lines whose field names are data: what is listed of changed fields, schema and records."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.create_map(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.col("o_totalprice").cast("long")).alias("price"))
+    later = orders.where("o_orderkey % 11 > 0").withColumn("price", F.when(F.col("o_orderkey") % 5 == 0, F.transform_values("price", lambda k, v: v + 1)).otherwise(F.col("price")))
+    path = scratch.new_path(spark, "report") + ".json"
+    json_report.write(cmp.compare(*(snapshot.build_snapshot(spark, _written(df, "lines"), BY_ORDER) for df in (orders, later))), path)
+    kind = "fields_changed map<string,long>, schema struct<added array<string>, removed array<string>>, changed array<struct<id string, fields array<string>>>, removed array<struct<id string>>, added array<struct<id string>>"
+    report = spark.read.schema(kind).json(path, multiLine=True)
+    listed = lambda section, rows, name, value: report.select(F.explode(rows).alias("x")).select(F.lit(section).alias("section"), name.alias("name"), value.alias("value"))
+    x, none = F.col("x"), F.lit(None).cast("string")
+    parts = [
+        listed("fields", F.map_entries("fields_changed"), x["key"], x["value"].cast("string")), listed("changed", F.col("changed"), x["id"], F.array_join(x["fields"], ",")),
+        listed("removed", F.col("removed"), x["id"], none), listed("added", F.col("added"), x["id"], none),
+        *[listed(f"schema {k}", F.col(f"schema.{k}"), x, none) for k in ("added", "removed")],
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exit status of comparisons: same data, other data, no data."""
     nation = table(spark, sf_dir, "nation")
@@ -406,7 +425,7 @@ def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL: tuple[Query, ...] = (
-    read_json_lines, read_json, read_csv, read_parquet, read_csv_ranges, read_json_ranges, read_directory, detected_matching, strict_json_errors, normalised_text, canonical_policy, lowered_values, snapshot_round_trip, snapshot_command, report_notes, diff_clustered_snapshots, report_lines, report_examples, report_json, command_line,
+    read_json_lines, read_json, read_csv, read_parquet, read_csv_ranges, read_json_ranges, read_directory, detected_matching, strict_json_errors, normalised_text, canonical_policy, lowered_values, snapshot_round_trip, snapshot_command, report_notes, diff_clustered_snapshots, report_lines, report_examples, report_json, report_file, command_line,
     diff_counts_by_id, diff_ignore_fields, diff_changed_fields, diff_field_counts, diff_top_fields, diff_removed, diff_added, diff_first_examples,
     diff_order_changed, diff_key_edited, diff_key_counts, diff_content, duplicate_numbering, duplicate_count, record_hash, field_hash, key_hash,
     content_label, schema_profile, schema_drift, dataset_hash, nested_leaves, strict_json_text, typed_text,
@@ -537,6 +556,12 @@ def oracle_sql() -> dict[str, str]:
         "key_hash": f"select o_orderkey as pos, 'k:' || {short("'[' || cast(to_json(o_orderpriority) as varchar) || ',' || o_custkey || ']'")} as raw_id, {short("'{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":' || cast(to_json(o_orderstatus) as varchar) || '}'")} as rest, o_orderpriority || ' | ' || o_custkey as label from orders",
         "content_label": f"select doc_id as pos, case when text is null or text = '' then {short("'{\"doc_id\":' || doc_id || ',\"text\":' || coalesce(cast(to_json(text) as varchar), 'null') || '}'")} when length({flat}) <= 72 then {flat} else left({flat}, 69) || '...' end as label from documents",
         "schema_profile": "select path, type, count(*) as n from (select unnest([{'path': '/o_orderkey', 'type': 'integer'}, {'path': '/o_custkey', 'type': 'integer'}, {'path': '/o_orderstatus', 'type': case when o_orderkey % 5 <> 0 then 'string' else 'null' end}, {'path': '/o_totalprice', 'type': 'number'}, {'path': '/o_orderdate', 'type': 'string'}, {'path': '/o_orderpriority', 'type': 'string'}], recursive := true) from orders) group by all",
+        "report_file": """
+            with x as (select cast(o_orderkey as varchar) as id, '/price/c' || cast(o_custkey as varchar) as path, o_orderkey % 11 = 0 as gone, o_orderkey % 5 = 0 as edited from orders)
+            select 'fields' as section, path as name, cast(count(*) as varchar) as value from x where edited and not gone group by path
+            union all select 'changed', id, path from x where edited and not gone
+            union all select 'removed', id, null from x where gone
+            union all select 'schema removed', path, null from x group by path having bool_and(gone)""",
         "schema_drift": "select * from (values ('/o_orderstatus', 'removed', 'string', null), ('/o_custkey', 'retyped', 'integer', 'string'), ('/o_note', 'added', null, 'string')) t(path, change, before, after)",
         "dataset_hash": f"with e as (select cast(o_orderkey as varchar) as id, o_orderkey, {short(order)} as hash from orders) select sha256('[' || string_agg('[\"' || id || '\",\"' || hash || '\"]', ',' order by id, hash) || ']') as dataset_hash, sha256('[' || string_agg('\"' || id || '\"', ', ' order by o_orderkey) || ']') as order_hash from e",
         "nested_leaves": "select event_id as pos, '/props/k' as path, cast(json_extract(props, '$.k') as varchar) as json from events",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import SparkSession
 
@@ -74,11 +75,20 @@ def first_line(spark: SparkSession, uri: str) -> bytes:
         size *= 8
 
 
-def joined(spark: SparkSession, folder: str, path: str, start: bytes, drop: int, end: bytes) -> None:
-    """Write ``path``: start, the part files of ``folder`` in order less the last ``drop`` bytes, end."""
-    source, target = _system(spark, folder)
-    parts = [(s.getPath(), s.getLen()) for s in source.listStatus(target) if s.getPath().getName().startswith("part-") and s.getLen()]
-    parts.sort(key=lambda x: x[0].getName())
+@dataclass
+class Parts:
+    """The part files of a folder in order, less the last ``drop`` bytes; then ``close``, if there were any bytes."""
+
+    folder: str
+    drop: int
+    close: bytes = b""
+
+
+Piece = bytes | Parts
+
+
+def joined(spark: SparkSession, path: str, pieces: list[Piece]) -> None:
+    """Write ``path``: constant bytes, and part files copied inside the JVM."""
     system, where = _system(spark, path)
     system.setWriteChecksum(False)  # the file may be edited by other programs
     try:
@@ -86,17 +96,28 @@ def joined(spark: SparkSession, folder: str, path: str, start: bytes, drop: int,
     finally:
         system.setWriteChecksum(True)
     try:
-        out.write(bytearray(start))
-        for i, (part, size) in enumerate(parts):
-            stream = source.open(part)
-            some = spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size - drop if i == len(parts) - 1 else size)
-            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(some, out, 1 << 16, False)
-            stream.close()
-        out.write(bytearray(end))
+        for piece in pieces:
+            if isinstance(piece, bytes):
+                out.write(bytearray(piece))
+            else:
+                _copy(spark, piece, out)
     finally:
         out.close()
 
 
+def _copy(spark: SparkSession, piece: Parts, out: Any) -> None:
+    source, folder = _system(spark, piece.folder)
+    parts = [(s.getPath(), s.getLen()) for s in source.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen()]
+    parts.sort(key=lambda x: x[0].getName())
+    for i, (part, size) in enumerate(parts):
+        stream = source.open(part)
+        some = spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size - piece.drop if i == len(parts) - 1 else size)
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(some, out, 1 << 16, False)
+        stream.close()
+    if parts:
+        out.write(bytearray(piece.close))
+
+
 def renamed(spark: SparkSession, folder: str, old: str, new: str) -> None:
     """Give the part files of ``folder`` that end in ``old`` the ending ``new``; only names change."""
     system, target = _system(spark, folder)
