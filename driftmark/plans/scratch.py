@@ -46,10 +46,11 @@ def mark() -> int:
     return len(_made)
 
 
-def clear(spark: SparkSession, since: int = 0) -> None:
-    """Delete this process's intermediate tables since a mark; results that still read them must have been written."""
-    while len(_made) > since:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+def clear(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete this process's intermediate tables since a mark (and made before another); results that still read them must have been written."""
+    gone, _made[since:until] = _made[since:until], []
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -16,6 +16,18 @@ def test_tables_are_shared_and_cleared(spark):
     assert not os.path.exists(path.removeprefix("file:"))
 
 
+def test_tables_between_marks_are_cleared(spark):
+    begun = scratch.mark()
+    scratch.materialise(spark.range(1), "old")
+    later = scratch.mark()
+    out = scratch.materialise(spark.range(2), "new")
+    old, new = scratch._made[begun:]
+    scratch.clear(spark, begun, later)
+    assert scratch._made[begun:] == [new] and out.count() == 2 and not os.path.exists(old.removeprefix("file:"))
+    scratch.clear(spark, begun)
+    assert len(scratch._made) == begun and not os.path.exists(new.removeprefix("file:"))
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "yarn"
