@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import columns, decontamination, mixing, near_duplicates, quality, sharding
-from driftmark.plans.scratch import materialise
+from driftmark.plans.scratch import clear, mark, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.
+
+    Once a stage is written, what earlier stages wrote is deleted; the tables
+    and the slot map of the last one stay.
+    """
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
+        begun = mark()
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        clear(spark, since, begun)
     return docs

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftmark.llm import mixing
+from driftmark.llm import mixing, quality
 from test_operators import brute_components, brute_hits, words
 
 
@@ -22,6 +22,11 @@ def test_stages(spark, tiny):
         if name != "sharding":
             assert docs.columns == table.columns
     rows = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    before, after = seen["quality rules"]
+    judged = {(r["doc_id"], r["text_hash"]): r["kept"] for r in quality.judge(before, spark.read.parquet(f"{tiny}/labels.parquet")).collect()}
+    hashed = before.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    assert sorted(map(repr, rows(after))) == sorted(repr((r["doc_id"], r["text"])) for r in hashed if judged[r["doc_id"], r["h"]])
+    assert all(len((t or "").split()) >= 50 for _, t in rows(after)) and 0 < after.count() < before.count()  # the tables have ASCII blanks only
     before, after = seen["near duplicates"]
     numbered = list(enumerate(rows(before)))
     comps = brute_components([(i, t) for i, (_, t) in numbered])
