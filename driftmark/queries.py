@@ -478,12 +478,13 @@ pairs as (
 
 
 def oracle_sql() -> dict[str, str]:
-    record = "'{\"c_acctbal\":' || cast(c_acctbal as varchar) || ',\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":' || cast(to_json(c_mktsegment) as varchar) || ',\"c_name\":' || cast(to_json(c_name) as varchar) || ',\"c_nationkey\":' || c_nationkey || '}'"
+    balance = "case when c_acctbal = 0 then '0.0' else cast(c_acctbal as varchar) end"  # one zero
+    record = f"'{{\"c_acctbal\":' || {balance} || ',\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":' || cast(to_json(c_mktsegment) as varchar) || ',\"c_name\":' || cast(to_json(c_name) as varchar) || ',\"c_nationkey\":' || c_nationkey || '}}'"
     text_json = lambda c: f"cast(to_json({c}) as varchar)"
     flat = "trim(regexp_replace(text, '[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
     short = lambda x: f"left(sha256({x}), 16)"
     order = "'{\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '\",\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":' || cast(to_json(o_orderstatus) as varchar) || ',\"o_totalprice\":' || cast(o_totalprice as varchar) || '}'"
-    fields = " union all ".join(f"select cast(c_custkey as varchar) as id, '/{c}' as path, {short(x)} as field_hash from customer" for c, x in (("c_acctbal", "cast(c_acctbal as varchar)"), ("c_custkey", "cast(c_custkey as varchar)"), ("c_mktsegment", "cast(to_json(c_mktsegment) as varchar)"), ("c_name", "cast(to_json(c_name) as varchar)"), ("c_nationkey", "cast(c_nationkey as varchar)")))
+    fields = " union all ".join(f"select cast(c_custkey as varchar) as id, '/{c}' as path, {short(x)} as field_hash from customer" for c, x in (("c_acctbal", balance), ("c_custkey", "cast(c_custkey as varchar)"), ("c_mktsegment", "cast(to_json(c_mktsegment) as varchar)"), ("c_name", "cast(to_json(c_name) as varchar)"), ("c_nationkey", "cast(c_nationkey as varchar)")))
     line = "'k:' || left(sha256('[' || l_orderkey || ',' || l_linenumber || ']'), 16)"
     return {
         "read_json_lines": f"""select '{{"doc_id":' || doc_id || ',"lang":' || coalesce({text_json("lang")}, 'null') || ',"text":' || coalesce({text_json("text")}, 'null') || '}}' as data, true as usable from documents""",
