@@ -216,6 +216,20 @@ def _written(df: DataFrame, kind: str, files: int = 3) -> str:
     return folder
 
 
+def _one_file(df: DataFrame, kind: str) -> str:
+    """``df`` in the order of its columns as one CSV file or JSON array; tasks write its parts, which are joined as bytes."""
+    spark = df.sparkSession
+    parts, path = scratch.new_path(spark, "parts"), f"{scratch.new_path(spark, 'one')}/all.{kind}"
+    some = df.orderBy(*df.columns)
+    if kind == "json":
+        some.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.option("lineSep", ",").text(parts)
+        source_files.joined(spark, path, [b"[", source_files.Parts(parts, 1), b"]\n"])
+    else:
+        some.write.option("escape", '"').csv(parts)
+        source_files.joined(spark, path, [(",".join(df.columns) + "\n").encode(), source_files.Parts(parts, 0)])
+    return path
+
+
 def _read_back(df: DataFrame, kind: str) -> DataFrame:
     rows = readers.read_rows(df.sparkSession, _written(df, kind))
     return rows.select("data", F.col("err").isNull().alias("usable"))
@@ -243,11 +257,11 @@ def read_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _read_by_ranges(df: DataFrame, kind: str) -> DataFrame:
     """One file, read in ranges of 64 KiB whatever its size."""
     spark = df.sparkSession
-    folder = _written(df, kind, 1)
+    path = _one_file(df, kind)
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
-        rows = readers.read_rows(spark, folder, 0)
+        rows = readers.read_rows(spark, path, 0)
         return materialise(rows.select("position", "data", F.col("err").isNull().alias("usable")), "ranges")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
@@ -491,7 +505,7 @@ def oracle_sql() -> dict[str, str]:
         "read_json": f"""select '{{"n_name":' || {text_json("n_name")} || ',"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}}' as data, true as usable from nation""",
         "read_csv": f"""select '{{"p_brand":' || {text_json("p_brand")} || ',"p_name":' || {text_json("p_name")} || ',"p_partkey":"' || p_partkey || '","p_type":' || {text_json("p_type")} || '}}' as data, true as usable from part""",
         "read_parquet": f"""select '{{"o_orderkey":' || o_orderkey || ',"o_totalprice":' || cast(o_totalprice as varchar) || ',"state":{{"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","o_orderstatus":' || {text_json("o_orderstatus")} || '}}}}' as data, true as usable from orders""",
-        "read_csv_ranges": f"""select row_number() over (order by o_orderkey) as position, '{{"customer":"' || o_custkey || '","note":' || {text_json("o_orderpriority || chr(10) || '' || chr(34) || 'x' || chr(34) || ',' || chr(13) || chr(10) || o_orderstatus")} || ',"o_orderkey":"' || o_orderkey || '"}}' as data, true as usable from orders""",
+        "read_csv_ranges": f"""select row_number() over (order by o_orderkey, cast(o_custkey as varchar), o_orderpriority, o_orderstatus) as position, '{{"customer":"' || o_custkey || '","note":' || {text_json("o_orderpriority || chr(10) || '' || chr(34) || 'x' || chr(34) || ',' || chr(13) || chr(10) || o_orderstatus")} || ',"o_orderkey":"' || o_orderkey || '"}}' as data, true as usable from orders""",
         "read_json_ranges": f"""select row_number() over (order by c_custkey) as position, '{{"c_custkey":' || c_custkey || ',"more":{{"note":' || {text_json("c_mktsegment || ' }],' || chr(34) || '{[ ' || chr(92)")} || ',"pair":[' || c_nationkey || ',' || c_nationkey || ']}}}}' as data, true as usable from customer""",
         "read_directory": "select ending, count(*) as n, count(*) as ids from customer, (values ('jsonl'), ('csv'), ('parquet')) t(ending) group by ending",
         "detected_matching": "select format, field, case field when 'id' then 'id' else 'content' end as matched_by from (values ('lines'), ('json'), ('csv'), ('parquet')) a(format), (values ('id'), ('other')) b(field)",
