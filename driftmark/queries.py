@@ -198,9 +198,9 @@ def typed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(df: DataFrame, kind: str, files: int = 3) -> str:
-    """A new folder of ``df`` as JSON Lines, JSON, CSV or Parquet files."""
+    """A new folder of ``df`` as JSON Lines, JSON, CSV or Parquet files: ``files`` of them, or as many as tasks read it."""
     folder = scratch.new_path(df.sparkSession, f"source-{kind}")
-    some = df.repartitionByRange(files, df.columns[0])
+    some = df.repartitionByRange(max(files, df.rdd.getNumPartitions()), df.columns[0])
     if kind == "lines":
         some.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
     elif kind == "json":  # one array a file

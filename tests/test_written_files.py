@@ -18,3 +18,8 @@ def test_ranges_of_one_file_are_in_the_order_of_keys(spark, oracle, same_rows, t
             same_rows(queries.queries()[name](spark, str(tmp_path)).toPandas(), oracle(SQL[name], str(tmp_path)))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_files_of_a_larger_table_are_more(spark):
+    few, many = spark.range(0, 100, 1, 2), spark.range(0, 100, 1, 12)
+    assert [len(spark.read.text(queries._written(df, "lines")).inputFiles()) for df in (few, many)] == [3, 12]
