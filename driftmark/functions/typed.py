@@ -5,12 +5,14 @@ text; records, pointer maps and hashes are put together from those, so Catalyst
 prunes what a query does not use and ignored fields are never read.  Arrow
 functions only serve what Spark prints differently: floats (shortest digits),
 decimals of small scale, arrays and maps of either, and strings that may not be
-normalised (gated: other rows pass null).  Other arrays and maps are printed
-element by element inside the JVM.
+normalised.  Floats whose digits Spark prints alike and strings that surely are in
+form are gated: they pass null.  Other arrays and maps are printed element by
+element inside the JVM.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,19 +38,39 @@ def _normalised(text: Column, policy: CanonicalPolicy) -> Column:
 
     @F.arrow_udf(T.StringType())
     def in_form(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):
+            return texts
         return pa.array([None if t is None else canonical.normalise(t, policy) for t in texts.to_pylist()], pa.string())
 
     return F.coalesce(in_form(F.when(text.rlike(_MAYBE_NOT[policy.unicode_form]), text)), text)
 
 
+#: Texts of floats that Spark and Python print alike: plain digits without zeros at the end.  Up to 15 digits
+#: no two decimals are the same float, so these are the shortest.
+_PLAIN, _PLAIN_WIDTH = "^-?(0|[1-9][0-9]{0,6})[.](0|[0-9]*[1-9])$", 16
+
+
 @F.arrow_udf(T.StringType())
 def _float_text(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else repr(canonical.lowered(v) or 0.0) if isinstance(canonical.lowered(v), float) else canonical.lowered(v) for v in values.to_pylist()], pa.string())
+    if values.null_count == len(values):
+        return values.cast(pa.string())
+    return pa.array([None if v is None else repr(v or 0.0) for v in values.to_pylist()], pa.string())
+
+
+def _float(c: Column) -> tuple[Column, Column]:
+    """The text of what is no number, and the shortest digits of the others; only rare ones go through Python."""
+    text, infinity = c.cast("string"), F.lit(float("inf"))
+    plain = text.rlike(_PLAIN) & (F.length(text) <= _PLAIN_WIDTH) & (c != 0)
+    named = F.when(F.isnan(c), "nan").when(c == infinity, "inf").when(c == -infinity, "-inf")
+    known = F.when(c == 0, "0.0").when(plain, text)
+    return named, F.coalesce(known, _float_text(F.when(named.isNull() & known.isNull(), c)))
 
 
 def _any_json(value: Column, policy: CanonicalPolicy) -> Column:
     @F.arrow_udf(T.StringType())
     def written(values: pa.Array) -> pa.Array:
+        if values.null_count == len(values):
+            return pa.nulls(len(values), pa.string())
         return pa.array([None if v is None else canonical.canonical_json(canonical.lowered(v), policy) for v in values.to_pylist()], pa.string())
 
     return written(value)
@@ -183,9 +205,7 @@ class Leaf:
             case T.StringType() | T.CharType() | T.VarcharType():
                 return _normalised(c.cast("string"), self.policy), None
             case T.FloatType() | T.DoubleType():
-                c = c.cast("double")
-                odd = F.isnan(c) | (F.abs(c) == float("inf"))
-                return F.when(odd, _float_text(c)), F.when(~odd, _float_text(c))
+                return _float(c.cast("double"))
             case T.DecimalType() if self.kind.scale > 6:
                 return _decimal_text(c), None
             case T.ArrayType() | T.MapType():
@@ -297,16 +317,41 @@ def leaf_pairs(node: Leaf | Tree) -> Column:
     return body if node.value is None else F.when(F.col(_null_flag(node)), F.array(pair(node.path, F.lit("null")))).otherwise(body)
 
 
+def _type(leaf: Leaf) -> Column:
+    return F.when(F.col("t" + leaf.name).isNotNull(), "string").when(F.col("j" + leaf.name).isNotNull(), leaf.json_type()).otherwise("null")
+
+
 def type_pairs(node: Leaf | Tree) -> Column:
     """array<struct<path, type>> of a field and those below it (not of the root)."""
     def pair(path: str, kind: Column) -> Column:
         return F.struct(F.lit(path).alias("path"), kind.alias("type"))
 
     if isinstance(node, Leaf):
-        t, j = F.col("t" + node.name), F.col("j" + node.name)
-        return F.array(pair(node.path, F.when(t.isNotNull(), "string").when(j.isNotNull(), node.json_type()).otherwise("null")))
+        return F.array(pair(node.path, _type(node)))
     below = [type_pairs(m) for m in node.members.values()]
     if node.value is None:
         return F.concat(*below) if below else F.array().cast("array<struct<path:string,type:string>>")
     whole = F.concat(F.array(pair(node.path, F.lit("object"))), *below)
     return F.when(F.col(_null_flag(node)), F.array(pair(node.path, F.lit("null")))).otherwise(whole)
+
+
+def leaf_map(root: Tree, value: Callable[[Column], Column] = lambda json: json) -> Column:
+    """Pointer -> ``value`` of the JSON of each leaf of a record."""
+    if _flat(root):
+        return _fixed_map(root, lambda leaf: value(json_of(leaf)))
+    return F.map_from_entries(F.transform(leaf_pairs(root), lambda x: F.struct(x["path"].alias("key"), value(x["json"]).alias("value"))))
+
+
+def type_map(root: Tree) -> Column:
+    """Pointer -> JSON type of each field of a record."""
+    return _fixed_map(root, _type) if _flat(root) else F.map_from_entries(type_pairs(root))
+
+
+def _flat(root: Tree) -> bool:
+    """Whether all records have the same fields, none of them an object: then compiled code makes the maps."""
+    return bool(root.members) and all(isinstance(m, Leaf) for m in root.members.values())
+
+
+def _fixed_map(root: Tree, value: Callable[[Leaf], Column]) -> Column:
+    leaves = root.leaves()
+    return F.map_from_arrays(F.array(*[F.lit(leaf.path) for leaf in leaves]), F.array(*map(value, leaves)))
