@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialise
 
+#: The smallest nodes that up to so many pairs lead to are sent to all executors (16 bytes each); beyond, the same joins shuffle.
+SENT = 500_000
 
-def _star(pairs: DataFrame, both_ways: bool) -> DataFrame:
-    """One star operation; ``pairs`` are (a, b) with a > b."""
+
+def _star(pairs: DataFrame, both_ways: bool, sent: bool) -> DataFrame:
+    """One star operation; ``pairs`` are (a, b) with a > b, repeated ones are harmless."""
     near = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if both_ways:
         near = near.unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = F.broadcast(low) if sent else low
     if both_ways:  # larger neighbours move to the minimum
-        moved = near.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        moved = near.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # smaller neighbours and the node itself move to it
-        moved = near.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        moved = near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         moved = moved.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where("a > b").distinct()
+    moved = moved.where("a > b")
+    return moved if sent and both_ways else moved.distinct()
 
 
 def _stars(pairs: DataFrame) -> bool:
@@ -41,7 +46,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     pairs = materialise(pairs, "links")
+    sent = pairs.count() <= SENT  # no step makes the table longer
     while not _stars(pairs):
-        pairs = materialise(_star(_star(pairs, True), False), "stars")
+        pairs = materialise(_star(_star(pairs, True, sent), False, sent), "stars")
     roots = pairs.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)

@@ -12,7 +12,8 @@
    any other leave.  Each bucket's members are first compared with one pivot,
    those of crowded buckets with some more.  A bucket of which a few members
    are then outside its largest group is compared pair by pair, another in
-   bounded blocks: a task takes two chunks of the bucket's members and returns
+   bounded blocks (where crowds are light all in all, at once and without
+   further pivots): a task takes two chunks of the bucket's members and returns
    a spanning forest of their links, so no group is listed as pairs and no
    possible link is dropped.  Members that are in one group already, or that
    met in another bucket's blocks, are not compared again.
@@ -53,6 +54,10 @@ PIVOTS = 8
 CROWD = 4096
 #: Units of a chunk of a block: shingles, and UNIT more for each member (8 MB of shingles, at most about 2,000 members).
 CHUNK, UNIT = 1_000_000, 500
+#: Crowded buckets with at most so many pairs (of two members, either way round) in all are compared in blocks at once: the steps that spare comparisons would cost more.
+LIGHT = 50_000_000
+#: Signatures of up to so many bytes, as JSON, are sent to all executors; beyond, the same joins shuffle.
+SENT = 8 << 20
 
 _MULTIPLY = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
@@ -146,7 +151,7 @@ def _both(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    kept = _both(pairs, facts, "signature").mapInArrow(_promising, "a long, b long")
+    kept = _both(pairs, few(facts.select("node", "signature"), size=SENT), "signature").mapInArrow(_promising, "a long, b long")
     return _both(kept, facts, "shingles").mapInArrow(_verified, "a long, b long")
 
 
@@ -206,8 +211,7 @@ def _possible(members: DataFrame, facts: DataFrame) -> DataFrame:
     """
     held = facts.select("node", "shingles").mapInArrow(_shingle_rows, "node long, shingle long")
     common = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    bounds = held.join(common, "shingle").groupBy("node").agg(F.count("*").alias("c"))
-    bounds = bounds.join(facts.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node").where(f"100 * c >= {PERCENT} * n")
+    bounds = held.join(common, "shingle", "left").groupBy("node").agg(F.count("times").alias("c"), F.count("*").alias("n")).where(f"100 * c >= {PERCENT} * n")
     left = materialise(members.join(bounds, "node"), "bounded")
     least = left.groupBy("bucket").agg(F.min("n").alias("least"), F.count("*").alias("k")).where("k > 1")
     return materialise(left.join(_few(least), "bucket").where(_within("n", "least", "c")).select("node", "bucket", "n", "c", "k"), "possible")
@@ -280,7 +284,7 @@ def _live(members: DataFrame, found: DataFrame) -> DataFrame:
     ``few`` says that so few members are outside the largest component that
     comparing each of them with all of the bucket takes at most FEW pairs a member.
     """
-    members = members.join(_few(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    members = members.join(few(found), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     stats = parts.groupBy("bucket").agg(F.sum("k").alias("k"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("most")).where("comps > 1")
     stats = stats.select("bucket", "k", F.col("most.comp").alias("big"), (F.col("k") - F.col("most.k") <= FEW).alias("few"))
@@ -322,9 +326,16 @@ def _blocks(members: DataFrame, facts: DataFrame, settled: str) -> DataFrame:
     return dealt.join(sides, ["bucket", "chunk"]).join(facts, "node").groupBy("bucket", "ci", "cj").applyInPandas(_forest, "a long, b long")
 
 
-def _crowded_links(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """All links of crowded buckets, in two waves: the largest bucket of each node, then what they left."""
+def _light(crowded: DataFrame) -> bool:
+    """Whether so few pairs share a crowded bucket that comparing all of them is little work; a member stands for k pairs."""
+    return (crowded.agg(F.sum("k")).first()[0] or 0) <= LIGHT
+
+
+def _crowded_links(members: DataFrame, facts: DataFrame, light: bool = False) -> DataFrame:
+    """All links of crowded buckets, where these are not ``light`` in two waves: the largest bucket of each node, then what they left."""
     members = members.select("bucket", "node", "n", "comp", "k")
+    if light:
+        return _blocks(members.withColumn("seen", F.lit(None).cast("long")), facts, "comp")
     first = members.groupBy("node").agg(F.max(F.struct("k", "bucket")).alias("most")).select(F.col("most.bucket").alias("bucket")).distinct()
     first = materialise(first, "waves")
     wave = members.join(_few(first), "bucket", "left_semi").withColumn("seen", F.lit(None).cast("long"))
@@ -347,17 +358,18 @@ def _compare(members: DataFrame, facts: DataFrame) -> DataFrame:
     old = lambda: found.select(F.col("node").alias("a"), F.col("comp").alias("b"))
     live = _live(members, found)
     crowded = live.where("not few")
-    if not crowded.isEmpty():
+    light = _light(crowded)
+    if not light:
         picked = crowded.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("pick")).agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "c", "comp", "k")).alias("one"))
         mine = picked.select("bucket", F.col("one.node").alias("p"), F.col("one.n").alias("pn"), F.col("one.c").alias("pc"), F.col("one.comp").alias("other"), F.col("one.k").alias("k"))
         found = materialise(components(_links(_met(crowded, mine, "comp <> other"), facts).unionByName(old())), "found")
         live = _live(members, found)
         crowded = live.where("not few")
-    few = live.where("few")
-    mine = few.where("comp <> big").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("comp").alias("other"), "k")
-    links = _links(_met(few, mine, "comp <> other and (comp = big or node < p)"), facts)
+    some = live.where("few")
+    mine = some.where("comp <> big").select("bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"), F.col("comp").alias("other"), "k")
+    links = _links(_met(some, mine, "comp <> other and (comp = big or node < p)"), facts)
     if not crowded.isEmpty():
-        links = links.unionByName(_crowded_links(crowded, facts))
+        links = links.unionByName(_crowded_links(crowded, facts, light))
     links = materialise(links, "late_links")
     return found if links.isEmpty() else materialise(components(links.unionByName(old())), "found")
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftmark.llm import chat, columns, decontamination, licenses, mixing, near_duplicates, personal_data, quality, queries, sharding, toxicity, warc
+from driftmark.plans.scratch import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, size int"  # the last two clash on purpose
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -223,6 +224,23 @@ def test_many_rows_of_one_node(spark):
     assert [tuple(r) for r in out] == [(None, True, 5000, 1)]
 
 
+def test_light_crowds_take_few_steps(spark, monkeypatch):
+    """Unlike texts that share a bucket: where all their pairs are little work, no pivots and waves come before the blocks; the groups are the same."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words, *(f"x{i % 9}y{j}" for j in range(6)), *(f"z{i}" for _ in range(i % 3))])) for i in range(60)]
+    made, found = [], []
+    for light in (0, near_duplicates.LIGHT):
+        names = []
+        with monkeypatch.context() as m:
+            m.setattr(near_duplicates, "LIGHT", light)
+            m.setattr(near_duplicates, "FEW", 0)
+            m.setattr(near_duplicates, "materialise", lambda df, name, names=names: names.append(name) or materialise(df, name))
+            found.append(sorted((r["doc_id"], r["component_id"]) for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+        made.append(names)
+    assert found[0] == found[1] == sorted(brute_components(rows).items()) and len({c for _, c in found[0]}) > 1
+    assert "waves" in made[0] and "waves" not in made[1] and "chunks" in made[1] and len(made[1]) < len(made[0])
+
+
 def test_near_duplicates_of_awkward_rows(docs, none):
     out = near_duplicates.groups(docs).collect()
     assert len(out) == docs.count() and near_duplicates.groups(none).count() == 0
