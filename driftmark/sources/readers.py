@@ -35,6 +35,8 @@ _CUT_ARROW = pa.schema([*_ARROW, ("owner", pa.int64()), ("part", pa.int64()), ("
 _BATCH = 1000
 #: Larger JSON and CSV files are read by ranges.
 LARGE = 64 << 20
+#: Tasks for each core that texts of a table are decoded by.
+TASKS = 4
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,20 @@ class How:
         return f.length > (LARGE if self.large is None else self.large)
 
 
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as Arrow; those of a map are lists of pairs."""
+    if not pa.types.is_map(kind):
+        return pa.array(values, kind)
+    offsets, keys, items = [], [], []
+    for pairs in values:
+        offsets.append(None if pairs is None else len(keys))
+        for key, item in pairs or ():
+            keys.append(key)
+            items.append(item)
+    offsets.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, kind.key_type), pa.array(items, kind.item_type))
+
+
 class Rows:
     """Collects entries and hands them out as Arrow batches."""
 
@@ -69,7 +85,7 @@ class Rows:
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_pylist(rows, schema=self.schema)
+        return pa.RecordBatch.from_arrays([_column([r.get(f.name) for r in rows], f.type) for f in self.schema], schema=self.schema)
 
 
 def _decoded(raw: bytes) -> tuple[str, str | None]:
@@ -305,4 +321,6 @@ def entries_from_json(df: DataFrame, column: str, match: Match, ignore: tuple[st
     """Entries of a DataFrame whose ``column`` holds a JSON object as text, decoded as strictly as JSON Lines."""
     rows = df.select(F.col(src).cast("string").alias("src"), F.col(rank).cast("int").alias("file_rank"), F.col(pos).cast("long").alias("pos"), F.col(column).cast("binary").alias("value"))
     how = How(match, ignore)
-    return rows.where("value is not null").mapInArrow(lambda it: _lines(it, how), _OUT).drop("has_id")
+    # tables that are small on disk come in a few tasks however many rows they have, and decoding is the work
+    tasks = TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return rows.where("value is not null").repartition(tasks, "file_rank", "pos").mapInArrow(lambda it: _lines(it, how), _OUT).drop("has_id")

@@ -75,3 +75,25 @@ def test_strict_json_refuses(text):
 def test_strict_json_reads():
     assert strict_json.loads('{"a": [1, 1.0, "1", null]}') == {"a": [1, 1.0, "1", None]}
     assert strict_json.loads("-" + "9" * 4300) == -(10**4300 - 1)
+
+
+def test_one_task_of_rows_is_decoded_by_many(spark):
+    """A table that comes in one task (small on disk, however many rows) has its texts decoded by several, to the same entries."""
+    from pyspark.sql import functions as F
+
+    from driftmark.operators.matching import Match
+    from driftmark.sources import readers
+
+    rows = spark.range(400).select(F.lit("t").alias("src"), F.lit(0).alias("file_rank"), F.col("id").alias("pos"), F.format_string('{"b":{"x":[%d,null]},"a":"é%d"}', "id", "id").alias("text")).coalesce(1)
+    found = readers.entries_from_json(rows, "text", Match("content")).select("pos", "types", "leaves", "err", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in found}) > 1 and len(found) == 400
+    for r in found:
+        assert r["err"] is None and r["types"] == {"/a": "string", "/b": "object", "/b/x": "array"}
+        assert r["leaves"] == {"/a": f'"é{r["pos"]}"', "/b/x": f'[{r["pos"]},null]'}
+
+
+@pytest.mark.parametrize(("value", "place"), [({"a": [1, {"b": float("nan")}]}, "$.a[1].b: nan"), ({"é": {"c": "\ud800"}}, "$.é.c: a lone"), ({"a": {1: 2}}, "$.a: the mapping key 1"), ([object()], "$[0]: values of type")])
+def test_errors_name_their_place(value, place):
+    with pytest.raises(CanonicalError) as found:
+        canonical.canonicalize(value)
+    assert str(found.value).startswith(place)
