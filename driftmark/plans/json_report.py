@@ -4,23 +4,27 @@ A report is a few constant texts and, between them, blocks of rows that Spark
 orders and prints.  It is read as a stream of texts (one partition at a time by
 the driver) or written to a file, whose blocks are part files that Spark wrote,
 joined as bytes inside the JVM.  Names of fields are data too: no list of them
-is held anywhere.
+is held anywhere.  ``read`` gives the lists of a report in a file back as a
+table, by ranges of its lines.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import quoted
 from ..operators.compare import DatasetDiff
-from ..sources import files
-from .scratch import new_path
+from ..sources import by_range, files
+from ..sources.chunks import chunks, runs
+from .scratch import materialise, new_path
 
 
 @dataclass
@@ -115,3 +119,71 @@ def write(diff: DatasetDiff, path: str) -> None:
         block.rows.write.option("lineSep", ",").text(folder)
         pieces += [block.before.encode(), files.Parts(folder, 1, block.close.encode())]
     files.joined(spark, path, [*pieces, end.encode()])
+
+
+#: Lines that name a part of the report, a member of the whole or of its schema; for Spark, and for Python.
+_HEAD = '^(  "|    "(added|removed|retyped)": [\\[{])'
+_PART = re.compile(rb'(  |    )"([a-z_]+)"')
+_ARROW = pa.schema([("section", pa.string()), ("part", pa.int64()), ("opens", pa.bool_()), ("whole", pa.bool_()), ("value", pa.string())])
+_BATCH = 10_000
+
+
+def _inside(section: str) -> bytes:
+    """What the lines of a part's items begin with."""
+    return b"?" if section == "schema" else b"      " if section.startswith("schema ") else b"    "
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of ranges of lines.  A range's last item may go on in the next range, and what comes before its first goes on with an earlier one: these are fragments."""
+    rows: list[tuple] = []
+    part, section, inside, held, opens = 0, "", b"?", [], False
+
+    def done(whole: bool) -> None:
+        if held:
+            rows.append((section, part, opens, whole and opens, b"\n".join(held)))
+            held.clear()
+
+    def taken() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns[:-1], _ARROW, strict=False)), pa.array(columns[-1], pa.binary()).cast(pa.string())], schema=_ARROW)
+
+    for begins, first, lines in runs(batches):
+        if begins:
+            done(False)
+            part, section, opens = first["start"], first["section"] or "", False
+            inside = _inside(section)
+        for line in lines:
+            if line.startswith(inside):
+                if line[len(inside) : len(inside) + 1] not in (b" ", b"}", b"]"):
+                    done(True)
+                    opens = True
+                held.append(line)
+                continue
+            done(True)
+            if head := _PART.match(line):
+                section = ("schema " if len(head[1]) == 4 else "") + head[2].decode()
+                inside = _inside(section)
+        if len(rows) >= _BATCH:
+            yield taken()
+    done(False)
+    yield taken()
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(section, value): the text of each item that a report of ``write`` lists, in no order; sections are fields_changed, changed, ..., schema added, ....
+
+    Texts of such a report have no line breaks of their own, so its indentation tells where items begin.
+    """
+    some = files.input_files(spark, path)
+    lines = chunks(spark, some).withColumn("text", F.col("value").cast("string"))
+    heads = lines.groupBy("file_rank", "start").agg(F.max_by("text", F.when(F.col("text").rlike(_HEAD), F.col("row"))).alias("head"))
+    head = F.last("head", ignorenulls=True).over(by_range.earlier())
+    name = F.concat(F.when(head.startswith("    "), "schema ").otherwise(""), F.regexp_extract(head, '"([a-z_]+)"', 1))
+    ranges = materialise(heads.select("file_rank", "start", name.alias("section")), "report-ranges")
+    placed = by_range.with_ranges(spark, some, "\n", ranges).select("file_rank", "start", "row", "section", "value")
+    table = materialise(placed.mapInArrow(_items, "section string, part long, opens boolean, whole boolean, value string"), "report-items")
+    fragments = table.where("not whole").withColumn("item", F.sum(F.col("opens").cast("int")).over(Window.orderBy("part", "opens").rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # two rows for each range
+    pieces = F.sort_array(F.collect_list(F.struct("part", "opens", "value")))
+    joined = fragments.groupBy("item", "section").agg(F.array_join(F.transform(pieces, lambda x: x["value"]), "\n").alias("value"))
+    return table.where("whole").select("section", "value").unionByName(joined.select("section", "value")).select("section", F.rtrim("value", F.lit(",")).alias("value"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import functools
 import io
 import json
 from collections.abc import Callable
@@ -387,16 +386,14 @@ def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = orders.where("o_orderkey % 11 > 0").withColumn("price", F.when(F.col("o_orderkey") % 5 == 0, F.transform_values("price", lambda k, v: v + 1)).otherwise(F.col("price")))
     path = scratch.new_path(spark, "report") + ".json"
     json_report.write(cmp.compare(*(snapshot.build_snapshot(spark, _written(df, "lines"), BY_ORDER) for df in (orders, later))), path)
-    kind = "fields_changed map<string,long>, schema struct<added array<string>, removed array<string>>, changed array<struct<id string, fields array<string>>>, removed array<struct<id string>>, added array<struct<id string>>"
-    report = spark.read.schema(kind).json(path, multiLine=True)
-    listed = lambda section, rows, name, value: report.select(F.explode(rows).alias("x")).select(F.lit(section).alias("section"), name.alias("name"), value.alias("value"))
-    x, none = F.col("x"), F.lit(None).cast("string")
-    parts = [
-        listed("fields", F.map_entries("fields_changed"), x["key"], x["value"].cast("string")), listed("changed", F.col("changed"), x["id"], F.array_join(x["fields"], ",")),
-        listed("removed", F.col("removed"), x["id"], none), listed("added", F.col("added"), x["id"], none),
-        *[listed(f"schema {k}", F.col(f"schema.{k}"), x, none) for k in ("added", "removed")],
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    items = json_report.read(spark, path).where(F.col("section").isin("fields_changed", "changed", "removed", "added", "schema added", "schema removed"))
+    section, value = F.col("section"), F.col("value")
+    entry = F.map_entries(F.from_json(F.concat(F.lit("{"), F.when(section == "fields_changed", value), F.lit("}")), "map<string,bigint>"))[0]
+    text = F.from_json(F.concat(F.lit("["), F.when(section.startswith("schema "), value), F.lit("]")), "array<string>")[0]
+    record = F.from_json(F.when(section.isin("changed", "removed", "added"), value), "id string, fields array<string>")
+    parsed = items.select(F.when(section == "fields_changed", "fields").otherwise(section).alias("section"), entry.alias("entry"), text.alias("text"), record.alias("record"))
+    listed = F.coalesce(F.col("entry.value").cast("string"), F.array_join("record.fields", ","))
+    return parsed.select("section", F.coalesce("entry.key", "text", "record.id").alias("name"), listed.alias("value"))
 
 
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
